@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import html_extract, lang_id, mixing
-from locusframe.llm.common import fold, table
+from locusframe.llm import decontaminate, html_extract, lang_id, mixing, quality, toxicity
+from locusframe.llm.common import cut, fold, table
 
 
 def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,31 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside remainder 2 of 4."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    stats = cut(quality.statistics(docs.select("doc_id", "held_out", "text")))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(stats.where("not held_out").join(labels, "doc_id"))
+    found = quality.score(stats, model)
+    return found.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where("not held_out").select("doc_id", "text").join(labels, "doc_id"))
+    found = toxicity.score(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand inside a 10-word window of a benchmark item."""
+    found = decontaminate.digest(decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_at", "longest_item", "longest_item_at")
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -30,6 +55,9 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lang_id": op1_lang_id,
     "op2_mixing": op2_mixing,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op10_html_extract": op10_html_extract,
 }
 
