@@ -57,7 +57,7 @@ def subword_ids(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray,
     ids = np.empty((len(ORDERS), len(code)), np.int32)
     h = code * np.uint64(0x9E3779B97F4A7C15)
     for i in range(1, max(ORDERS)):
-        following = np.concatenate((code[i:], np.full(i, 32, np.uint64)))
+        following = np.concatenate((code[i:], np.full(min(i, len(code)), 32, np.uint64)))
         h = (h ^ following) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(31)
         if i + 1 in ORDERS:
