@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import decontaminate, html_extract, lang_id, mixing, quality, toxicity
+from locusframe.llm import decontaminate, html_extract, lang_id, mixing, quality, simhash, toxicity
 from locusframe.llm.common import cut, fold, table
 
 
@@ -22,6 +22,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.components(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned outside remainder 2 of 4."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
@@ -55,6 +61,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lang_id": op1_lang_id,
     "op2_mixing": op2_mixing,
+    "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op7_decontamination": op7_decontamination,
