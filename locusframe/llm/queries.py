@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import decontaminate, html_extract, lang_id, mixing, quality, simhash, toxicity
+from locusframe.llm import decontaminate, html_extract, lang_id, lm_score, mixing, quality, simhash, toxicity
 from locusframe.llm.common import cut, fold, table
 
 
@@ -47,6 +47,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learned outside remainder 2 of 7."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    return lm_score.score(docs)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand inside a 10-word window of a benchmark item."""
     found = decontaminate.digest(decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_lm_score": op6_lm_score,
     "op7_decontamination": op7_decontamination,
     "op10_html_extract": op10_html_extract,
 }
