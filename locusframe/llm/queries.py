@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import decontaminate, html_extract, lang_id, lm_score, mixing, quality, simhash, toxicity
+from locusframe.llm import ann, decontaminate, html_extract, lang_id, lm_score, mixing, quality, simhash, toxicity, warc
 from locusframe.llm.common import cut, fold, table
 
 
@@ -59,6 +59,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_at", "longest_item", "longest_item_at")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    rows = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.search(rows, rows.where(F.col("id") % 20 == 0), k=20)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture record of the pages, revisits resolved to the responses they stand for."""
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    head = [F.col("merged_headers")[h].alias("h_" + h.replace("-", "_")) for h in ("date", "etag", "expires", "cache-control", "content-length", "content-type")]
+    return found.select("record_id", "url_key", "ts", "state", "response_id", "response_ts", "merged_digest", *head)
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -72,7 +85,57 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_lm_score": op6_lm_score,
     "op7_decontamination": op7_decontamination,
+    "op8_ann": op8_ann,
+    "op9_warc": op9_warc,
     "op10_html_extract": op10_html_extract,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+WITH p AS (
+  SELECT page_id AS i, url, coalesce(html, '') AS html, 1704067200 + (page_id * 7919) % 2592000 AS t0, page_id % 5 AS kind,
+         '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag,
+         regexp_replace(trim(url), '#.*', '') AS bare
+  FROM pages WHERE page_id IS NOT NULL),
+u AS (
+  SELECT *, regexp_extract(bare, '^([^?]*)', 1) AS base,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|ref|sessionid|phpsessid)(=.*)?$'))), '&') AS q
+  FROM p),
+k AS (
+  SELECT *, CASE WHEN url IS NOT NULL THEN
+         regexp_replace(lower(regexp_extract(base, '^[a-zA-Z]+://([^/]*)', 1)), '^www\\.|:(80|443)$', '', 'g')
+         || regexp_replace(regexp_replace(regexp_extract(base, '^[a-zA-Z]+://[^/]*(.*)', 1), '/index\\.html?$', '/'), '/+$', '')
+         || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url_key,
+         CASE WHEN kind = 1 THEN 'W/' || tag WHEN kind = 2 THEN '"another"' WHEN kind >= 3 THEN NULL ELSE tag END AS seen,
+         CASE WHEN kind = 4 THEN t0 - 90000 ELSE t0 - 86400 END AS since
+  FROM u),
+full_ AS (
+  SELECT 'response-' || i AS record_id, url_key, t0 AS ts, tag AS etag, t0 - 86400 AS lm, sha1(html) AS digest, length(html) AS n FROM k),
+rev AS (
+  SELECT 'revisit-' || i AS record_id, url_key, t0 + 3600 AS ts, seen AS etag, since AS lm, t0 + 3600 AS h_date, 'max-age=600' AS h_cc,
+         t0 + 7200 AS h_exp FROM k
+  UNION ALL
+  SELECT 'early-' || i, url_key, t0 - 60, NULL, NULL, t0 - 60, NULL, NULL FROM k),
+j AS (
+  SELECT v.*, f.record_id AS r_id, f.ts AS r_ts, f.etag AS r_tag, f.lm AS r_lm, f.digest AS r_digest, f.n AS r_n,
+         row_number() OVER (PARTITION BY v.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS rn
+  FROM rev v LEFT JOIN full_ f ON v.url_key = f.url_key AND f.ts <= v.ts),
+s AS (
+  SELECT *, CASE WHEN url_key IS NULL THEN 'no_url' WHEN r_id IS NULL THEN 'no_response'
+         WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = r_tag THEN 'resolved' ELSE 'mismatch' END
+         WHEN lm IS NOT NULL THEN CASE WHEN lm >= r_lm THEN 'resolved' ELSE 'mismatch' END
+         ELSE 'unchecked' END AS state
+  FROM j WHERE rn = 1)
+SELECT record_id, url_key, ts, 'response' AS state, record_id AS response_id, ts AS response_ts, digest AS merged_digest,
+       CAST(ts AS VARCHAR) AS h_date, etag AS h_etag, CAST(NULL AS VARCHAR) AS h_expires, 'max-age=60' AS h_cache_control,
+       CAST(n AS VARCHAR) AS h_content_length, 'text/html' AS h_content_type
+FROM full_
+UNION ALL
+SELECT record_id, url_key, ts, state, CASE WHEN ok THEN r_id END, CASE WHEN ok THEN r_ts END, CASE WHEN ok THEN r_digest END,
+       CAST(h_date AS VARCHAR), CASE WHEN ok THEN coalesce(etag, r_tag) ELSE etag END, CAST(h_exp AS VARCHAR),
+       CASE WHEN ok THEN coalesce(h_cc, 'max-age=60') ELSE h_cc END, CASE WHEN ok THEN CAST(r_n AS VARCHAR) ELSE '0' END,
+       CASE WHEN ok THEN 'text/html' END
+FROM (SELECT *, state IN ('resolved', 'unchecked') AS ok FROM s)
+""",
+}
