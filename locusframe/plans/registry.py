@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = []
+MODULES: list[str] = ["summary"]
 
 
 def _gather(what: str) -> dict:
