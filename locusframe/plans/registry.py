@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["summary"]
+MODULES: list[str] = ["summary", "relationship"]
 
 
 def _gather(what: str) -> dict:
