@@ -66,15 +66,16 @@ def text_stats(text: str | None) -> list[float]:
     ]
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with the array ``stats``."""
+def statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with the array ``stats``, without its text unless that is kept."""
 
     @F.pandas_udf("array<double>")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([text_stats(t if isinstance(t, str) else None) for t in batch])
 
-    return docs.select(*[c for c in docs.columns if c not in (text, "stats")], compute(F.col(text)).alias("stats"))
+    dropped = ("stats",) if keep_text else (text, "stats")
+    return docs.select(*[c for c in docs.columns if c not in dropped], compute(F.col(text)).alias("stats"))
 
 
 @dataclass
