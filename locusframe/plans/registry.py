@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["summary", "relationship"]
+MODULES: list[str] = ["summary", "relationship", "filters", "joins"]
 
 
 def _gather(what: str) -> dict:
