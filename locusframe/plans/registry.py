@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["summary", "relationship", "filters", "joins"]
+MODULES: list[str] = ["summary", "relationship", "filters", "joins", "scalars"]
 
 
 def _gather(what: str) -> dict:
