@@ -415,17 +415,20 @@ def _fit(net: Net, model: ToxModel, positive: list, negative: list, epochs: int,
                 net.p[k][u] -= (5 * lr * g / (np.sqrt(m[0][u]) + 1e-5)).astype(np.float32)
 
 
-def fit(labelled: DataFrame, toxic_rows: int = 1500, clean_rows: int = 3000, train_chars: int = 30_000, seed: int = 3, **training: float) -> ToxModel:
-    """Fit from columns ``doc_id, text, toxic`` (0 or 1; other labels and null texts are left out).
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 3000, train_chars: int = 30_000, seed: int = 3, **training: float) -> ToxModel:
+    """Fit from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic: 0 or 1; other labels are left out).
 
-    Each class is sampled by a hash of the id, so that at most about
-    ``toxic_rows + clean_rows`` texts of up to ``train_chars`` characters reach the driver.
+    Each class of labels is sampled by a hash of the id, about ``toxic_rows`` and ``clean_rows`` at most. That bounded
+    sample is broadcast to the documents, so no text is shuffled; texts that are null or longer than ``train_chars`` are
+    not learned from.
     """
-    rows = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.char_length("text") <= train_chars))
+    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     at_random = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
     share = F.when(F.col("toxic") == 1, toxic_rows / max(1, n.get(1, 0))).otherwise(clean_rows / max(1, n.get(0, 0)))
-    taken = sorted(rows.where(at_random < share).select("doc_id", "toxic", "text").collect(), key=lambda r: (r["doc_id"], r["text"]))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.char_length("text") <= train_chars))
+    taken = texts.join(F.broadcast(rows.where(at_random < share)), "doc_id").collect()
+    taken.sort(key=lambda r: (r["doc_id"], r["text"]))
     kinds = [[tokenize(r["text"]) for r in taken if r["toxic"] == k] for k in (1, 0)]
     return train(kinds[0], kinds[1], seed=seed, **training)
 
