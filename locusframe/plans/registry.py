@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["summary", "relationship", "filters", "joins", "scalars", "stats"]
+MODULES: list[str] = ["summary", "relationship", "filters", "joins", "scalars", "stats", "ordination", "streams"]
 
 
 def _gather(what: str) -> dict:
