@@ -61,7 +61,7 @@ def kinship(calls: DataFrame, method: str = "centered_ibs", tiles: bool = True,
     if not tiles:
         y = w.select(F.col("taxon").alias("j"), "unit", F.col("w").alias("wj"))
         pairs = w.select(F.col("taxon").alias("i"), "unit", "w").join(y, "unit").where("i >= j")
-        return pairs.groupBy("i", "j").agg(F.sum(F.col("w") * F.col("wj")).alias("s")).crossJoin(d).select("i", "j", (F.col("s") / F.col("d")).alias("value"))
+        return pairs.groupBy("i", "j").agg(F.sum(F.col("w") * F.col("wj")).alias("s")).crossJoin(d).select("i", "j", F.try_divide("s", "d").alias("value"))
     units = w.select("unit").distinct().count()
     strips = max(1, -(-units // strip))
     names = w.select("taxon").distinct().count()
@@ -91,7 +91,7 @@ def kinship(calls: DataFrame, method: str = "centered_ibs", tiles: bool = True,
 
     kind = dict(calls.dtypes)["taxon"]
     part = spread.groupBy("s", "x", "y").applyInPandas(multiply, f"i {kind}, j {kind}, v double")
-    return part.groupBy("i", "j").agg(F.sum("v").alias("v")).crossJoin(d).select("i", "j", (F.col("v") / F.col("d")).alias("value"))
+    return part.groupBy("i", "j").agg(F.sum("v").alias("v")).crossJoin(d).select("i", "j", F.try_divide("v", "d").alias("value"))
 
 
 def _similarity(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
@@ -130,7 +130,7 @@ def ibs_bits(calls: DataFrame, taxon_a: int, taxon_b: int) -> DataFrame:
     same = (has("a", "ma") & has("b", "ma")) | (has("a", "mi") & has("b", "mi"))
     diff = (has("a", "ma") & has("b", "mi")) | (has("a", "mi") & has("b", "ma"))
     t = j.agg(F.sum(same.cast("long")).alias("same"), F.sum(diff.cast("long")).alias("diff"), F.sum((same & diff).cast("long")).alias("het"))
-    return t.withColumn("distance", 1 - (F.col("same") + F.floor(F.col("het") / 2)) / (F.col("same") + F.col("diff") + F.col("het")))
+    return t.withColumn("distance", 1 - F.try_divide(F.col("same") + F.floor(F.col("het") / 2), F.col("same") + F.col("diff") + F.col("het")))
 
 
 def mean_distance(m: DataFrame) -> DataFrame:

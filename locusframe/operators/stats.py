@@ -79,15 +79,15 @@ def linear_model(rows: DataFrame, by: list[str], y: str, terms: dict[str, Column
 
 
 def association(calls: DataFrame, traits: DataFrame, allele: Column, with_p: bool = True) -> DataFrame:
-    """Squared correlation of additive dosage with the trait at every site (mean-only base model), F and p.
+    """Squared correlation of additive dosage with the trait at every site (mean-only base model), F and p; F of a perfect fit is null.
 
     ``traits(taxon, y)`` with one value for each sample. One join and one aggregate with partial sums.
     """
     dose = (F.col("a1") == allele).cast("double") + (F.col("a2") == allele).cast("double")
     j = calls.join(traits, "taxon").select("site", dose.alias("x"), "y").where("x IS NOT NULL AND y IS NOT NULL")
-    r = j.groupBy("site").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.regr_slope("y", "x").alias("effect"))
-    r = r.where("n > 2").select("site", "n", (F.col("r") * F.col("r")).alias("r2"), "effect")
-    r = r.where("r2 IS NOT NULL AND NOT isnan(r2)").withColumn("f", F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))
+    r = j.groupBy("site").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    r = r.where("n > 2").select("site", "n", F.try_divide(F.col("c") * F.col("c"), F.col("vx") * F.col("vy")).alias("r2"), F.try_divide("c", "vx").alias("effect"))
+    r = r.where("r2 IS NOT NULL AND NOT isnan(r2)").withColumn("f", F.when(F.col("r2") < 1 - 1e-12, F.try_divide(F.col("r2") * (F.col("n") - 2), 1 - F.col("r2"))))
     return r.withColumn("p", f_tail_udf()(F.col("f"), F.lit(1), F.col("n") - 2)) if with_p else r
 
 
@@ -244,7 +244,7 @@ r AS (SELECT site, count(*) AS n, corr(x, y) * corr(x, y) AS r2, regr_slope(y, x
 _LF = "lgamma(CAST({} + 1 AS DOUBLE))"
 ORACLES = {
     "m01_linear_model": "SELECT l_returnflag AS g, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, count(*) AS n, round((regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity)) / count(*), 0) AS mean_error FROM lineitem GROUP BY 1",
-    "m06_association": f"WITH {fx.CALLS}, {_TR}, {_AS} SELECT site, n, round(r2, 6) AS r2, round(effect, 4) AS effect, round(r2 * (n - 2) / (1 - r2), 6) AS f FROM r WHERE r2 IS NOT NULL AND NOT isnan(r2)",
+    "m06_association": f"WITH {fx.CALLS}, {_TR}, {_AS} SELECT site, n, round(r2, 6) AS r2, round(effect, 4) AS effect, CASE WHEN r2 < 1 - 1e-12 THEN round(r2 * (n - 2) / (1 - r2), 6) END AS f FROM r WHERE r2 IS NOT NULL AND NOT isnan(r2)",
     "m14_fisher_exact": f"""WITH t AS (SELECT o_custkey % 25 AS g, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 150000) AS a, count(*) FILTER (WHERE o_orderstatus = 'F' AND NOT o_totalprice > 150000) AS b,
  count(*) FILTER (WHERE o_orderstatus <> 'F' AND o_totalprice > 150000) AS c, count(*) FILTER (WHERE o_orderstatus <> 'F' AND NOT o_totalprice > 150000) AS d FROM orders GROUP BY 1),
 k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM t),

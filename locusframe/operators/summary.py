@@ -106,7 +106,7 @@ def overall_summary(calls: DataFrame) -> DataFrame:
         F.sum((gametes == 0).cast("long")).alias("unknown"), F.sum(gametes).alias("known_gametes"), F.sum(_het()).alias("het"),
     )
     pairs = [(c, F.col(c).cast("double")) for c in t.columns]
-    pairs += [("prop_unknown", F.col("unknown") / F.col("cells")), ("prop_het", F.col("het") / (F.col("cells") - F.col("unknown"))), ("mean_cells_per_taxon", F.col("cells") / F.col("taxa"))]
+    pairs += [("prop_unknown", F.try_divide("unknown", "cells")), ("prop_het", F.try_divide(F.col("het"), F.col("cells") - F.col("unknown"))), ("mean_cells_per_taxon", F.try_divide("cells", "taxa"))]
     return t.select(F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), v.alias("value")) for k, v in pairs])).alias("r")).select("r.*")
 
 
