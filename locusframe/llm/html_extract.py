@@ -6,8 +6,9 @@ side bars, notices, adverts, forms, scripts, styles, reader comments) becomes
 empty lines. The text lengths are then summed over a sliding window of lines:
 the *surge* of a segment is where that sum rises above a threshold, its *dive*
 is where it falls to zero again, and the text between them is kept. A page with
-an ``article`` or ``main`` element gives length only to the lines inside it;
-elsewhere lines made mostly of link text have no length.
+an ``article`` or ``main`` element, or else one that is named like it, gives length
+only to the lines inside it; outside of the former, lines made mostly of link text
+have no length.
 
 Null, empty and text-free pages give an empty string. Whole pages are read, and
 nothing of a kept segment is dropped or cut.
@@ -38,6 +39,9 @@ BOILER = re.compile(
     r"comments?|disqus|replies|reviews?|widget|pagination|pager|toolbar|skip|login|copyright|legal|disclaimer|tags|hidden)(?:$|[\s_-])",
     re.I,
 )
+REGION = re.compile(
+    r"(?:^|\s)(?:content|main|article|post|entry|story|main-?content|page-?content|article-?(?:body|content|text)|post-?(?:body|content)|entry-?content|story-?body)(?:$|\s)", re.I
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 _TOKEN = re.compile(
@@ -45,7 +49,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[a-zA-Z/][^<>]*(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
 def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool:
@@ -66,15 +70,29 @@ def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
-    """Lines of a page, the share of link text in each, whether each is inside the article, and whether there is one."""
+def _is_region(tag: str, attrs: str) -> int:
+    """2: an element that says it is the article, 1: one named like it, 0: others."""
+    if tag in ("article", "main"):
+        return 2
+    if tag in ("div", "section", "td") and "=" in attrs:
+        for key, value in _ATTR.findall(attrs):
+            key, value = key.lower(), value.strip("\"'")
+            if key == "role" and value.lower() == "main" or key == "itemprop" and value.lower() == "articlebody":
+                return 2
+            if key in ("class", "id") and REGION.search(value):
+                return 1
+    return 0
+
+
+def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Lines of a page, the share of link text in each, and how surely each is inside the article (2, 1 or 0)."""
     lines: list[str] = []
     links: list[float] = []
-    inside: list[bool] = []
+    inside: list[int] = []
     text: list[str] = []
     linked = 0
-    anchor = articles = 0
-    any_article = False
+    anchor = 0
+    regions: list[list] = []  # open regions: element, nesting of the same element, certainty
 
     def flush() -> None:
         nonlocal linked
@@ -83,14 +101,14 @@ def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray,
             if line:
                 lines.append(line)
                 links.append(linked / max(1, len(line)))
-                inside.append(articles > 0)
+                inside.append(max((r[2] for r in regions), default=0))
             text.clear()
         linked = 0
 
     def blank() -> None:
         lines.extend([""] * gap)
         links.extend([0.0] * gap)
-        inside.extend([False] * gap)
+        inside.extend([0] * gap)
 
     at, end, skip, depth = 0, len(html), "", 0
     while at < end:
@@ -130,29 +148,36 @@ def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray,
             flush()
         if tag == "a":
             anchor = 0 if close else 1
-        if tag in ("article", "main"):
-            articles = max(0, articles + (-1 if close else 1))
-            any_article = any_article or not close
-        if not close and tag not in VOID and not attrs.endswith("/") and _is_boiler(tag, attrs, articles > 0):
-            flush()
-            skip, depth = tag, 1
+        if not close and tag not in VOID and not attrs.endswith("/"):
+            if _is_boiler(tag, attrs, any(r[2] == 2 for r in regions)):
+                flush()
+                skip, depth = tag, 1
+            elif sure := _is_region(tag, attrs):
+                regions.append([tag, 1, sure])
+            elif regions and regions[-1][0] == tag:
+                regions[-1][1] += 1
+        elif close and regions and regions[-1][0] == tag:
+            regions[-1][1] -= 1
+            if not regions[-1][1]:
+                regions.pop()
     flush()
-    return lines, np.array(links), np.array(inside, dtype=bool), any_article
+    return lines, np.array(links), np.array(inside)
 
 
 def extract_main(html: str | None, window: int = 3, surge: int = 80, link_share: float = 0.6, least_share: float = 0.2) -> str:
     """The main text of one page; see the module's text for the method."""
     if not html:
         return ""
-    lines, links, inside, any_article = page_lines(html, window)
+    lines, links, inside = page_lines(html, window)
     if not lines:
         return ""
     length = np.fromiter(map(len, lines), np.int64, len(lines))
-    if any_article and length[inside].any():
-        length = np.where(inside, length, 0)
-        surge = 0
-    else:
+    sure = int(inside.max())
+    if sure < 2:
         length = np.where(links > link_share, 0, length)
+    if sure and length[inside == sure].any():
+        length = np.where(inside == sure, length, 0)
+        surge = 0
     if not length.any():
         return ""
     ends = np.concatenate(([0], np.cumsum(length)))

@@ -365,6 +365,8 @@ def test_html_extract(spark):
     assert html_extract.extract_main(page) == "Head & tail One two three. x < y Last."
     body = " ".join(["This is a long enough sentence of the text."] * 4)
     assert html_extract.extract_main(f"<div class=nav><a>A</a></div><div><p>{body}</p><p>{body}</p></div><div><a href=q>link one</a> <a>link two</a></div>") == f"{body} {body}"
+    named = '<div class="wrap"><div class="top"><p>Shop</p></div><div id="content"><h2>Hi</h2><div><p>Text one.</p></div><div><a href=x>all links</a></div><p>End.</p></div><div>Outside words here</div></div>'
+    assert html_extract.extract_main(named) == "Hi Text one. End."
     for odd, want in ((None, ""), ("", ""), ("<nav>x</nav>", ""), ("plain", "plain"), ("<article><p>cut of", "cut of"), ("<article><p>a &amp", "a &"), ("<article>x<p", "x"), ("<nav><article>open nav</article>", "open nav")):
         assert html_extract.extract_main(odd) == want, odd
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
