@@ -163,6 +163,36 @@ def upgma(d: DataFrame, names: str = "i") -> DataFrame:
     return tree
 
 
+def neighbor_joining(d: DataFrame) -> DataFrame:
+    """Unrooted tree of a full distance matrix by neighbour joining: ``node, parent, length``; the last node has no parent.
+
+    A round is one aggregate that finds the pair (ties to smaller numbers) and one that makes the distances to the new node;
+    only the chosen pair reaches the driver. Rounds are as many as samples less three.
+    """
+    spark = d.sparkSession
+    dist = keep_table(d.where("i <> j").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").alias("v")))
+    names = [r["i"] for r in dist.select("i").distinct().orderBy("i").collect()]
+    if len(names) < 3:
+        raise ValueError("neighbour joining needs three samples")
+    fresh, n, edges = names[-1] + 1, len(names), []
+    while n > 3:
+        r = dist.groupBy("i").agg(F.sum("v").alias("ri"))
+        q = dist.where("i < j").join(r, "i").join(r.select(F.col("i").alias("j"), F.col("ri").alias("rj")), "j")
+        best = q.agg(F.min(F.struct(F.round((n - 2) * F.col("v") - F.col("ri") - F.col("rj"), 10).alias("q"), "i", "j", "v", "ri", "rj")).alias("b")).first()["b"]
+        a, b, v = best["i"], best["j"], best["v"]
+        la = v / 2 + (best["ri"] - best["rj"]) / (2 * (n - 2))
+        edges += [(a, fresh, la), (b, fresh, v - la)]
+        near = dist.where(F.col("i").isin(a, b) & ~F.col("j").isin(a, b)).groupBy("j").agg(((F.sum("v") - v) / 2).alias("v"))
+        rest = dist.where(~F.col("i").isin(a, b) & ~F.col("j").isin(a, b))
+        to = near.select(F.lit(fresh).cast("long").alias("i"), "j", "v")
+        dist = keep_table(rest.unionByName(to).unionByName(to.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")).coalesce(4))
+        fresh, n = fresh + 1, n - 1
+    last = {(r["i"], r["j"]): r["v"] for r in dist.collect()}  # three nodes
+    x, y, z = sorted({i for i, _ in last})
+    edges += [(x, fresh, (last[x, y] + last[x, z] - last[y, z]) / 2), (y, fresh, (last[x, y] + last[y, z] - last[x, z]) / 2), (z, fresh, (last[x, z] + last[y, z] - last[x, y]) / 2), (fresh, None, 0.0)]
+    return spark.createDataFrame(edges, "node long, parent long, length double")
+
+
 def cut_tree(tree: DataFrame, height: float) -> DataFrame:
     """``leaf, cluster``: the highest ancestor of each leaf at or below a height."""
     up = tree.select(F.col("node").alias("leaf"), F.col("node").alias("at"), "parent").where(F.col("height") == 0)
@@ -246,6 +276,7 @@ QUERIES = {
     "m12_crossproduct": lambda s, d: crossproduct(_cells(s, d)).select("i", "j", F.round("value", 4).alias("value")),
     "m12_row_sums": lambda s, d: axis_sums(_cells(s, d)).select("i", F.round("value", 4).alias("value")),
     "m19_upgma": lambda s, d: upgma(_distance(s, d)),
+    "m19_neighbor_joining": lambda s, d: neighbor_joining(_distance(s, d)),
     "m20_cut_tree": lambda s, d: cut_tree(upgma(_distance(s, d)), 0.2),
 }
 

@@ -139,6 +139,11 @@ def test_trees_and_eigen(spark):
     assert ordination.newick(tree, 3) == "(4:12.188,((0:0.500,1:0.500):4.625,(2:0.750,3:0.750):4.375):7.062);"
     assert rows(ordination.cut_tree(tree, 1.0)) == [(0, 5), (1, 5), (2, 6), (3, 6), (4, 4)]
     assert ordination.robinson_foulds(tree, tree).first()["distance"] == 0
+    # an additive tree comes back with its branch lengths: ((0:2, 1:3):3, (2:4, 3:1):2, 4:5)
+    t = np.array([[0, 5, 11, 8, 10], [5, 0, 12, 9, 11], [11, 12, 0, 5, 11], [8, 9, 5, 0, 8], [10, 11, 11, 8, 0]], float)
+    nj = ordination.neighbor_joining(spark.createDataFrame([(i, j, float(t[i, j])) for i in range(5) for j in range(5)], "i long, j long, value double"))
+    length = {r["node"]: r["length"] for r in nj.collect()}
+    assert [length[i] for i in range(5)] == pytest.approx([2, 3, 4, 1, 5])
     a = np.array([[4.0, 1, 0], [1, 3, 0], [0, 0, 1]])
     values, v = ordination.eigen(spark.createDataFrame([(i, j, float(a[i, j])) for i in range(3) for j in range(3)], "i long, j long, value double"), 2, extra=1)
     assert values == pytest.approx(np.linalg.eigvalsh(a)[::-1][:2], rel=1e-6)
