@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from locusframe.functions import codes
 from locusframe.operators.filters import _IUP as IUPAC_SQL
+from locusframe.operators.joins import clean_name, dice
 from locusframe.plans import fixture as fx
 
 
@@ -128,6 +129,30 @@ def genome_offsets(chromosomes: DataFrame) -> DataFrame:
     return chromosomes.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
 
 
+def bit_counts(a: Column, b: Column) -> Column:
+    """Popcounts of and, or, and-not and xor of two words."""
+    return F.struct(
+        F.bit_count(a.bitwiseAND(b)).cast("long").alias("both"), F.bit_count(a.bitwiseOR(b)).cast("long").alias("either"),
+        F.bit_count(a.bitwiseAND(F.bitwise_not(b))).cast("long").alias("only_a"), F.bit_count(a.bitwiseXOR(b)).cast("long").alias("differ"),
+    )
+
+
+def keyboard_distance(a: Column, b: Column) -> Column:
+    """Mean distance on a three-row keyboard of the letters at equal places, over the shorter length."""
+    # The rows of the keyboard.
+    keys = {c: (r, i) for r, row in enumerate(("qwertyuiop", "asdfghjkl", "zxcvbnm")) for i, c in enumerate(row)}
+    place = F.create_map(*[x for c, (r, i) in keys.items() for x in (F.lit(c), F.struct(F.lit(float(r)).alias("r"), F.lit(float(i)).alias("i")))])
+    n = F.least(F.length(a), F.length(b))
+    both = F.arrays_zip(F.slice(F.split(F.lower(a), ""), F.lit(1), n).alias("x"), F.slice(F.split(F.lower(b), ""), F.lit(1), n).alias("y"))
+
+    def one(z: Column) -> Column:
+        p, q = F.try_element_at(place, z["x"]), F.try_element_at(place, z["y"])
+        away = F.sqrt((p["r"] - q["r"]) * (p["r"] - q["r"]) + (p["i"] - q["i"]) * (p["i"] - q["i"]))
+        return F.when(z["x"] == z["y"], 0.0).otherwise(F.coalesce(away, F.lit(10.0)))
+
+    return F.when(n > 0, F.aggregate(both, F.lit(0.0), lambda t, z: t + one(z)) / n)
+
+
 _X09 = ["chr1", " Chromosome 10", "CHRX foo", "2L", "mt"]
 
 
@@ -206,6 +231,9 @@ QUERIES = {
     "x09_chromosome_names": _x09,
     "x10_snp_names": _x10,
     "x11_genotype_scores": _x11,
+    "x12_similarity": lambda s, d: _part(s, d).select("p_partkey", F.levenshtein(F.lower("p_brand"), F.lower("p_type")).alias("edit"), F.round(dice(clean_name(F.col("p_brand")), clean_name(F.col("p_type"))), 6).alias("dice")),
+    "x12_keyboard": lambda s, d: _part(s, d).select("p_partkey", F.round(keyboard_distance(F.col("p_brand"), F.col("p_type")), 6).alias("keys")),
+    "u08_bit_counts": lambda s, d: _part(s, d).select("p_partkey", bit_counts(F.col("p_partkey"), F.col("p_size").cast("long") * 37).alias("b")).select("p_partkey", "b.*"),
     "x17_flatten_json": lambda s, d: flatten_json(fx.table(s, d, "events"), "event_id", "props"),
     "x18_additive_coding": _x18,
     "x18_level_codes": lambda s, d: level_codes(fx.table(s, d, "customer"), "c_custkey", "c_mktsegment"),
@@ -231,6 +259,10 @@ ORACLES = {
     "x11_genotype_scores": f"""WITH {fx.CALLS3}, {_SCORES}, q AS (SELECT *, CAST(least(255, p1 - least(p1, p2, p3)) AS INTEGER) AS aa, CAST(least(255, p2 - least(p1, p2, p3)) AS INTEGER) AS ab, CAST(least(255, p3 - least(p1, p2, p3)) AS INTEGER) AS bb FROM p)
 SELECT taxon, site, aa, ab, bb, CAST(floor(greatest(pow(10, l1), pow(10, l2), pow(10, l3)) / (pow(10, l1) + pow(10, l2) + pow(10, l3)) * 100) AS INTEGER) AS gq,
  CASE WHEN a + b > 0 THEN CASE WHEN aa <= ab AND aa <= bb THEN 0 WHEN ab <= bb THEN 1 ELSE 2 END END AS call FROM q""",
+    "x12_similarity": """WITH p AS (SELECT p_partkey, lower(p_brand) AS a, lower(p_type) AS b, regexp_replace(lower(trim(p_brand)), '[^a-z0-9]', '', 'g') AS x, regexp_replace(lower(trim(p_type)), '[^a-z0-9]', '', 'g') AS y FROM part),
+g AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(x), 2)), lambda i: substr(x, i, 2))) AS gx, list_distinct(list_transform(range(1, greatest(length(y), 2)), lambda i: substr(y, i, 2))) AS gy FROM p)
+SELECT p_partkey, CAST(levenshtein(a, b) AS INTEGER) AS edit, round(2 * len(list_intersect(gx, gy)) / (len(gx) + len(gy)), 6) AS dice FROM g""",
+    "u08_bit_counts": "SELECT p_partkey, CAST(bit_count(a & b) AS BIGINT) AS both, CAST(bit_count(a | b) AS BIGINT) AS either, CAST(bit_count(a & ~b) AS BIGINT) AS only_a, CAST(bit_count(xor(a, b)) AS BIGINT) AS differ FROM (SELECT p_partkey, p_partkey AS a, CAST(p_size AS BIGINT) * 37 AS b FROM part) t",
     "x17_flatten_json": "SELECT event_id, unnest(json_keys(props)) AS path, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events",
     "x18_additive_coding": f"WITH {fx.CALLS} SELECT taxon, site, CAST(CASE WHEN a1 IS NULL OR a2 IS NULL THEN NULL ELSE (CASE WHEN a1 = site % 4 THEN 1 ELSE 0 END) + (CASE WHEN a2 = site % 4 THEN 1 ELSE 0 END) END AS BIGINT) AS dosage FROM calls",
     "x18_level_codes": "SELECT c_custkey, c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer",
