@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from locusframe.functions.distributions import chi2_tail_even, exponential_cdf, f_tail, f_tail_udf, normal_pdf, pareto_cdf
-from locusframe.operators.relationship import _rounded
+from locusframe.operators.relationship import _CEN, _kin, _rounded, kinship
 from locusframe.plans import fixture as fx
 
 
@@ -91,6 +91,39 @@ def association(calls: DataFrame, traits: DataFrame, allele: Column, with_p: boo
     return r.withColumn("p", f_tail_udf()(F.col("f"), F.lit(1), F.col("n") - 2)) if with_p else r
 
 
+def nested_model(calls: DataFrame, observations: DataFrame) -> DataFrame:
+    """Sums of squares of genotype and of samples within genotype at each site, from replicated observations (``taxon, y``).
+
+    Observations shrink to (n, sum, sum of squares) of each sample before they meet the calls, so the join has one row for
+    each cell. A site with one genotype has no test of it.
+    """
+    per = observations.where("y IS NOT NULL").groupBy("taxon").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+    cells = calls.where("a1 IS NOT NULL AND a2 IS NOT NULL").join(per, "taxon").select("site", F.least("a1", "a2").alias("x"), F.greatest("a1", "a2").alias("y"), "n", "s", "q")
+    g = cells.groupBy("site", "x", "y").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("t"), F.count("*").alias("k"))
+    t = g.groupBy("site").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("t").alias("t"), F.sum("k").alias("taxa"), F.count("*").alias("levels"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("m"),
+    )
+    t = t.select(
+        "site", (F.col("m") - F.col("s") * F.col("s") / F.col("n")).alias("ss_marker"), (F.col("levels") - 1).alias("df_marker"), (F.col("t") - F.col("m")).alias("ss_taxa"),
+        (F.col("taxa") - F.col("levels")).alias("df_taxa"), (F.col("q") - F.col("t")).alias("ss_error"), (F.col("n") - F.col("taxa")).alias("df_error"),
+    )
+    return t.withColumn("f_marker", F.try_divide(F.col("ss_marker") * F.col("df_taxa"), F.col("ss_taxa") * F.col("df_marker")))
+
+
+def variance_components(kin: DataFrame, traits: DataFrame) -> DataFrame:
+    """M08, by moments: genetic and residual variance of a trait under a kinship matrix (``i, j, value``, i >= j).
+
+    Products of centred trait values of different samples are regressed on their kinship; the slope is the genetic
+    variance. One join each way and one aggregate, for any number of samples; no likelihood is maximised.
+    """
+    y = traits.where("y IS NOT NULL")
+    c = y.crossJoin(F.broadcast(y.agg(F.avg("y").alias("m"), F.var_pop("y").alias("v")))).select("taxon", (F.col("y") - F.col("m")).alias("e"), "v")  # one row of moments
+    pairs = kin.where("i > j").join(c.select(F.col("taxon").alias("i"), F.col("e").alias("ei"), "v"), "i").join(c.select(F.col("taxon").alias("j"), F.col("e").alias("ej")), "j")
+    p = F.col("ei") * F.col("ej")
+    r = pairs.agg(F.count("*").alias("pairs"), F.try_divide(F.covar_pop("value", p), F.var_pop("value")).alias("genetic"), F.max("v").alias("total"))
+    return r.select("pairs", "genetic", (F.col("total") - F.col("genetic")).alias("residual"), F.try_divide("genetic", "total").alias("share"))
+
+
 def stepwise(calls: DataFrame, traits: DataFrame, allele: Column, enter: float = 1e-3, leave: float = 1e-3, steps: int = 5) -> list[dict]:
     """Forward steps over all sites, with backward checks. A step is one pass: every site's partial F given the chosen ones.
 
@@ -229,7 +262,9 @@ def _x20(s, d):
 QUERIES = {
     "m01_linear_model": _m01,
     "m06_association": lambda s, d: _rounded(association(fx.calls(s, d), _traits(s, d), F.col("site") % 4, with_p=False), "r2", "f").withColumn("effect", F.round("effect", 4)),
+    "m05_nested_model": lambda s, d: _rounded(nested_model(fx.calls(s, d), fx.phenotypes(s, d).select("taxon", "y")), "f_marker").withColumns({c: F.round(F.col(c) / 1e6, 4) for c in ("ss_marker", "ss_taxa", "ss_error")}),
     "m07_association_p": lambda s, d: association(fx.calls(s, d), _traits(s, d), F.col("site") % 4).select("site", F.round("p", 5).alias("p")),
+    "m08_variance_components": lambda s, d: variance_components(kinship(fx.calls(s, d)), _traits(s, d)).select("pairs", F.round("share", 6).alias("share"), F.round(F.col("genetic") / 1e6, 5).alias("genetic"), F.round(F.col("residual") / 1e6, 5).alias("residual")),
     "m14_fisher_exact": lambda s, d: _rounded(fisher_exact(_counts(s, d), ["g"]), "point", "left", "right", "two"),
     "m15_contingency": lambda s, d: _rounded(contingency(fx.table(s, d, "orders"), "o_orderstatus", "o_orderpriority"), "chi2"),
     "m16_goodness_of_fit": lambda s, d: _rounded(_m16(s, d), "chi2"),
@@ -245,6 +280,13 @@ _LF = "lgamma(CAST({} + 1 AS DOUBLE))"
 ORACLES = {
     "m01_linear_model": "SELECT l_returnflag AS g, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, count(*) AS n, round((regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity)) / count(*), 0) AS mean_error FROM lineitem GROUP BY 1",
     "m06_association": f"WITH {fx.CALLS}, {_TR}, {_AS} SELECT site, n, round(r2, 6) AS r2, round(effect, 4) AS effect, CASE WHEN r2 < 1 - 1e-12 THEN round(r2 * (n - 2) / (1 - r2), 6) END AS f FROM r WHERE r2 IS NOT NULL AND NOT isnan(r2)",
+    "m05_nested_model": f"""WITH {fx.CALLS}, {fx.PHENO}, o AS (SELECT site, least(a1, a2) * 10 + greatest(a1, a2) AS g, calls.taxon, y FROM calls JOIN pheno ON calls.taxon = pheno.taxon WHERE a1 IS NOT NULL AND a2 IS NOT NULL),
+w AS (SELECT *, avg(y) OVER (PARTITION BY site) AS ms, avg(y) OVER (PARTITION BY site, g) AS mg, avg(y) OVER (PARTITION BY site, taxon) AS mt FROM o),
+t AS (SELECT site, sum((mg - ms) * (mg - ms)) AS m, sum((mt - mg) * (mt - mg)) AS t, sum((y - mt) * (y - mt)) AS e, count(DISTINCT g) AS l, count(DISTINCT taxon) AS k, count(*) AS n FROM w GROUP BY site)
+SELECT site, round(m / 1e6, 4) AS ss_marker, l - 1 AS df_marker, round(t / 1e6, 4) AS ss_taxa, k - l AS df_taxa, round(e / 1e6, 4) AS ss_error, n - k AS df_error, CASE WHEN l > 1 AND k > l THEN round(m * (k - l) / (t * (l - 1)), 6) END AS f_marker FROM t""",
+    "m08_variance_components": f"""WITH {fx.CALLS}, {_TR}, {_kin('calls', *_CEN)}, c AS (SELECT taxon, y - avg(y) OVER () AS e, var_pop(y) OVER () AS v FROM tr),
+p AS (SELECT value AS x, a.e * b.e AS y, a.v FROM kin JOIN c a ON i = a.taxon JOIN c b ON j = b.taxon WHERE i > j), r AS (SELECT count(*) AS pairs, covar_pop(x, y) / var_pop(x) AS g, max(v) AS t FROM p)
+SELECT pairs, round(g / t, 6) AS share, round(g / 1e6, 5) AS genetic, round((t - g) / 1e6, 5) AS residual FROM r""",
     "m14_fisher_exact": f"""WITH t AS (SELECT o_custkey % 25 AS g, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 150000) AS a, count(*) FILTER (WHERE o_orderstatus = 'F' AND NOT o_totalprice > 150000) AS b,
  count(*) FILTER (WHERE o_orderstatus <> 'F' AND o_totalprice > 150000) AS c, count(*) FILTER (WHERE o_orderstatus <> 'F' AND NOT o_totalprice > 150000) AS d FROM orders GROUP BY 1),
 k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM t),

@@ -326,5 +326,14 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return READERS[kind](spark, path)
 
 
+def read_sql(spark: SparkSession, url: str, query: str, partition: tuple[str, int, int, int] | None = None, **properties: str) -> DataFrame:
+    """Rows of a database query over JDBC; ``partition`` (column, low, high, number) reads it in parallel ranges."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) q").options(**properties)
+    if partition:
+        column, low, high, number_ = partition
+        reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", number_)
+    return reader.load()
+
+
 def union_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [load(spark, p) for p in paths])

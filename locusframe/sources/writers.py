@@ -131,6 +131,14 @@ def write_fasta(cells: DataFrame, path: str, gaps: bool = True, single: bool = T
     _write(s, F.concat(F.lit(">"), F.col("taxon"), F.lit("\n"), seq), [], path, ["taxon"], single)
 
 
+def write_called_sequence(called: DataFrame, path: str, width: int = 80, single: bool = True) -> None:
+    """A FASTA record for each chromosome of ``chr, pos, called`` rows (N where masked), in position order, in lines of ``width``."""
+    parts = called.withColumn("line", F.floor((F.row_number().over(Window.partitionBy("chr").orderBy("pos")) - 1) / width))
+    rows = parts.groupBy("chr", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "called"))), lambda x: x["called"]), "").alias("s"))
+    first = F.when(F.col("line") == 0, F.concat(F.lit(">"), F.col("chr"), F.lit("\n"))).otherwise("")
+    _write(rows, F.concat(first, F.col("s")), [], path, [chromosome_key(F.col("chr")), "line"], single)
+
+
 def write_scores(cells: DataFrame, path: str, value: str, single: bool = True) -> None:
     """A numeric column of the cells (depth, reference probability) as a samples by sites table."""
     taxa = _taxa(cells)

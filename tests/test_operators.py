@@ -150,6 +150,16 @@ def test_trees_and_eigen(spark):
     assert v.count() == 6
 
 
+def test_cluster_order_and_masked_sequence(spark, tmp_path):
+    from locusframe.sources import writers
+
+    m = spark.createDataFrame([("b", "a", 5.0), ("c", "a", 1.0), ("c", "b", 4.0), ("d", "a", 9.0), ("d", "b", 2.0), ("d", "c", 8.0), ("e", "e", 0.0)], "i string, j string, value double")
+    assert relationship.cluster_order(m) == ["a", "c", "b", "d", "e"]
+    called = spark.createDataFrame([("2", 2, "N"), ("2", 1, "A"), ("1", 7, "T"), ("2", 3, "G")], "chr string, pos long, called string")
+    writers.write_called_sequence(called, str(tmp_path / "m"), width=2)
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "m")).collect()] == [">1", "T", ">2", "AN", "G"]
+
+
 def test_stream(spark, tmp_path):
     from locusframe.streaming.allele_stream import allele_count_stream
 
