@@ -49,7 +49,7 @@ def test_empty_tables(calls):
 
 
 def test_kinship(calls):
-    tiles, plain = rows(relationship.kinship(calls, tile=2, strip=2)), rows(relationship.kinship(calls, tiles=False))
+    tiles, plain = rows(relationship.kinship(calls, tiles=True, tile=2, strip=2)), rows(relationship.kinship(calls, tiles=False))
     assert [t[:2] for t in tiles] == [p[:2] for p in plain] and np.allclose([t[2] for t in tiles], [p[2] for p in plain])
     w, _ = relationship.weights(calls.where("site <= 2"))
     for r in w.groupBy("unit").agg(F.sum("w").alias("s")).collect():
