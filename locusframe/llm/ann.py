@@ -7,7 +7,9 @@ a boundary vector also to further lists within ``boundary`` of the nearest dista
 to ``replicas``. Queries walk an in-memory neighbour graph of the centroids, bounded in
 size by ``most_lists``, and probe the lists whose distance is within a ratio of the
 nearest one's. The ratio is fitted too: the smallest at which queries of the sample find
-``recall`` of their true neighbours in it.
+``recall`` of their true neighbours in it. A query whose lists hold fewer than k + 1 ids
+(each counted in its nearest list only) goes on through the next nearest of all lists
+until they do, so it gets k rows wherever there are k candidates.
 
 Equal vectors are stored once, with their k + 1 smallest ids: more can't be in a result.
 Long lists are cut into chunks by a hash, so no task holds more than a chunk; the
@@ -67,8 +69,9 @@ class Index:
         kept = np.take_along_axis(d, near, 1) <= d.min(1, keepdims=True) * (1 + self.boundary)
         return [n[k] for n, k in zip(near, kept, strict=True)]
 
-    def probes(self, v: np.ndarray) -> list[np.ndarray]:
-        """Lists to probe for each query: a walk over the centroid graph, then pruning by distance ratio."""
+    def probes(self, v: np.ndarray, held: np.ndarray | None = None, least: int = 0) -> list[np.ndarray]:
+        """Lists to probe for each query: a walk over the centroid graph, then pruning by distance ratio;
+        with ``held`` (ids of each list, none twice) further lists by distance until they hold ``least`` ids."""
         q, k = self.lifted(v, query=True), len(self.centroids)
         dist, done = np.full((len(q), k), np.inf), np.zeros((len(q), k), bool)
         dist[:, self.entries] = _distances(q, self.centroids[self.entries])
@@ -87,6 +90,13 @@ class Index:
                 r, c = rows[a : a + (1 << 16)], nodes[a : a + (1 << 16)]
                 dist[r, c] = ((q[r] - self.centroids[c]) ** 2).sum(1)
         found = dist <= dist.min(1, keepdims=True) * (1 + self.ratio)
+        few = np.flatnonzero(found @ held < least) if held is not None else []
+        for a in range(0, len(few), 256):
+            some = few[a : a + 256]
+            near = np.argsort(np.where(found[some], -1, _distances(q[some], self.centroids)), axis=1, kind="stable")
+            before = np.cumsum(held[near], axis=1) - held[near]
+            r, place = np.nonzero((before < least) & (held[near] > 0))
+            found[some[r], near[r, place]] = True
         return [np.flatnonzero(f) for f in found]
 
 
@@ -161,19 +171,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk: int = 409
             if len(batch):
                 lists = shared.value.lists_of(np.stack(batch["v"]))
                 at = np.repeat(np.arange(len(batch)), [len(x) for x in lists])
-                yield pd.DataFrame({"list": np.concatenate(lists).astype(np.int32), "ids": batch["ids"].to_numpy()[at], "v": batch["v"].to_numpy()[at]})
+                home = np.concatenate(([True], at[1:] != at[:-1]))  # a vector's nearest list comes first
+                yield pd.DataFrame({"list": np.concatenate(lists).astype(np.int32), "home": home, "ids": batch["ids"].to_numpy()[at], "v": batch["v"].to_numpy()[at]})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 512):
                 part = batch.iloc[a : a + 512]
-                lists = shared.value.probes(np.stack(part["v"]))
+                lists = shared.value.probes(np.stack(part["v"]), sizes.value, k + 1)
                 at = np.repeat(np.arange(len(part)), [len(x) for x in lists])
                 yield pd.DataFrame({"list": np.concatenate(lists).astype(np.int32), "a": part["a"].to_numpy()[at], "b": part["b"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
 
-    postings = cut(_once(vectors, k).mapInPandas(store, "list int, ids array<long>, v array<double>"))
-    chunks = postings.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))  # a row for each list, most_lists at most
-    chunks = spark.createDataFrame([tuple(r) for r in chunks.collect()], "list int, chunks int")
+    postings = cut(_once(vectors, k).mapInPandas(store, "list int, home boolean, ids array<long>, v array<double>"))
+    chunks = postings.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.sum(F.when(F.col("home"), F.size("ids")).otherwise(0)).alias("held")).collect()  # a row for each list, most_lists at most
+    held = np.zeros(len(index.centroids), np.int64)
+    held[[r["list"] for r in chunks]] = [r["held"] for r in chunks]
+    sizes = spark.sparkContext.broadcast(held)
+    chunks = spark.createDataFrame([(r["list"], r["chunks"]) for r in chunks], "list int, chunks int")
     # equal queries are asked once, under a 128-bit name of their vector
     asked = cut(queries.select("id", "v", F.xxhash64(F.lit(1), F.col("v")).alias("a"), F.xxhash64(F.lit(2), F.col("v")).alias("b")))
     probes = asked.groupBy("a", "b").agg(F.first("v").alias("v")).mapInPandas(probe, "list int, a long, b long, v array<double>")
