@@ -10,11 +10,13 @@ the document's words; the search also gives the longest verbatim match and where
 
 Documents never move: one map over their rows. The benchmark goes to the tasks in
 slices of at most ``slice_chars`` characters, broadcast one after another, so a
-benchmark of any size needs bounded memory in a task; the slices' findings of one
-document are put together by its id.
+benchmark of any size needs bounded memory in a task. With several slices the
+documents are written once with a key for each row, and the slices' findings are put
+together by that key, so rows without an id, or with an equal one, stay apart.
 
 Null and empty texts have no words and match nothing. Items without a word never
-occur. Repeated items all count. Documents of any length are read whole.
+occur. Items with one id count once; those without an id mark words and count as one
+null id. Documents of any length are read whole.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import cut as written
+
 # Lower-cases A-Z and turns what is not part of a word into a space, on UTF-8 bytes.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SHARD_WORDS = 2_000_000
@@ -132,7 +136,7 @@ def search_shard(items: Items, docs: list[list[bytes]]) -> list[dict]:
             a = int(starts[d])
             out[d] |= {
                 "n_hit": int(covered[a + sizes[d]] - covered[a]),
-                "items": tuple(items.ids[i] for i in found[1, cut[d] : cut[d + 1]]),
+                "items": tuple(dict.fromkeys(items.ids[i] for i in found[1, cut[d] : cut[d + 1]])),
                 "longest": int(reach[j]),
                 "at": int(spot[j] - a),
                 "item": items.ids[items.item[rows[j]]],
@@ -176,18 +180,23 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, slice_chars:
     spark = docs.sparkSession
     total = benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0
     slices = max(1, -(-total // slice_chars))
+    if slices > 1:
+        rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
+        rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
     found = None
     for k in range(slices):
         part = benchmark if slices == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        rows = sorted(((str(r["item_id"]), r["text"]) for r in part.select("item_id", "text").collect() if r["item_id"] is not None), key=lambda r: r[0])
-        look = _looker(spark.sparkContext.broadcast(Items(rows, window)))
-        own = docs.select(F.col(key), *keep, look(F.col(text)).alias("_found")).select(key, *keep, "_found.*")
+        taken = [(None if r["item_id"] is None else str(r["item_id"]), r["text"]) for r in part.select("item_id", "text").collect()]
+        taken.sort(key=lambda r: (r[0] is None, r[0] or ""))
+        look = _looker(spark.sparkContext.broadcast(Items(taken, window)))
+        if slices == 1:
+            return docs.select(F.col(key), *keep, look(F.col(text)).alias("_found")).select(key, *keep, "_found.*")
+        own = rows.select("_row", look(F.col("_text")).alias("_found")).select("_row", "_found.*")
         found = own if found is None else found.unionByName(own)
-    if slices == 1:
-        return found
     best = F.max_by(F.struct("longest", "longest_at", "longest_item", "longest_item_at"), F.col("longest"))
-    merged = found.groupBy(key, *keep).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), best.alias("_best"))
-    return merged.select(key, *keep, "n_words", _merge_spans("spans").alias("spans"), "items", "_best.*")
+    merged = found.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), best.alias("_best"))
+    merged = rows.select("_row", "_key", "_keep").join(merged, "_row").select("_key", "_keep", "n_words", _merge_spans("spans").alias("spans"), "items", "_best")
+    return merged.select(F.col("_key").alias(key), *[F.col("_keep")[c].alias(c) for c in keep], "n_words", "spans", "items", "_best.*")
 
 
 def _merge_spans(column: str):
