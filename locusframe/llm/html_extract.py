@@ -4,11 +4,13 @@ Markup is stripped to lines, one for each block of the page. Text inside
 elements that are never part of an article (menus, page headers and footers,
 side bars, notices, adverts, forms, scripts, styles, reader comments) becomes
 empty lines. The text lengths are then summed over a sliding window of lines:
-the *surge* of a segment is where that sum rises above a threshold, its *dive*
-is where it falls to zero again, and the text between them is kept. A page with
-an ``article`` or ``main`` element, or else one that is named like it, gives length
-only to the lines inside it; outside of the former, lines made mostly of link text
-have no length.
+a *surge* is where that sum rises above a threshold, its *dive* is where it falls to
+zero again, and the text from the first surge to the last dive is kept; lines made
+mostly of link text have no length in these sums. A page with an ``article`` or ``main``
+element, or else one that is named like it, gives the lines inside it. Inside of what is
+kept, lines of nothing but links are left out, except in ``article`` and ``main``.
+
+Skipped elements whose end tag may be omitted end at a sibling's or their parent's tag.
 
 Null, empty and text-free pages give an empty string. Whole pages are read, and
 nothing of a kept segment is dropped or cut.
@@ -44,6 +46,18 @@ REGION = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
+# Elements whose end tag may be omitted: start tags that end them, and elements inside which those don't count.
+_P_ENDS = frozenset(
+    "address article aside blockquote center details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split()
+)
+OMITTED = {
+    "p": (_P_ENDS, frozenset(["button", "object"])),
+    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
+    **dict.fromkeys(("dt", "dd"), (frozenset(["dt", "dd"]), frozenset(["dl"]))),
+    **dict.fromkeys(("td", "th"), (frozenset(["td", "th", "tr", "tbody", "tfoot"]), frozenset(["table"]))),
+    "tr": (frozenset(["tr", "tbody", "tfoot"]), frozenset(["table"])),
+}
+
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[a-zA-Z/][^<>]*(?:>|\Z)",
@@ -84,43 +98,51 @@ def _is_region(tag: str, attrs: str) -> int:
     return 0
 
 
-def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Lines of a page, the share of link text in each, and how surely each is inside the article (2, 1 or 0)."""
+def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of a page, the share of link text in each, whether it has other text, and how surely it is inside the article (2, 1 or 0)."""
     lines: list[str] = []
     links: list[float] = []
+    plain: list[bool] = []
     inside: list[int] = []
     text: list[str] = []
     linked = 0
+    other = False
     anchor = 0
     regions: list[list] = []  # open regions: element, nesting of the same element, certainty
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, other
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
                 lines.append(line)
                 links.append(linked / max(1, len(line)))
+                plain.append(other)
                 inside.append(max((r[2] for r in regions), default=0))
             text.clear()
-        linked = 0
+        linked, other = 0, False
 
     def blank() -> None:
         lines.extend([""] * gap)
         links.extend([0.0] * gap)
+        plain.extend([False] * gap)
         inside.extend([0] * gap)
 
     at, end, skip, depth = 0, len(html), "", 0
+    within: list[str] = []  # elements open inside a skipped one of OMITTED
     while at < end:
         m = _TOKEN.search(html, at)
         if m is None:
             if not skip:
                 text.append(html[at:])
+                other = other or not anchor and not html[at:].isspace()
             break
         if m.start() > at and not skip:
             text.append(html[at : m.start()])
             if anchor:
                 linked += m.start() - at
+            elif not other:
+                other = not html[at : m.start()].isspace()
         at = m.end()
         close, tag, attrs = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
         if not tag:
@@ -136,6 +158,22 @@ def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray]:
             if not close and tag in ("article", "main") and skip in ("nav", "header", "aside", "head", "title") or not close and tag == "body":
                 skip = ""  # the element was never closed
                 blank()
+            elif skip in OMITTED:
+                starts, scopes = OMITTED[skip]
+                if close and tag in within:
+                    del within[len(within) - 1 - within[::-1].index(tag) :]
+                    continue
+                if close and tag == skip:
+                    skip = ""
+                    blank()
+                    continue
+                over = tag in BLOCKS and tag not in ("p", "br", "hr") if close else tag in starts and scopes.isdisjoint(within)
+                if not over:
+                    if not close and tag not in VOID and not attrs.endswith("/"):
+                        within.append(tag)
+                    continue
+                skip = ""  # its end tag was omitted; this tag counts
+                blank()
             elif tag == skip and tag not in VOID and not attrs.endswith("/"):
                 depth += -1 if close else 1
                 if depth == 0:
@@ -152,6 +190,7 @@ def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray]:
             if _is_boiler(tag, attrs, any(r[2] == 2 for r in regions)):
                 flush()
                 skip, depth = tag, 1
+                within.clear()
             elif sure := _is_region(tag, attrs):
                 regions.append([tag, 1, sure])
             elif regions and regions[-1][0] == tag:
@@ -161,23 +200,22 @@ def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray]:
             if not regions[-1][1]:
                 regions.pop()
     flush()
-    return lines, np.array(links), np.array(inside)
+    return lines, np.array(links), np.array(plain, bool), np.array(inside)
 
 
-def extract_main(html: str | None, window: int = 3, surge: int = 80, link_share: float = 0.6, least_share: float = 0.2) -> str:
+def extract_main(html: str | None, window: int = 3, surge: int = 80, link_share: float = 0.6) -> str:
     """The main text of one page; see the module's text for the method."""
     if not html:
         return ""
-    lines, links, inside = page_lines(html, window)
+    lines, links, plain, inside = page_lines(html, window)
     if not lines:
         return ""
     length = np.fromiter(map(len, lines), np.int64, len(lines))
     sure = int(inside.max())
-    if sure < 2:
-        length = np.where(links > link_share, 0, length)
-    if sure and length[inside == sure].any():
-        length = np.where(inside == sure, length, 0)
-        surge = 0
+    kept = (length > 0) & (plain | (sure == 2))
+    if sure and kept[inside == sure].any():
+        return " ".join(lines[i] for i in np.flatnonzero(kept & (inside == sure)))
+    length = np.where(links > link_share, 0, length)
     if not length.any():
         return ""
     ends = np.concatenate(([0], np.cumsum(length)))
@@ -187,10 +225,8 @@ def extract_main(html: str | None, window: int = 3, surge: int = 80, link_share:
     edges = np.flatnonzero(on[1:] != on[:-1])
     segments = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
     surging = [(a, b) for a, b in segments if block[a:b].max() > surge] or [max(segments, key=lambda s: ends[s[1]] - ends[s[0]])]
-    if surge:
-        most = max(ends[b] - ends[a] for a, b in surging)
-        surging = [(a, b) for a, b in surging if ends[b] - ends[a] >= least_share * most]
-    return " ".join(lines[i] for a, b in surging for i in range(a, b) if length[i])
+    first, last = surging[0][0], surging[-1][1]
+    return " ".join(lines[i] for i in range(first, last) if kept[i])
 
 
 def extract_pages(pages: DataFrame, html: str = "html", **settings: float) -> DataFrame:
