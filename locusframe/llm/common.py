@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +26,11 @@ def fold(column: str, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, a folder of this session's own."""
+    """The folder named by spark.checkpoint.dir; in a local session without one, a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         named = _own_dirs.setdefault(app, None) or tempfile.mkdtemp(prefix="checkpoints-")
         _own_dirs[app] = named
@@ -43,6 +49,28 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers outlive their tasks, and the next ones need the room."""
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def tidy(batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``batches`` (a function of an iterator of batches), giving memory back at the end of each task."""
+
+    @functools.wraps(batches)
+    def run(rows: Iterator) -> Iterator:
+        try:
+            yield from batches(rows)
+        finally:
+            give_back()
+
+    return run
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: columns ``node`` and ``component`` (the smallest node reachable).
 

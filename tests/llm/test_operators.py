@@ -64,6 +64,14 @@ def test_sainte_lague_and_targets():
         plain[i] += 1
     assert mixing.sainte_lague(votes, seats) == plain
     assert mixing.sainte_lague([1.0, 1.0], 5, [1, 10]) == [1, 4] and mixing.sainte_lague([], 3) == []
+    rng = np.random.default_rng(4)
+    for votes in ([100.0] + [0.6] * 200, list(rng.exponential(1, 30)), [1e12, 3.0, 3.0, 1.0]):
+        for seats in (1, 7, 220, 5003):
+            plain = [0] * len(votes)
+            for _ in range(seats):
+                i = max(range(len(votes)), key=lambda k: (votes[k] / (2 * plain[k] + 1), -k))
+                plain[i] += 1
+            assert mixing.sainte_lague(votes, seats) == plain
     assert mixing.targets([10, 100, 100], [3, 1, 2], 1.5, 2) == pytest.approx([20, (315 - 20) / 3, 2 * (315 - 20) / 3])
     assert mixing.targets([0, 0], [3, 1], 1.5, 2) == [0, 0]
 
@@ -87,6 +95,39 @@ def test_mixing(spark, docs, local):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixing_takes_what_the_plain_version_takes(spark, docs, local):
+    """Every word of every shard laid out one by one, blocks chosen by the permutation."""
+    block, seed = 8, 17
+    large = docs.where("source IN ('src0', 'src1', 'src2')")
+    rows = {r["doc_id"]: r for r in mixing.mix(large, block=block, shard_docs=2, seed=seed).collect()}
+    assert min(r["target"] for r in rows.values()) >= 16 * block
+    order = dict(docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id")).collect())
+    by = {}
+    for r in rows.values():
+        by.setdefault((r["source"], r["shard"]), []).append(r["doc_id"])
+    assert len(by) > len({s for s, _ in by})
+    for (source, shard), ids in by.items():
+        line = [i for i in sorted(ids, key=lambda i: (order[i], i)) for _ in range(rows[i]["size"])]
+        cuts = [line[a : a + block] for a in range(0, len(line), block)]
+        quota = rows[ids[0]]["quota"]
+        step, shift = mixing.permutation(len(cuts), source, shard, seed + 2)
+        places = [(i * step + shift) % len(cuts) for i in range(len(cuts))]
+        assert sorted(places) == list(range(len(cuts)))
+        taken = Counter()
+        for place, words in zip(places, cuts, strict=True):
+            for i in words:
+                taken[i] += quota // len(cuts) + (place < quota % len(cuts))
+        assert {i: rows[i]["taken"] for i in ids} == {i: taken[i] for i in ids}
+
+
+def test_mixing_small_sources(spark):
+    """One large and many small sources: each comes near its target."""
+    rows = [(i, "w " * 20, f"s{i:03}") for i in range(199)] + [(1000, "w " * 6400, "t")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 2 for r in got if r["size"] == 20)
+    assert abs(sum(r["taken"] for r in got) - sum(r["target"] for r in got)) <= 16
+
+
 def plain_fp(text, k):
     w = SPACE_WORD.findall(lower(text))
     if not w:
@@ -180,19 +221,37 @@ def test_near_duplicates(spark, docs, local):
 
 
 def test_quality(spark, docs, local):
-    stats = quality.statistics(docs.select("doc_id", "text"))
     labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in local], "doc_id long, quality int")
     shouted = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
-    stats = quality.statistics(shouted)
-    model = quality.fit(stats.join(labels, "doc_id"))
-    got = {r["doc_id"]: r["quality_score"] for r in quality.score(stats, model).collect()}
+    stats = quality.sample(shouted, labels.unionByName(spark.createDataFrame([(1, 7), (None, 1)], labels.schema))).cache()
+    assert stats.count() == len(local)
+    model = quality.fit(stats)
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(shouted, model).collect()}
     assert all(0 <= s <= 1 for s in got.values()) and len(got) == len(local)
     normal = [i for i in local if i < 9000]
     assert np.mean([(got[i] >= 0.7) == (i % 3 != 0) for i in normal]) > 0.9
-    assert quality.fit(stats.join(labels.where("false"), "doc_id")).scores(np.zeros((2, len(quality.STATS)))).tolist() == [0.5, 0.5]
+    assert got[9001] == got[9002] and quality.score(docs.withColumn("quality_score", F.lit("clash")).withColumn("stats", F.lit(1)), model).where("stats = 1").count() == len(local)
+    assert quality.fit(quality.sample(docs, labels.where("false"))).scores(np.zeros((2, len(quality.STATS)))).tolist() == [0.5, 0.5]
     assert quality.isotonic(np.array([2, 0, 2, 2]), np.array([1, 0, 0, 2])).tolist() == sorted(quality.isotonic(np.array([2, 0, 2, 2]), np.array([1, 0, 0, 2])).tolist())
-    r = model.features(np.zeros((1, len(quality.STATS))))
-    assert r.shape[1] == 96 + len(quality.STATS) + 1
+    # the plain version: all features at once, ridge on all rows, isotonic levels of scores by weights without the row's fold
+    rows = stats.select("doc_id", "stats", "quality", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(4)).alias("fold")).collect()
+    x, y, fold = np.array([r["stats"] for r in rows]), np.array([r["quality"] for r in rows], float), np.array([r["fold"] for r in rows])
+    z = np.clip((x - x.mean(0)) / np.maximum(1e-6, x.std(0)), -8, 8)
+    f = np.hstack([np.cos(z @ model.omega + model.phase) * np.sqrt(2 / 192), np.ones((len(z), 1))])
+
+    def plain(k):
+        shrink = 1e-5 * len(k) * np.eye(193)
+        shrink[-1, -1] = 1e-9
+        return np.linalg.solve(f[k].T @ f[k] + shrink, f[k].T @ y[k])
+
+    assert np.allclose(f @ plain(np.arange(len(y))), model.ridge(x), atol=1e-6)
+    held = np.concatenate([(f[fold == k] @ plain(np.flatnonzero(fold != k))) for k in range(4)])
+    at = np.clip(np.rint((held + 0.5) / (2 / 511)), 0, 511).astype(int)
+    label = np.concatenate([y[fold == k] for k in range(4)])
+    assert np.allclose(model.levels, quality.isotonic(np.bincount(at, minlength=512), np.bincount(at, weights=label, minlength=512)), atol=1e-3)
+    # the features stand for a Gaussian kernel
+    near = np.abs((f[:, :-1] @ f[:, :-1].T) - np.exp(-((z[:, None] - z[None]) ** 2).sum(2) / (2 * 10.0**2)))
+    assert near.mean() < 0.06
 
 
 def test_toxicity_network_gradients():
@@ -295,8 +354,29 @@ def test_decontamination(spark, docs, local):
             g = got[i]
             assert (g["n_words"], g["n_hit"], g["n_items"]) == (len(x), len(hit), len(found)), i
             assert g["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        # the longest verbatim match of every document, whatever its length, against all starts in all items
+        coded = [(str(i), word.findall(lower(t))) for i, t in items]
+        for i, r in local.items():
+            x = word.findall(lower(r["text"]))
+            if len(x) > 1200:
+                continue
+            starts = {}
+            for name, y in sorted(coded):
+                for b, w0 in enumerate(y):
+                    starts.setdefault(w0, []).append((name, y, b))
+            best = (0, 0, "", 0)
+            for p, w0 in enumerate(x):
+                for name, y, b in starts.get(w0, ()):
+                    n = 0
+                    while p + n < len(x) and b + n < len(y) and x[p + n] == y[b + n]:
+                        n += 1
+                    best = min(best, (-n, p, name, b))
+            g = got[i]
+            assert (-g["longest"], g["longest_at"] or 0, g["longest_item"] or "", g["longest_item_at"] or 0) == best, (i, slice_chars)
     first = got[next(i for i, r in local.items() if r["text"] == some)]
     assert first["longest"] >= 25
+    clash = docs.select("*", *[F.lit(1).alias(c) for c in ("items", "n_words", "spans", "longest", "_found", "_found0")])
+    assert decontaminate.decontaminate(clash, bench, slice_chars=60).columns == clash.columns
     left = decontaminate.decontaminate(docs, bench)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {i for i in local if got[i]["n_hit"] == 0}
     assert decontaminate.search(docs, bench.where("false")).where("size(items) > 0").count() == 0
