@@ -5,21 +5,29 @@ words, at most ``repeats`` times its own size, the excess shared again by weight
 until no target is above that. The house of blocks (total target over block size)
 is given to the sources by highest quotients target / (2k + 1), and each source's
 blocks to its shards in the same way by the shards' sizes, so every shard has an
-integer quota. Within a shard documents lie in a seeded order, cut into
-equal-token blocks; as many whole passes as the quota holds take every word, and
-the rest of the quota takes blocks in a second seeded order. A document's
-``taken`` is the number of its words in chosen blocks.
+integer quota. Within a shard documents lie in a seeded order, cut into equal-token
+blocks; as many whole passes as the quota holds take every block, and the rest of the
+quota takes the blocks whose places come first in a seeded permutation of the shard's
+blocks (i * step + shift modulo their number). A document's ``taken`` is the number
+of its words in chosen blocks.
+
+A block has ``block`` words, or fewer so that the smallest target holds 16 blocks; only
+the last block of a shard is short. Seats are found by bisection for the divisor, so
+their number costs nothing.
 
 Only one row for each source and one for each shard reaches the driver: a source
 has a shard for each ``shard_docs`` documents, ``most_shards`` at most, beyond
-which shards grow (a shard is a sorted, spillable window of ids and sizes). Empty and null texts have size 0 and take 0;
-a null source is a source of its own, last in order. An empty table gives an
-empty result. Seeds make reruns agree.
+which shards grow (a shard is a sorted, spillable window of ids and sizes). Empty and null
+texts have size 0 and take 0; a null source is a source of its own, last in order. Rows that
+repeat an id each have their own place. An empty table gives an empty result. Seeds make
+reruns agree. Other columns of ``docs`` are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +64,26 @@ def targets(sizes: list[int], weights: list[float], ratio: float, repeats: float
 def sainte_lague(votes: list[float], seats: int, most: list[int] | None = None) -> list[int]:
     """Seats by highest quotients votes / (2k + 1), ties to the earlier party, none above ``most``.
 
-    Seats start from the floor of votes / divisor, which the method never goes
-    below for a smaller divisor, so the heap hands out only the rest.
+    Bisection finds a bar with no more than ``seats`` quotients above it; a heap hands out what is left.
     """
+    most = most or [seats] * len(votes)
+
+    def above(bar: float) -> list[int]:
+        return [min(m, math.floor((v / bar + 1) / 2)) if v > bar else 0 for v, m in zip(votes, most, strict=True)]
+
     got = [0] * len(votes)
-    total = sum(votes)
-    if total <= 0 or seats <= 0:
+    if not votes or max(votes) <= 0 or seats <= 0:
         return got
-    most = most or [seats] * len(votes)
-    got = [min(m, max(0, int(seats * v / total - 1))) for v, m in zip(votes, most, strict=True)]
+    low, high = 0.0, 2.0 * max(votes)
+    for _ in range(200):
+        middle = (low + high) / 2
+        if middle in (low, high):
+            break
+        if sum(above(middle)) > seats:
+            low = middle
+        else:
+            high = middle
+    got = above(high)
     heap = [(-v / (2 * g + 1), i) for i, (v, g) in enumerate(zip(votes, got, strict=True)) if v > 0 and g < most[i]]
     heapq.heapify(heap)
     for _ in range(seats - sum(got)):
@@ -77,6 +96,15 @@ def sainte_lague(votes: list[float], seats: int, most: list[int] | None = None)
     return got
 
 
+def permutation(blocks: int, source: str | None, shard: int, seed: int) -> tuple[int, int]:
+    """Step and shift of a shard's permutation of its blocks; the step has no factor in common with their number."""
+    rng = random.Random(f"{seed} {shard} {source!r}")
+    step = rng.randrange(1, max(2, min(blocks, 1 << 30)))
+    while math.gcd(step, max(1, blocks)) > 1:
+        step = rng.randrange(1, max(2, min(blocks, 1 << 30)))
+    return step, rng.randrange(max(1, blocks))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
@@ -90,7 +118,7 @@ def mix(
 ) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, shard, quota, taken``.
 
-    ``block`` is the number of words of a block; the last block of a shard is short.
+    ``quota`` is the number of blocks that the document's shard gives.
     """
     spark = docs.sparkSession
     sized = cut(docs.select(F.col(key).alias("doc_id"), F.col("source"), word_count("text").alias("size")))
@@ -102,30 +130,33 @@ def mix(
         "source string, source_size long, target double, shards int",
     )
     laid = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     laid = laid.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).cast("int"))
     shards = laid.groupBy("source", "shard").agg(F.sum("size").alias("w")).collect()
-    blocks = sainte_lague(goal, round(sum(goal) / block), [-(-repeats * r[2] // block) for r in per])
-    quota = []
+    block = max(1, min([block, *[int(t // 16) for t in goal if t > 0]]))
+    seats = sainte_lague(goal, round(sum(goal) / block), [repeats * -(-r[2] // block) for r in per])
     by_source: dict = {}
     for r in shards:
         by_source.setdefault(r["source"], []).append((r["shard"], int(r["w"])))
-    for (source, _, _), seats in zip(per, blocks, strict=True):
+    quota = []
+    for (source, _, _), n in zip(per, seats, strict=True):
         own = sorted(by_source.get(source, []))
-        given = sainte_lague([w for _, w in own], seats, [-(-repeats * w // block) for _, w in own])
-        quota += [(source, k, min(g * block, repeats * w), w) for (k, w), g in zip(own, given, strict=True)]
-    quotas = spark.createDataFrame(quota, "q_source string, q_shard int, quota long, shard_size long")
+        sizes = [-(-w // block) for _, w in own]
+        for (k, w), m, g in zip(own, sizes, sainte_lague([float(w) for _, w in own], n, [repeats * m for m in sizes]), strict=True):
+            quota.append((source, k, g, w, m, *permutation(m, source, k, seed + 2)))
+    quotas = spark.createDataFrame(quota, "q_source string, q_shard int, quota long, shard_size long, blocks long, step long, shift long")
     laid = laid.join(quotas, laid["source"].eqNullSafe(quotas["q_source"]) & (laid["shard"] == quotas["q_shard"])).drop("q_source", "q_shard")
 
-    within = Window.partitionBy("source", "shard").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    laid = laid.withColumn("h", order).withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    # blocks of the shard's word line in seeded rotation: the rest of the quota is one run of blocks from a seeded first block on, around the end
-    passes = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0)
-    rest = F.col("quota") - passes * F.col("shard_size")
-    first = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("shard")), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block))) * block
+    within = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = laid.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    n = F.greatest(F.col("blocks"), F.lit(1))
+    passes, rest = F.floor(F.col("quota") / n), F.col("quota") % n
+    end = F.col("start") + F.col("size")
 
-    def overlap(lo: Column, hi: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), hi) - F.greatest(F.col("start"), lo))
+    def chosen(taken: Column, i: Column) -> Column:
+        inside = F.least(end, (i + 1) * block) - F.greatest(F.col("start"), i * block)
+        return taken + F.when(F.pmod(i * F.col("step") + F.col("shift"), n) < rest, inside).otherwise(0)
 
-    taken = passes * F.col("size") + overlap(first, first + rest) + overlap(F.lit(0), first + rest - F.col("shard_size"))
+    touched = F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
+    some = F.when((F.col("size") > 0) & (rest > 0), F.aggregate(touched, F.lit(0).cast("long"), chosen)).otherwise(0)
+    taken = passes * F.col("size") + some
     return laid.select("doc_id", "source", "size", "source_size", "target", "shard", "quota", taken.cast("long").alias("taken"))
