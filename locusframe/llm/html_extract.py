@@ -1,19 +1,23 @@
 """Main-text extraction from web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page. Text inside
-elements that are never part of an article (menus, page headers and footers,
-side bars, notices, adverts, forms, scripts, styles, reader comments) becomes
-empty lines. The text lengths are then summed over a sliding window of lines:
-a *surge* is where that sum rises above a threshold, its *dive* is where it falls to
-zero again, and the text from the first surge to the last dive is kept; lines made
-mostly of link text have no length in these sums. A page with an ``article`` or ``main``
-element, or else one that is named like it, gives the lines inside it. Inside of what is
-kept, lines of nothing but links are left out, except in ``article`` and ``main``.
-
+Markup is stripped to lines, one for each block of the page, and the lines' text lengths are
+summed over a sliding window of lines: a *surge* is where that sum leaves zero and goes on to
+rise above a threshold, its *dive* is where it falls to zero again, and the text from the first
+surge to the last dive is kept. Pages all go this one way; markup acts through the lengths
+alone. Elements that are never part of an article (menus, page headers and footers,
+side bars, notices, adverts, forms, scripts, styles, reader comments) have no lines; outside
+of an article they leave a gap as wide as the window. Where a page marks its article (an ``article`` or
+``main`` element, else one that is named like it), lines outside of it have no length; elsewhere
+lines made mostly of link text have none. If no sum reaches the threshold, the longest run
+of lines with length is kept. Lines without length inside of what is kept go where they are outside of the
+article or nothing but links (outside of ``article`` and ``main``).
+
+Inside ``article`` and ``main`` only names of menus, headers, footers, side bars, notices, adverts,
+forms and comments mark what is left out; elsewhere names of page furniture do as well.
 Skipped elements whose end tag may be omitted end at a sibling's or their parent's tag.
 
-Null, empty and text-free pages give an empty string. Whole pages are read, and
-nothing of a kept segment is dropped or cut.
+Null, empty and text-free pages give an empty string; equal pages equal texts. Of runs of
+equal length the first is kept. Whole pages are read, and nothing of a kept segment is cut.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import tidy
+
 # Element names and name parts of the markup vocabulary.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -35,12 +41,13 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp".split())
 NEVER = frozenset("head title nav footer aside form button select svg canvas object menu dialog audio video map math".split())
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|side|breadcrumbs?|footer|header|masthead|"
-    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|signup|share|sharing|social|related|recommend\w*|"
-    r"comments?|disqus|replies|reviews?|widget|pagination|pager|toolbar|skip|login|copyright|legal|disclaimer|tags|hidden)(?:$|[\s_-])",
-    re.I,
+_NAMES = (
+    r"ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notices?|popup|modal|"
+    r"newsletter|subscri\w*|signup|share|sharing|comments?|disqus|replies|pagination|pager|toolbar|login"
 )
+_FURNITURE = r"side|header|overlay|social|related|recommend\w*|reviews?|widget|skip|copyright|legal|disclaimer|tags|hidden"
+BOILER_IN = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-])", re.I)
+BOILER = re.compile(rf"(?:^|[\s_-])(?:{_NAMES}|{_FURNITURE})(?:$|[\s_-])", re.I)
 REGION = re.compile(
     r"(?:^|\s)(?:content|main|article|post|entry|story|main-?content|page-?content|article-?(?:body|content|text)|post-?(?:body|content)|entry-?content|story-?body)(?:$|\s)", re.I
 )
@@ -73,7 +80,7 @@ def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and BOILER.search(value):
+        if key in ("class", "id") and (BOILER_IN if in_article else BOILER).search(value):
             return True
         if key == "role" and value.lower() in ROLES:
             return True
@@ -123,10 +130,11 @@ def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray,
         linked, other = 0, False
 
     def blank() -> None:
-        lines.extend([""] * gap)
-        links.extend([0.0] * gap)
-        plain.extend([False] * gap)
-        inside.extend([0] * gap)
+        if not regions:
+            lines.extend([""] * gap)
+            links.extend([0.0] * gap)
+            plain.extend([False] * gap)
+            inside.extend([0] * gap)
 
     at, end, skip, depth = 0, len(html), "", 0
     within: list[str] = []  # elements open inside a skipped one of OMITTED
@@ -212,21 +220,20 @@ def extract_main(html: str | None, window: int = 3, surge: int = 80, link_share:
         return ""
     length = np.fromiter(map(len, lines), np.int64, len(lines))
     sure = int(inside.max())
-    kept = (length > 0) & (plain | (sure == 2))
-    if sure and kept[inside == sure].any():
-        return " ".join(lines[i] for i in np.flatnonzero(kept & (inside == sure)))
-    length = np.where(links > link_share, 0, length)
-    if not length.any():
+    may = (length > 0) & (plain | (sure == 2)) & (inside == sure)
+    if not may.any():  # the marked article has no text
+        sure, may = 0, (length > 0) & plain
+    counted = np.where(may & ((links <= link_share) | (sure > 0)), length, 0)
+    if not counted.any():
         return ""
-    ends = np.concatenate(([0], np.cumsum(length)))
+    ends = np.concatenate(([0], np.cumsum(counted)))
     block = ends[np.minimum(np.arange(len(lines)) + window, len(lines))] - ends[:-1]
     # a segment runs from where the windowed sum leaves zero to where it is zero again
     on = np.concatenate(([False], block > 0, [False]))
     edges = np.flatnonzero(on[1:] != on[:-1])
-    segments = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    segments = list(zip(edges[::2], edges[1::2], strict=True))
     surging = [(a, b) for a, b in segments if block[a:b].max() > surge] or [max(segments, key=lambda s: ends[s[1]] - ends[s[0]])]
-    first, last = surging[0][0], surging[-1][1]
-    return " ".join(lines[i] for i in range(first, last) if kept[i])
+    return " ".join(lines[i] for i in range(surging[0][0], surging[-1][1]) if may[i])
 
 
 def extract_pages(pages: DataFrame, html: str = "html", **settings: float) -> DataFrame:
@@ -237,6 +244,7 @@ def extract_pages(pages: DataFrame, html: str = "html", **settings: float) -> Da
     """
 
     @F.pandas_udf("string")
+    @tidy
     def main_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([extract_main(x, **settings) for x in batch], dtype=object)

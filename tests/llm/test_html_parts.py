@@ -1,5 +1,6 @@
 """Parts of an article that adverts cut off, paragraphs of links, and skipped elements without an end tag."""
 
+import numpy as np
 import pytest
 
 from locusframe.llm.html_extract import extract_main
@@ -35,3 +36,33 @@ def test_paragraphs_with_many_links():
 )
 def test_omitted_end_tags(page, want):
     assert extract_main(page) == want
+
+
+def test_names_inside_an_article():
+    inner = "".join(f"<div class={c}><p>{c} words</p></div>" for c in ("legal", "tags", "reviews", "side", "social"))
+    assert extract_main(f"<article><p>{LONG}</p>{inner}<div class=comments>no</div><p>End.</p></article>") == f"{LONG} legal words tags words reviews words side words social words End."
+    assert extract_main(f"<div><p>{LONG}</p></div><div class=legal><p>{LONG}</p></div>") == LONG
+
+
+def test_windows_decide_on_every_page():
+    """Against a plain version over lines given as lengths: pages without a marked article, and with one."""
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        sizes = [int(n) for n in rng.choice([0, 0, 5, 30, 120], 25)]  # 0: an advert
+        body = "".join(f"<p>{'x' * n}</p>" if n else "<div class=ad>buy</div>" for n in sizes)
+        flat = [w for n in sizes for w in ([n] if n else [0, 0, 0])]
+        sums = [sum(flat[i : i + 3]) for i in range(len(flat))]
+        runs, run = [], []
+        for i, s in enumerate([*sums, 0]):
+            if s:
+                run.append(i)
+            elif run:
+                runs.append(run)
+                run = []
+        kept = [r for r in runs if max(sums[i] for i in r) > 80]
+        if not kept and runs:
+            kept = [max(runs, key=lambda r: sum(flat[i] for i in r))]
+        want = " ".join("x" * flat[i] for i in range(kept[0][0], kept[-1][-1] + 1) if flat[i]) if kept else ""
+        assert extract_main(f"<body>{body}</body>") == want
+        whole = " ".join("x" * n for n in sizes if n)
+        assert extract_main(f"<p>{LONG}</p><article>{body}</article><p>{LONG}</p>") == (whole if whole else f"{LONG} {LONG}")
