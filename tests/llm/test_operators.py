@@ -295,40 +295,56 @@ def test_toxicity(spark, docs, local):
     assert toxicity.fit(df, labels.where("false")).scores(["any text"]).tolist() == [0.0]
 
 
-def test_lm_score(spark, docs, local):
-    k = 40.0
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_score(spark, docs, local, order, monkeypatch):
+    """Against the recursion written out; blocks, shards and stretches are small, so that all of them are crossed."""
+    k = (40.0, 6.0, 3.0)
     df = docs.select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held_out"))
-    got = {r["doc_id"]: r for r in lm_score.score(df, strength=k, block_words=500, shard_words=3000).collect()}
+    got = {r["doc_id"]: r for r in lm_score.score(df, order, k, block_words=500, shard_words=3000).collect()}
     toks = {i: SPACE_WORD.findall(lower(r["text"])) + [None] for i, r in local.items()}
-    c, b, h = Counter(), Counter(), Counter()
+    c, h = Counter(), Counter()
     for i, w in toks.items():
         if i % 7 != 2:
-            c.update(w)
-            b.update(zip(["<s>", *w], w, strict=False))
-            h.update(["<s>", *w[:-1]])
-    n, v = sum(c.values()), len(c)
+            w = ["<s>", *w]
+            for p in range(1, len(w)):
+                for m in range(1, order + 1):
+                    if p - m + 1 >= 0:
+                        c[tuple(w[p - m + 1 : p + 1])] += 1
+            h["<s>",] += 1
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+    def prob(g):
+        if len(g) == 1:
+            return (c[g] + 1) / (n + v + 1)
+        before = c[g[:-1]] or h[g[:-1]]
+        return (c[g] + k[len(g) - 2] * prob(g[1:])) / (before + k[len(g) - 2]) if before else prob(g[1:])
+
     for i, w in toks.items():
-        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
-        s, p = 0.0, "<s>"
-        for x in w:
-            u = (c[x] + 1) / (n + v + 1)
-            s += math.log10((b[p, x] + k * u) / (h[p] + k))
-            p = x
+        base = sum(math.log10((c[x,] + 1) / (n + v + 1)) for x in w)
+        full = ["<s>", *w]
+        s = sum(math.log10(prob(tuple(full[max(0, p - order + 1) : p + 1]))) for p in range(1, len(full)))
         r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x,] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(s)
     # a state's arcs and its failure arc share one unit of probability
-    for state in ("<s>", "the"):
-        total = sum((b[state, x] + k * (c[x] + 1) / (n + v + 1)) / (h[state] + k) for x in c) + k * (1 / (n + v + 1)) / (h[state] + k)
-        assert total == pytest.approx(1)
+    words = [g[0] for g in c if len(g) == 1] + ["never seen"]
+    for state in [("<s>",), ("the",), ("same", "words"), ("<s>", "same")][: 4 if order > 2 else 2]:
+        assert sum(prob((*state[max(0, len(state) - order + 1) :], x)) for x in words) == pytest.approx(1)
     assert lm_score.score(df.where("false")).count() == 0
-
-
-def test_lm_score_third_order(spark):
-    df = spark.createDataFrame([(i, "a b c a b d " * 3, False) for i in range(4)] + [(9, "a b c", True), (10, None, True)], "doc_id long, text string, held_out boolean")
-    two = {r["doc_id"]: r["score"] for r in lm_score.score(df, order=2, strength=1.0).collect()}
-    three = {r["doc_id"]: r["score"] for r in lm_score.score(df, order=3, strength=1.0).collect()}
-    assert three[0] > two[0] and three[10] == pytest.approx(two[10])
+    none = {r["doc_id"]: r for r in lm_score.score(df.withColumn("held_out", F.lit(True)), order).collect()}
+    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == pytest.approx(0) for r in none.values())
+
+
+def test_automaton_walk_is_the_same_in_stretches(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 700, 3, 129, 128])
+    stream = np.concatenate([[0, *rng.integers(2, 12, n - 1), 1] for n in sizes])
+    block = lm_score._Block(rng.integers(1, 1 << 62, 12).astype(np.uint64), stream, sizes)
+    _, counts, index = lm_score._asked(block, np.array([False, False, True, False, False]), 3, 60)
+    machine = lm_score.Automaton(index, [c.astype(float) for c in counts], block.is_begin, 4, 958, 11, [5.0, 2.0])
+    short = machine.walk(block.first, block.sizes)
+    monkeypatch.setattr(lm_score, "STRETCH", 10_000)
+    assert np.allclose(machine.walk(block.first, block.sizes), short)
 
 
 def test_decontamination(spark, docs, local):
