@@ -49,6 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """As ``cut``, in buckets of ``key``, as many as there are shuffle partitions: grouping by it later moves no row again."""
+    spark = df.sparkSession
+    name = f"cut_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).format("parquet").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    table_ = spark.table(name)
+    table_.schema  # noqa: B018  resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return table_
+
+
 def give_back() -> None:
     """Return what this worker has freed to the system: workers outlive their tasks, and the next ones need the room."""
     pyarrow.default_memory_pool().release_unused()

@@ -23,7 +23,7 @@ texts can reach, and walks it. Messages are sorted keys, as differences, compres
 Every shard sees an even share of the keys, whatever words are frequent.
 
 Words are keyed by 64-bit hashes (XXH64), longer n-grams by hashes of so many bits that
-one shares its key with another with probability 2^-22 or less at any size of the corpus.
+one shares its key with another with probability 2^-17 or less at any size of the corpus (up to 2^47 tokens).
 
 Null and empty texts are their end token alone. Repeated rows count and are scored each.
 Without training texts N, V and c are 0.
@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut, give_back, tidy
+from locusframe.llm.common import cut, cut_by, give_back, tidy
 
 STRETCH = 128
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -308,27 +308,27 @@ def _answer(messages: DataFrame, order: int) -> DataFrame:
     return messages.groupBy("shard").applyInPandas(answer, "block long, shard int, known long, data binary")
 
 
-def score(docs: DataFrame, order: int = 3, strength: tuple[float, ...] = (500.0, 10.0), block_words: int = 800_000, shard_words: int = 1_600_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, strength: tuple[float, ...] = (500.0, 10.0), block_words: int = 900_000, shard_words: int = 1_600_000) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``docs`` has ``doc_id, text`` and ``held_out`` (its rows are scored, not learned from); its other columns are not read.
     ``strength`` has k for n-grams of 2, 3, ... tokens, the last one for all longer; ``order`` is the longest n-gram.
     """
-    blocks = cut(_blocks(docs, block_words))
+    blocks = cut_by(_blocks(docs, block_words), "block")
     sums = blocks.agg(F.sum("train_tokens"), F.sum("tokens"), F.sum("train_docs")).first()
     n_train, n_all, n_begin = (int(x or 0) for x in sums)
-    bits = min(64, 22 + n_all.bit_length())
+    bits = min(64, 17 + n_all.bit_length())
     power = [strength[min(n, len(strength) - 1)] for n in range(order - 1)]
     shards = max(1, -(-n_train // shard_words))
     answers = cut(_answer(_ask(blocks, shards, order, bits), order))
     n_words = int(answers.agg(F.sum("known")).first()[0] or 0)
 
-    def traverse(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["shard"] < 0].iloc[0]
+    def traverse(own: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        own = own.iloc[0]
         ids, held = pickle.loads(own["ids"])  # noqa: S301  written by _blocks
         block = _Block(*_unpack(own["data"]))
         _, _, index = _asked(block, held, order, bits)
-        got = [_unpack(d) for d in group[group["shard"] >= 0].sort_values("shard")["data"]]
+        got = [_unpack(d) for d in group.sort_values("shard")["data"]]
         counts = [np.concatenate([g[n] for g in got]).astype(np.float64) for n in range(order)]
         machine = Automaton(index, counts, block.is_begin, n_begin, n_train, n_words, power)
         text, word = np.repeat(np.arange(len(ids)), block.sizes + 1)[~block.is_begin], index[0][~block.is_begin]
@@ -343,7 +343,6 @@ def score(docs: DataFrame, order: int = 3, strength: tuple[float, ...] = (500.0,
         give_back()
         return out
 
-    mine = blocks.select("block", F.lit(-1).alias("shard"), "ids", "data")
-    theirs = answers.select("block", "shard", F.lit(None).cast("binary").alias("ids"), "data")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return mine.unionByName(theirs).groupBy("block").applyInPandas(traverse, schema)
+    # the blocks lie in buckets, so only the answers move
+    return blocks.select("block", "ids", "data").groupBy("block").cogroup(answers.select("block", "shard", "data").groupBy("block")).applyInPandas(traverse, schema)
