@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import tidy
+
 UND = "und"
 ORDERS = (2, 3, 4)
 _CHUNK = 1 << 20  # characters worked on at once
@@ -195,6 +197,7 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
+    @tidy
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lang, score = shared.value.predict([t if isinstance(t, str) else None for t in batch])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import connected_components, cut
+from locusframe.llm.common import connected_components, cut, tidy
 
 BITS = 64
 
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, k: int = 3, key: str = "doc_id", text: str = "
     """``key`` and ``fp`` (the 64 bits as a signed long) of every whole text; a map over rows."""
 
     @F.pandas_udf("long")
+    @tidy
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             fps = [fingerprint_of(shingle_hashes(t if isinstance(t, str) else None, k)) for t in batch]
@@ -88,8 +89,8 @@ def near_pairs(prints: DataFrame, tau: int = 2, segments: int = 9, wide: int = 4
     Keys with up to ``wide`` members give every link among them; wider ones, for
     tau = 2, links that connect the same fingerprints.
     """
-    if tau // 2 != 1:
-        raise ValueError("wide keys are spread by one flipped bit: tau is 2 or 3; use 2")
+    if tau != 2:
+        raise ValueError("wide keys are spread by one flipped bit, which links fingerprints within two: tau is 2")
     bounds = _ring(segments)
     chain = next(n for n in range(1, segments + 1) if (n + 1) * tau // segments >= 1)  # segments that must be equal
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(bounds, i, chain))).alias("k")) for i in range(segments)])

@@ -4,7 +4,8 @@ Words are runs of letters, lower-cased. A word's input is its own embedding (wor
 seen in enough training texts) beside the mean embedding of its hashed character
 n-grams, edges marked. Windows of ``length`` words, each starting ``stride`` words
 after the one before and the last one ending with the text, cover the whole text,
-so each word stands in several windows. A window goes through a gated recurrent
+so each word stands in several windows; around the highest one of them windows that start at
+every word are scored as well. A window goes through a gated recurrent
 network in both directions; attention weights pool the states to one logit. The
 score of a text is the calibrated probability of its highest window.
 
@@ -14,8 +15,9 @@ training texts are negative; after each round of fitting, those it ranks highest
 for the next. Rows to learn from are a sample of about ``toxic_rows`` and ``clean_rows`` labelled
 rows at most, of texts up to ``train_chars`` characters; scoring has no limits.
 
-Null, empty and letter-free texts have no window and get score 0. Without
-labelled rows of both kinds every text gets 0.
+Null, empty and letter-free texts have no window and get score 0; equal texts get equal
+scores. Without labelled rows of both kinds every text gets 0. A column named ``toxicity``
+is replaced. A text is tokenised in pieces, so long ones need no more room than others.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import tidy
+
 WORDS = re.compile(r"[^\W\d_]+")
 GRAMS = (3, 4, 5, 6)
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 _WINDOWS = 8192
 
 
@@ -196,6 +200,10 @@ class ToxModel:
         self._rows: dict[str, int] = {}
         self._proj: list[np.ndarray] = []
 
+    def forget(self) -> None:
+        """Empty the projection cache."""
+        self._rows, self._proj = {}, []
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
@@ -211,7 +219,7 @@ class ToxModel:
     def _ids(self, words: list[str]) -> np.ndarray:
         """Rows of the projection cache for ``words``; new ones are projected together."""
         if len(self._rows) > _CACHE_WORDS:
-            self._rows, self._proj = {}, []
+            self.forget()
         rows, new = self._rows, []
         for w in dict.fromkeys(words):
             if w not in rows:
@@ -224,50 +232,91 @@ class ToxModel:
             self._proj = [gf, gb]
         return np.fromiter(map(rows.__getitem__, words), np.int32, len(words))
 
-    def window_logits(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Logits of all windows of each tokenised text."""
-        ids = self._ids([w for t in texts for w in t])
-        at, spans, owner, short = 0, [], [], []
-        for i, t in enumerate(texts):
-            if t:
-                s = window_starts(len(t), self.length, self.stride) + at
-                spans.append(s)
-                owner.append(np.full(len(s), i))
-                short.append(np.full(len(s), min(len(t), self.length)))
-                at += len(t)
-        if not spans:
-            return [np.zeros(0, np.float32) for _ in texts]
-        spans, owner, short = map(np.concatenate, (spans, owner, short))
-        logit = np.empty(len(spans), np.float32)
-        step = np.arange(self.length)
+    def _logits(self, ids: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Logits of the windows at ``starts`` of the words ``ids``, of ``size`` words each."""
+        logit, step = np.empty(len(starts), np.float32), np.arange(self.length)
         for full in (True, False):
-            these = np.flatnonzero((short == self.length) == full)
+            these = np.flatnonzero((size == self.length) == full)
             for a in range(0, len(these), _WINDOWS):
                 part = these[a : a + _WINDOWS]
-                at_ = spans[part][:, None] + step
-                mask = None if full else step < short[part][:, None]
-                logit[part] = self.net.forward(*self._proj, ids[np.minimum(at_, len(ids) - 1)], mask)
-        cuts = np.searchsorted(owner, np.arange(1, len(texts)))
-        return np.split(logit, cuts)
-
-    def scores(self, texts: list[str | None], words_at_once: int = 400_000) -> np.ndarray:
-        """Calibrated probability of each text's highest window; 0 without a word."""
-        out = np.zeros(len(texts))
+                mask = None if full else step < size[part][:, None]
+                logit[part] = self.net.forward(*self._proj, ids[np.minimum(starts[part][:, None] + step, len(ids) - 1)], mask)
+        return logit
+
+    def window_logits(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Logits of the windows at ``stride`` of each tokenised text."""
+        return self._scored(texts)[0]
+
+    def top_logits(self, texts: list[list[str]]) -> np.ndarray:
+        """The highest logit of each tokenised text, over its windows at ``stride`` and those at every word around the highest; -inf without a word."""
+        logits, ids, first = self._scored(texts)
+        top = np.array([z.max(initial=-np.inf) for z in logits])
+        near, owner = [], []
+        for i, (t, z) in enumerate(zip(texts, logits, strict=True)):
+            last = len(t) - self.length
+            if last > 0 and self.stride > 1:
+                best = int(window_starts(len(t), self.length, self.stride)[int(z.argmax())])
+                around = np.arange(max(0, best - self.stride + 1), min(last, best + self.stride - 1) + 1)
+                near.append(around + first[i])
+                owner.append(np.full(len(around), i))
+        if near:
+            near, owner = np.concatenate(near), np.concatenate(owner)
+            np.maximum.at(top, owner, self._logits(ids, near, np.full(len(near), self.length)))
+        return top
+
+    def _scored(self, texts: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Logits of each text's windows at ``stride``, the words' rows, and where each text begins among them."""
+        ids = self._ids([w for t in texts for w in t])
+        sizes = np.array([len(t) for t in texts], np.int64)
+        first = np.cumsum(sizes) - sizes
+        spans = [window_starts(n, self.length, self.stride) + a if n else np.zeros(0, np.int64) for n, a in zip(sizes, first, strict=True)]
+        counts = [len(s) for s in spans]
+        if not sum(counts):
+            return [np.zeros(0, np.float32) for _ in texts], ids, first
+        logit = self._logits(ids, np.concatenate(spans), np.repeat(np.minimum(sizes, self.length), counts))
+        return np.split(logit, np.cumsum(counts)[:-1]), ids, first
+
+    def scores(self, texts: list[str | None], words_at_once: int = 200_000) -> np.ndarray:
+        """Calibrated probability of each text's highest window; 0 without a word.
+
+        Texts are put together to about ``words_at_once`` words. A longer one is cut into pieces that share
+        ``length`` - 1 words, and the highest of its pieces counts.
+        """
+        top = np.full(len(texts), -np.inf)
         if self.net is None:
-            return out
-        part, size = [], 0
-        for i in range(len(texts) + 1):
-            if i == len(texts) or size > words_at_once:
-                if part:
-                    for (j, _), z in zip(part, self.window_logits([t for _, t in part]), strict=True):
-                        if len(z):
-                            out[j] = 1 / (1 + np.exp(-np.clip(self.scale * float(z.max()) + self.shift, -50, 50)))
-                part, size = [], 0
-            if i < len(texts):
-                t = tokenize(texts[i])
-                part.append((i, t))
-                size += len(t)
-        return out
+            return np.zeros(len(texts))
+        part, owner, size = [], [], 0
+
+        def flush() -> None:
+            nonlocal part, owner, size
+            if part:
+                np.maximum.at(top, owner, self.top_logits(part))
+            part, owner, size = [], [], 0
+
+        for i, text in enumerate(texts):
+            for piece in _pieces(text, words_at_once, self.length - 1):
+                part.append(piece)
+                owner.append(i)
+                size += len(piece)
+                if size >= words_at_once:
+                    flush()
+        flush()
+        z = np.clip(self.scale * np.where(np.isfinite(top), top, 0) + self.shift, -50, 50)
+        return np.where(np.isfinite(top), 1 / (1 + np.exp(-z)), 0.0)
+
+
+def _pieces(text: str | None, most: int, shared: int) -> Iterator[list[str]]:
+    """The words of a text, in pieces of up to ``most`` words that share ``shared`` words with the one before."""
+    words: list[str] = []
+    fresh = 0
+    for m in WORDS.finditer(text.lower()) if text else ():
+        words.append(m.group())
+        fresh += 1
+        if len(words) == most:
+            yield words
+            words, fresh = words[len(words) - shared :], 0
+    if fresh:
+        yield words
 
 
 def _clues(toxic: list[list[str]], clean: list[list[str]], least: int) -> dict[str, float]:
@@ -332,19 +381,19 @@ def train(
     hard: list[list[str]] = []
     for again in range(rounds):
         _fit(net, model, positive, negative + hard, epochs, rng, moments, rate=0.01 * 0.6**again)
-        model._rows, model._proj = {}, []
+        model.forget()
         if again + 1 < rounds:
             for a in range(0, len(clean), 200):
                 part = clean[a : a + 200]
                 for t, z in zip(part, model.window_logits(part), strict=True):
                     starts = window_starts(len(t), length, stride)
                     hard += [t[starts[j] : starts[j] + length] for j in np.argsort(-z)[:6] if z[j] > -3]
-    model._rows, model._proj = {}, []
+    model.forget()
     if len(aside[0]) < 60:  # too few to calibrate by alone
         aside = [aside[0] + toxic, aside[1] + clean]
-    tops = [np.array([z.max() for a in range(0, len(g), 200) for z in model.window_logits(g[a : a + 200])]) for g in aside]
+    tops = [np.concatenate([model.top_logits(g[a : a + 200]) for a in range(0, len(g), 200)]) for g in aside]
     model.scale, model.shift = _platt(tops[0], tops[1])
-    model._rows, model._proj = {}, []
+    model.forget()
     return model
 
 
@@ -438,9 +487,11 @@ def score(docs: DataFrame, model: ToxModel, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @tidy
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(shared.value.scores([t if isinstance(t, str) else None for t in batch]))
+        shared.value.forget()
 
     kept = [c for c in docs.columns if c != "toxicity"]
     return docs.select(*kept, predict(F.col(text)).alias("toxicity"))

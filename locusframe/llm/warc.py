@@ -13,12 +13,15 @@ carries the last full response forward; across partitions only one row for each
 
 Null URLs have no canonical form and stay unresolved. A response at the same second as
 a revisit counts as earlier; of several responses at one second the largest record id
-counts. Repeated records each get a row. Without validators on either side a revisit
+counts. Repeated records each get a row; null headers count as none. Without validators on either side a revisit
 is taken to match (state ``unchecked``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,7 +75,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     before = Window.partitionBy("url_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = spread.join(tails, ["_part", "url_key"], "left").withColumn("_before", F.last("_tail", ignorenulls=True).over(before))
     carried = cut(carried.where(F.col("_before").isNotNull()).select("_part", "url_key", "_before"))
-    rows = rows.join(carried, ["_part", "url_key"], "left")
+    rows = rows.join(carried.hint("merge"), ["_part", "url_key"], "left")  # never broadcast: it grows with the URLs
 
     r = F.coalesce("_here", "_before")
     tag, theirs = _opaque(F.col("etag")), _opaque(r["etag"])
@@ -92,42 +95,82 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("state", state)
     found = F.col("state").isin("resolved", "unchecked")
-    may = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
-    kept = F.map_filter(r["headers"], lambda k, v: ~F.array_contains(F.map_keys(may), k))
+    none = F.create_map().cast("map<string,string>")
+    may = F.map_filter(F.coalesce(F.col("headers"), none), lambda k, v: k.isin(*PERMITTED))
+    kept = F.map_filter(F.coalesce(r["headers"], none), lambda k, v: ~F.array_contains(F.map_keys(may), k))
     return rows.select(
         *own, "url_key", "state",
         F.when(found, r["record_id"]).when(full, F.col("record_id")).alias("response_id"),
         F.when(found, r["ts"]).when(full, F.col("ts")).alias("response_ts"),
-        F.when(found, F.map_concat(kept, F.coalesce(may, F.create_map().cast("map<string,string>")))).otherwise(F.col("headers")).alias("merged_headers"),
+        F.when(found, F.map_concat(kept, may)).otherwise(F.col("headers")).alias("merged_headers"),
         F.when(found, r["digest"]).otherwise(F.col("digest")).alias("merged_digest"),
     )
 
 
+RECORD = "record_id string, type string, url string, date string, headers map<string,string>, http_status int, http_headers map<string,string>, payload binary, truncated boolean"
+
+
+RECORD_NAMES = [x.strip().split(" ")[0] for x in RECORD.replace("map<string,string>", "map").split(",")]
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines as a map of lower-case names; of repeated ones the last counts, a folded line goes on."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _record(head: dict[str, str], body: bytes, whole: bool) -> tuple:
+    status = http = None
+    if body.startswith(b"HTTP/"):
+        top, _, rest = body.partition(b"\r\n\r\n")
+        words = top.split(b"\r\n", 1)[0].split()
+        status = int(words[1]) if len(words) > 1 and words[1].isdigit() else None
+        http, body = _fields(top.partition(b"\r\n")[2]), rest
+    return head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), head, status, http, body, not whole
+
+
 def read_warc(spark: SparkSession, path: str, version: str = "WARC/1.0") -> DataFrame:
-    """Records of WARC files, plain or gzip: ``record_id, type, url, date, headers, http_status, http_headers, payload``.
+    """Records of WARC files, plain or gzip: ``record_id, type, url, date, headers, http_status, http_headers, payload, truncated``.
 
-    Plain files are split at the version lines, so one large file is read by many tasks.
-    Bytes outside UTF-8 are replaced.
+    Files are split at the version lines, so one large plain file is read by many tasks; a body has the bytes that
+    Content-Length says, and payloads are bytes as they stand in the file. A body that holds a version line itself is
+    put together again from the pieces; one that ends before its length, as at the end of a cut file, or where
+    a plain file is split right at such a line, is ``truncated``. Pieces without a header are left out.
     """
 
-    def fields(block: Column) -> Column:
-        lines = F.filter(F.split(block, "\r\n"), lambda x: x.contains(":"))
-        pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
-        last = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"].alias("v")))
-        return F.map_from_entries(last)
-
-    raw = spark.read.option("lineSep", f"{version}\r\n").text(path).where(F.col("value").contains("\r\n\r\n"))
-    head = fields(F.substring_index("value", "\r\n\r\n", 1))
-    body = F.regexp_replace(F.regexp_extract("value", r"(?s)\A.*?\r\n\r\n(.*)\z", 1), r"(\r\n){1,2}\z", "")
-    parts = raw.select(head.alias("headers"), body.alias("body"))
-    http = F.col("body").startswith("HTTP/")
-    return parts.select(
-        F.col("headers")["warc-record-id"].alias("record_id"), F.col("headers")["warc-type"].alias("type"),
-        F.col("headers")["warc-target-uri"].alias("url"), F.col("headers")["warc-date"].alias("date"), "headers",
-        F.when(http, F.regexp_extract("body", r"\AHTTP/\S+ (\d+)", 1).cast("int")).alias("http_status"),
-        F.when(http, fields(F.substring_index("body", "\r\n\r\n", 1))).alias("http_headers"),
-        F.when(http, F.regexp_extract("body", r"(?s)\A.*?\r\n\r\n(.*)\z", 1)).otherwise(F.col("body")).alias("payload"),
-    )
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mark = f"{version}\r\n".encode()
+        head, body, size = None, b"", 0
+
+        for batch in batches:
+            out = []
+            for piece in map(bytes, batch["piece"]):
+                if head is not None:
+                    body += mark + piece  # the line stood inside of the body
+                else:
+                    top, gap, body = piece.partition(b"\r\n\r\n")
+                    if not gap:
+                        continue
+                    head = _fields(top)
+                    length = head.get("content-length", "")
+                    size = int(length) if length.isdigit() else len(body)
+                if len(body) >= size:
+                    out.append(_record(head, body[:size], True))
+                    head = None
+            yield pd.DataFrame(out, columns=RECORD_NAMES)
+        if head is not None:
+            yield pd.DataFrame([_record(head, body, False)], columns=RECORD_NAMES)
+
+    pieces = spark.read.option("lineSep", f"{version}\r\n").text(path).select(F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInPandas(parse, RECORD)
 
 
 def captures(pages: DataFrame) -> DataFrame:

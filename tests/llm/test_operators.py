@@ -293,6 +293,27 @@ def test_toxicity(spark, docs, local):
     covered = Counter(p for s in starts for p in range(s, s + 12))
     assert set(covered) == set(range(50)) and min(covered[p] for p in range(6, 44)) >= 2
     assert toxicity.fit(df, labels.where("false")).scores(["any text"]).tolist() == [0.0]
+    # a plain loop over windows, one at a time: every sixth and the last, then every start around the highest
+    def logit(words):
+        rows = model._project(words)
+        mask = None if len(words) == 12 else np.ones((1, len(words)), bool)
+        return float(model.net.forward(*rows, np.arange(len(words))[None], mask)[0])
+
+    for i in [*range(0, 40, 7), 9004, 9008]:
+        w = toxicity.tokenize(local[i]["text"])[:3000] if i in local else []
+        if not w:
+            continue
+        last = max(0, len(w) - 12)
+        places = sorted({*range(0, last + 1, 6), last})
+        z = {a: logit(w[a : a + 12]) for a in places}
+        best = min(places, key=lambda a: (-z[a], a))
+        want = max([*z.values(), *[logit(w[a : a + 12]) for a in range(max(0, best - 5), min(last, best + 5) + 1)]])
+        want = 1 / (1 + math.exp(-(model.scale * want + model.shift)))
+        assert model.scores([" ".join(w)])[0] == pytest.approx(want, abs=1e-4)
+        assert model.scores([" ".join(w)] * 2, words_at_once=10**9).tolist() == pytest.approx([want] * 2, abs=1e-4)
+    long = "some words in a row " * 200 + "you vile scoundrel " + "more of them then " * 200
+    assert abs(model.scores([long], words_at_once=100)[0] - model.scores([long])[0]) < 0.2
+    assert [len(p) for p in toxicity._pieces("a b c d e f g", 4, 2)] == [4, 4, 3]
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
@@ -439,17 +460,30 @@ def test_warc_urls_and_revisits(spark):
         "v4": ("unchecked", "r2"), "x": ("other", None), "v5": ("no_response", None),
     }
     assert got["v1"]["merged_headers"] == {"date": "2", "content-type": "t", "etag": '"e"'} and got["v1"]["merged_digest"] == "d1"
+    bare = df.withColumn("headers", F.when(F.col("record_id") == "v1", F.lit(None).cast("map<string,string>")).otherwise(F.col("headers")))
+    assert {r["record_id"]: r["merged_headers"] for r in warc.resolve_revisits(bare).collect()}["v1"] == h
+    bare = df.withColumn("headers", F.when(F.col("record_id") == "r1", F.lit(None).cast("map<string,string>")).otherwise(F.col("headers")))
+    assert {r["record_id"]: r["merged_headers"] for r in warc.resolve_revisits(bare).collect()}["v1"] == {"date": "2"}
     assert warc.resolve_revisits(df.where("false")).count() == 0
     hot = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("record_id"), F.lit("http://e.com/x").alias("url"), F.col("id").alias("ts"), F.when(F.col("id") % 10 == 0, 200).otherwise(304).alias("status"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("long").alias("last_modified"), F.lit(None).cast("string").alias("digest"), F.create_map().cast("map<string,string>").alias("headers"))
     assert warc.resolve_revisits(hot).where("response_ts <> ts - ts % 10").count() == 0
 
 
 def test_warc_reader(spark, tmp_path):
-    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi: there</p>"
-    rec = [f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Target-URI: http://e.com/{i}\r\nContent-Length: {len(http)}\r\n\r\n{http}\r\n\r\n" for i in range(3)]
-    (tmp_path / "a.warc").write_bytes("".join(rec).encode())
-    got = warc.read_warc(spark, str(tmp_path / "a.warc")).orderBy("record_id").collect()
-    assert [(r["record_id"], r["type"], r["url"], r["http_status"], r["http_headers"]["content-type"], r["payload"]) for r in got] == [(f"<urn:{i}>", "response", f"http://e.com/{i}", 200, "text/html", "<p>hi: there</p>") for i in range(3)]
+    import gzip
+
+    bodies = [b"<p>hi: there</p>", b"line\r\n\r\n", b"a WARC/1.0\r\nWARC-Type: fake\r\n\r\nb", bytes(range(256)), b""]
+    http = [b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + x for x in bodies]
+    rec = [b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nWARC-Target-URI: http://e.com/%d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, i, len(x), x) for i, x in enumerate(http)]
+    (tmp_path / "a.warc").write_bytes(b"".join(rec))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, rec)))
+    (tmp_path / "c.warc").write_bytes(rec[0][:-7])
+    for name in ("a.warc", "b.warc.gz"):
+        got = warc.read_warc(spark, str(tmp_path / name)).orderBy("record_id").collect()
+        assert [(r["record_id"], r["type"], r["url"], r["http_status"], r["http_headers"]["content-type"], bytes(r["payload"]), r["truncated"]) for r in got] == [
+            (f"<urn:{i}>", "response", f"http://e.com/{i}", 200, "text/html", x, False) for i, x in enumerate(bodies)
+        ]
+    assert [(r["truncated"], bytes(r["payload"])) for r in warc.read_warc(spark, str(tmp_path / "c.warc")).collect()] == [(True, bodies[0][:-3])]
 
 
 def test_html_extract(spark):
