@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.operators.ordination import _own
+from locusframe.operators.ordination import shared_folder
 from locusframe.operators.relationship import _CEN, _kin, kinship
 from locusframe.plans import fixture as fx
 from locusframe.sources import readers, writers
 
 
 def _path(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="checkpoints-"))
-    return f"{base.rstrip('/')}/interchange-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/interchange-{uuid.uuid4().hex}"
 
 
 def _cells(s: SparkSession, d: str) -> DataFrame:

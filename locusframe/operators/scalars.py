@@ -19,10 +19,11 @@ def normalise_chromosome(name: Column) -> Column:
 
 
 def chromosome_key(name: Column) -> Column:
-    """Sort key: numbers by value before all others; names that begin with digits padded on the left."""
+    """Sort key: numbers by value before all others; zeros fill the digits that a name begins with up to five."""
     n = normalise_chromosome(name)
     number = F.try_to_number(F.when(n.rlike("^[0-9]{1,9}$"), n), F.lit("999999999"))
-    text = F.when(n.rlike("^[0-9]"), F.lpad(n, 5, " ")).otherwise(n)
+    short = F.lit(5) - F.length(F.regexp_extract(n, "^[0-9]*", 0))
+    text = F.when(n.rlike("^[0-9]") & (short > 0), F.concat(F.repeat(F.lit("0"), short), n)).otherwise(n)
     return F.struct(F.coalesce(number.cast("long"), F.lit(1 << 40)).alias("n"), text.alias("t"))
 
 
@@ -57,23 +58,27 @@ def kmer_distance(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
 
 
-# Fixed values of the depth codec: exact up to 182; above, powers of a base from an offset.
-DEPTH_BASE, DEPTH_OFFSET, DEPTH_EXACT = 1.0746, 126, 182
+# Fixed values of the depth codec: bytes hold depths to 182 exactly; above, minus the power of a base over an offset.
+DEPTH_BASE, DEPTH_OFFSET, DEPTH_EXACT, DEPTH_MISSING = 1.0746, 126, 182, -128
 
 
 def encode_depth(depth: Column) -> Column:
-    """Depth as a signed byte: itself to 127, its negative to 182, beyond that a logarithm below -182 + 54; -1 missing.
-
-    Codes -2..-56 hold 128..182 and -57..-128 the logarithmic range; the largest depths share the last code.
-    """
-    log = F.least(F.lit(71), F.floor(F.log(F.greatest(depth - DEPTH_OFFSET, F.lit(1)).cast("double")) / F.log(F.lit(DEPTH_BASE))) - 56)
-    return F.when(depth.isNull() | (depth < 0), -1).when(depth <= 127, depth).when(depth <= DEPTH_EXACT, 126 - depth).otherwise(-57 - log).cast("int")
+    """Depth as a signed byte: itself to 127, 127 - depth to 182, beyond that minus a whole logarithm, -127 at least; -128 for missing or negative."""
+    power = F.floor(F.log(F.greatest(depth - DEPTH_OFFSET, F.lit(1)).cast("double")) / F.log(F.lit(DEPTH_BASE)))
+    known = F.when(depth <= 127, depth).when(depth <= DEPTH_EXACT, 127 - depth).otherwise(-F.least(F.lit(127), power))
+    return F.when(depth.isNull() | (depth < 0), DEPTH_MISSING).otherwise(known).cast("int")
 
 
 def decode_depth(code: Column) -> Column:
-    """Depth of a code; the lower end of the range in the logarithmic part."""
-    power = F.pow(F.lit(DEPTH_BASE), (-57 - code + 56).cast("double"))
-    return F.when(code == -1, F.lit(None)).when(code >= 0, code).when(code >= -56, 126 - code).otherwise(F.ceil(DEPTH_OFFSET + power)).cast("int")
+    """Depth of a code, in the logarithmic part the middle of its range; null for missing."""
+    middle = F.floor(F.pow(F.lit(DEPTH_BASE), 0.5 - code.cast("double")))
+    return F.when(code == DEPTH_MISSING, F.lit(None)).when(code >= 0, code).when(code >= 127 - DEPTH_EXACT, 127 - code).otherwise(DEPTH_OFFSET + middle).cast("int")
+
+
+def add_depths(a: Column, b: Column) -> Column:
+    """Code of the sum of two coded depths; a missing one adds nothing, two missing ones stay missing."""
+    x, y = decode_depth(a), decode_depth(b)
+    return encode_depth(F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))))
 
 
 def encode_probability(p: Column) -> Column:
@@ -106,9 +111,22 @@ def call_from_depths(a: Column, b: Column) -> Column:
 
 
 def flatten_json(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """``key, path, value`` of a JSON object's top-level members as text."""
-    m = F.from_json(F.col(column), "map<string,string>")
-    return rows.select(key, F.explode(m).alias("path", "value"))
+    """``key, path, value`` of a JSON object's members at any depth: dotted paths, values as text, arrays as JSON text.
+
+    Nulls, texts that are not JSON and anything but an object at the top give no row. One pass for each level of nesting.
+    """
+    spark = rows.sparkSession
+    level = rows.select(F.col(key), F.lit(None).cast("string").alias("path"), F.try_parse_json(F.col(column)).alias("v"))
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    level, found = level.where(is_object), None
+    while True:
+        member = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("_k"), F.col("value").alias("_v")))
+        member = member.select(F.col(key), F.concat_ws(".", "path", "_k").alias("path"), F.col("_v").alias("v"))
+        leaves = member.where(~is_object).select(key, "path", F.col("v").cast("string").alias("value")).where("value IS NOT NULL")
+        found = leaves if found is None else found.unionByName(leaves)
+        level = member.where(is_object)
+        if level.isEmpty():
+            return found
 
 
 def level_codes(rows: DataFrame, by: str, value: str) -> DataFrame:
@@ -124,8 +142,8 @@ def additive(a1: Column, a2: Column, allele: Column) -> Column:
 
 
 def genome_offsets(chromosomes: DataFrame) -> DataFrame:
-    """First whole-genome coordinate of each chromosome (``chr, length``), in name order."""
-    w = Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chromosome
+    """First whole-genome coordinate of each chromosome (``chr, length``), in natural order: numbers before names."""
+    w = Window.orderBy(chromosome_key(F.col("chr"))).rowsBetween(Window.unboundedPreceding, -1)  # a row for each chromosome
     return chromosomes.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
 
 
@@ -153,7 +171,7 @@ def keyboard_distance(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.aggregate(both, F.lit(0.0), lambda t, z: t + one(z)) / n)
 
 
-_X09 = ["chr1", " Chromosome 10", "CHRX foo", "2L", "mt"]
+_X09 = ["chr1", " Chromosome 10", "CHRX foo", "2L", "mt", "10_alt_"]
 
 
 def _part(s, d):
@@ -161,8 +179,9 @@ def _part(s, d):
 
 
 def _x09(s, d):
-    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in _X09]), (F.col("p_partkey") % 5 + 1).cast("int")), (F.col("p_partkey") % 3).cast("string"))
-    return _part(s, d).select("p_partkey", normalise_chromosome(name).alias("chr"))
+    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in _X09]), (F.col("p_partkey") % 6 + 1).cast("int")), (F.col("p_partkey") % 3).cast("string"))
+    key = chromosome_key(name)
+    return _part(s, d).select("p_partkey", normalise_chromosome(name).alias("chr"), key["n"].alias("number"), key["t"].alias("text"))
 
 
 def _seq() -> Column:
@@ -195,7 +214,8 @@ def _x06(s, d):
 def _x07(s, d):
     x = fx.table(s, d, "lineitem").select((F.col("l_quantity") * 11).cast("long").alias("depth")).distinct()
     x = x.withColumn("code", encode_depth(F.col("depth")))
-    return x.select("depth", F.col("code").cast("long").alias("code"), (F.abs(decode_depth(F.col("code")) - F.col("depth")) <= 0.08 * F.col("depth")).alias("near"))
+    other = encode_depth(F.when(F.col("depth") % 3 > 0, F.col("depth") % 100))
+    return x.select("depth", F.col("code").cast("long").alias("code"), decode_depth(F.col("code")).cast("long").alias("back"), add_depths(F.col("code"), other).cast("long").alias("added"))
 
 
 def _x08(s, d):
@@ -215,9 +235,14 @@ def _x18(s, d):
 
 
 def _x19(s, d):
-    sizes = fx.sites(s, d).groupBy("chr").agg(F.max("pos").alias("length"))
-    o = genome_offsets(sizes)
-    return fx.sites(s, d).join(o.select("chr", "offset"), "chr").select("site", (F.col("offset") + F.col("pos")).alias("genome_pos"))
+    sites = fx.sites(s, d).withColumn("chr", F.when(F.col("site") % 13 == 12, "X").otherwise((1 + F.col("site") % 13).cast("string")))
+    o = genome_offsets(sites.groupBy("chr").agg(F.max("pos").alias("length")))
+    return sites.join(o.select("chr", "offset"), "chr").select("site", (F.col("offset") + F.col("pos")).alias("genome_pos"))
+
+
+def _x17(s, d):
+    nested = F.format_string('{"event": {"type": "%s", "props": %s}, "id": %d, "none": null, "list": [1, {"a": 2}], "text": "{}"}', "event_type", "props", "event_id")
+    return flatten_json(fx.table(s, d, "events").select("event_id", nested.alias("j")), "event_id", "j")
 
 
 QUERIES = {
@@ -234,13 +259,13 @@ QUERIES = {
     "x12_similarity": lambda s, d: _part(s, d).select("p_partkey", F.levenshtein(F.lower("p_brand"), F.lower("p_type")).alias("edit"), F.round(dice(clean_name(F.col("p_brand")), clean_name(F.col("p_type"))), 6).alias("dice")),
     "x12_keyboard": lambda s, d: _part(s, d).select("p_partkey", F.round(keyboard_distance(F.col("p_brand"), F.col("p_type")), 6).alias("keys")),
     "u08_bit_counts": lambda s, d: _part(s, d).select("p_partkey", bit_counts(F.col("p_partkey"), F.col("p_size").cast("long") * 37).alias("b")).select("p_partkey", "b.*"),
-    "x17_flatten_json": lambda s, d: flatten_json(fx.table(s, d, "events"), "event_id", "props"),
+    "x17_flatten_json": _x17,
     "x18_additive_coding": _x18,
     "x18_level_codes": lambda s, d: level_codes(fx.table(s, d, "customer"), "c_custkey", "c_mktsegment"),
     "x19_genome_coordinates": _x19,
 }
 
-_CH = "['chr1', ' Chromosome 10', 'CHRX foo', '2L', 'mt'][CAST(p_partkey % 5 + 1 AS INTEGER)] || CAST(p_partkey % 3 AS VARCHAR)"
+_CH = "['chr1', ' Chromosome 10', 'CHRX foo', '2L', 'mt', '10_alt_'][CAST(p_partkey % 6 + 1 AS INTEGER)] || CAST(p_partkey % 3 AS VARCHAR)"
 _B4 = "(SELECT string_agg(['A','C','G','T'][CAST((v // CAST(pow(4, i) AS BIGINT)) % 4 + 1 AS INTEGER)], '' ORDER BY i DESC) FROM (SELECT unnest(range(0, 16)) AS i) WHERE i = 0 OR v >= CAST(pow(4, i) AS BIGINT))"
 _V = "v AS (SELECT p_partkey, p_partkey * 104729 + 4194304 AS v FROM part)"
 _SCORES = """l AS (SELECT taxon, site, a, b, c + a * log10(1 - 0.00075) + b * log10(0.00025) AS l1, c + (a + b) * log10(0.5 - 0.00025) AS l2, c + b * log10(1 - 0.00075) + a * log10(0.00025) AS l3
@@ -252,9 +277,15 @@ ORACLES = {
     "x04_pack": f"WITH {fx.CALLS3}, p AS (SELECT taxon, site, least(coalesce(a1, 15), coalesce(a2, 15)) AS x, greatest(coalesce(a1, 15), coalesce(a2, 15)) AS y FROM calls3) SELECT taxon, site, CAST(x * 16 + y AS INTEGER) AS byte, CAST(nullif(x, 15) AS INTEGER) AS x, CAST(nullif(y, 15) AS INTEGER) AS y FROM p",
     "x05_diploid": f"WITH {fx.CALLS3} SELECT taxon, site, coalesce(['A','C','G','T','+','-','Z'][CAST(a1 AS INTEGER) + 1], 'N') || coalesce(['A','C','G','T','+','-','Z'][CAST(a2 AS INTEGER) + 1], 'N') AS c, coalesce(a1 <> a2, false) AS het, coalesce(a1 < 4 AND a2 < 4, false) AS acgt FROM calls3",
     "x06_kmers": f"WITH {_V} SELECT p_partkey, v AS code, true AS same, CAST((SELECT count(*) FROM (SELECT unnest(range(0, 16)) AS i) WHERE (v // CAST(pow(4, i) AS BIGINT)) % 4 <> (27 // CAST(pow(4, i) AS BIGINT)) % 4) AS BIGINT) AS diff FROM v",
-    "x07_depth_codec": "SELECT DISTINCT CAST(l_quantity * 11 AS BIGINT) AS depth, CASE WHEN l_quantity * 11 <= 127 THEN CAST(l_quantity * 11 AS BIGINT) WHEN l_quantity * 11 <= 182 THEN CAST(126 - l_quantity * 11 AS BIGINT) ELSE CAST(-57 - least(71, floor(ln(l_quantity * 11 - 126) / ln(1.0746)) - 56) AS BIGINT) END AS code, true AS near FROM lineitem",
+    "x07_depth_codec": """WITH q AS (SELECT DISTINCT CAST(l_quantity * 11 AS BIGINT) AS depth FROM lineitem),
+c AS (SELECT depth, CASE WHEN depth <= 127 THEN depth WHEN depth <= 182 THEN 127 - depth ELSE -least(127, CAST(floor(ln(depth - 126) / ln(1.0746)) AS BIGINT)) END AS code FROM q),
+b AS (SELECT *, CASE WHEN code >= 0 THEN code WHEN code >= -55 THEN 127 - code ELSE 126 + CAST(floor(pow(1.0746, 0.5 - code)) AS BIGINT) END AS back FROM c),
+t AS (SELECT *, back + CASE WHEN depth % 3 > 0 THEN depth % 100 ELSE 0 END AS total FROM b)
+SELECT depth, code, back, CASE WHEN total <= 127 THEN total WHEN total <= 182 THEN 127 - total ELSE -least(127, CAST(floor(ln(total - 126) / ln(1.0746)) AS BIGINT)) END AS added FROM t""",
     "x08_probability_codec": "SELECT DISTINCT l_discount, CAST(round(l_discount * 254) AS BIGINT) AS code, round(round(l_discount * 254) / 254, 3) AS back FROM lineitem",
-    "x09_chromosome_names": f"SELECT p_partkey, split_part(trim(regexp_replace(upper(trim({_CH})), '^(CHROMOSOME|CHR)', '')), ' ', 1) AS chr FROM part",
+    "x09_chromosome_names": f"""WITH n AS (SELECT p_partkey, split_part(trim(regexp_replace(upper(trim({_CH})), '^(CHROMOSOME|CHR)', '')), ' ', 1) AS chr FROM part)
+SELECT p_partkey, chr, CASE WHEN regexp_full_match(chr, '[0-9]+') THEN CAST(chr AS BIGINT) ELSE 1099511627776 END AS number,
+ CASE WHEN regexp_matches(chr, '^[0-9]') THEN repeat('0', greatest(0, 5 - length(regexp_extract(chr, '^[0-9]*')))) || chr ELSE chr END AS text FROM n""".replace("CAST(chr AS BIGINT)", "TRY_CAST(chr AS BIGINT)"),
     "x10_snp_names": f"WITH {fx.SITES}, n AS (SELECT site, CASE WHEN site % 7 = 0 THEN 'rs' || site ELSE 'S' || chr || '_' || pos END AS name, site % 7 = 0 AS o, chr, pos FROM sites) SELECT site, name, CASE WHEN NOT o THEN chr END AS chr2, CASE WHEN NOT o THEN pos END AS pos2 FROM n",
     "x11_genotype_scores": f"""WITH {fx.CALLS3}, {_SCORES}, q AS (SELECT *, CAST(least(255, p1 - least(p1, p2, p3)) AS INTEGER) AS aa, CAST(least(255, p2 - least(p1, p2, p3)) AS INTEGER) AS ab, CAST(least(255, p3 - least(p1, p2, p3)) AS INTEGER) AS bb FROM p)
 SELECT taxon, site, aa, ab, bb, CAST(floor(greatest(pow(10, l1), pow(10, l2), pow(10, l3)) / (pow(10, l1) + pow(10, l2) + pow(10, l3)) * 100) AS INTEGER) AS gq,
@@ -263,8 +294,12 @@ SELECT taxon, site, aa, ab, bb, CAST(floor(greatest(pow(10, l1), pow(10, l2), po
 g AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(x), 2)), lambda i: substr(x, i, 2))) AS gx, list_distinct(list_transform(range(1, greatest(length(y), 2)), lambda i: substr(y, i, 2))) AS gy FROM p)
 SELECT p_partkey, CAST(levenshtein(a, b) AS INTEGER) AS edit, round(2 * len(list_intersect(gx, gy)) / (len(gx) + len(gy)), 6) AS dice FROM g""",
     "u08_bit_counts": "SELECT p_partkey, CAST(bit_count(a & b) AS BIGINT) AS both, CAST(bit_count(a | b) AS BIGINT) AS either, CAST(bit_count(a & ~b) AS BIGINT) AS only_a, CAST(bit_count(xor(a, b)) AS BIGINT) AS differ FROM (SELECT p_partkey, p_partkey AS a, CAST(p_size AS BIGINT) * 37 AS b FROM part) t",
-    "x17_flatten_json": "SELECT event_id, unnest(json_keys(props)) AS path, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events",
+    "x17_flatten_json": """WITH e AS (SELECT event_id, event_type, props FROM events)
+SELECT event_id, 'event.type' AS path, event_type AS value FROM e
+UNION ALL SELECT event_id, 'event.props.' || unnest(json_keys(props)), json_extract_string(props, '$.' || unnest(json_keys(props))) FROM e
+UNION ALL SELECT event_id, 'id', CAST(event_id AS VARCHAR) FROM e UNION ALL SELECT event_id, 'list', '[1,{"a":2}]' FROM e UNION ALL SELECT event_id, 'text', '{}' FROM e""",
     "x18_additive_coding": f"WITH {fx.CALLS} SELECT taxon, site, CAST(CASE WHEN a1 IS NULL OR a2 IS NULL THEN NULL ELSE (CASE WHEN a1 = site % 4 THEN 1 ELSE 0 END) + (CASE WHEN a2 = site % 4 THEN 1 ELSE 0 END) END AS BIGINT) AS dosage FROM calls",
     "x18_level_codes": "SELECT c_custkey, c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer",
-    "x19_genome_coordinates": f"WITH {fx.SITES}, z AS (SELECT chr, max(pos) AS n FROM sites GROUP BY chr), o AS (SELECT chr, coalesce(sum(n) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM z) SELECT site, CAST(o + pos AS BIGINT) AS genome_pos FROM sites JOIN o ON sites.chr = o.chr",
+    "x19_genome_coordinates": f"""WITH {fx.SITES}, y AS (SELECT site, pos, site % 13 AS c FROM sites), z AS (SELECT c, max(pos) AS n FROM y GROUP BY c),
+o AS (SELECT c, coalesce(sum(n) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM z) SELECT site, CAST(o + pos AS BIGINT) AS genome_pos FROM y JOIN o ON y.c = o.c""",
 }

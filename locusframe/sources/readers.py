@@ -18,7 +18,8 @@ from locusframe.functions import codes
 from locusframe.operators.scalars import decode_snp_name, normalise_chromosome
 
 # Texts that stand for a missing number.
-MISSING = ("NaN", "NA", ".", "", "-99", "-999")
+MISSING = ("NaN", "NA", ".", "")
+TRAIT_MISSING = (*MISSING, "-99", "-999")  # trait files
 HAPMAP_COLUMNS = ("rs#", "alleles", "chrom", "pos", "strand", "assembly#", "center", "protLSID", "assayLSID", "panelLSID", "QCcode")
 
 
@@ -136,12 +137,12 @@ def _role(kind: str) -> str:
     return "taxa" if k.startswith("taxa") else "data" if k.startswith("data") else "covariate" if k.startswith("cov") else "factor"
 
 
-def _typed(rows: DataFrame, names: list[str], roles: list[str]) -> DataFrame:
+def _typed(rows: DataFrame, names: list[str], roles: list[str], missing: tuple[str, ...] = MISSING) -> DataFrame:
     """Columns of the split cells ``c`` by role, the role kept in the column's metadata."""
     out = []
     for i, (n, r) in enumerate(zip(names, roles, strict=True)):
         v = F.col("c")[i]
-        value = F.when(~v.isin("?", ""), v) if r in ("taxa", "factor") else number(v)
+        value = F.when(~v.isin("?", ""), v) if r in ("taxa", "factor") else number(v, missing)
         out.append(value.alias(n, metadata={"role": r}))
     return rows.select(*out)
 
@@ -170,9 +171,9 @@ def read_traits(spark: SparkSession, path: str) -> DataFrame:
     role = "factor" if factor else "covariate" if any(h.startswith("<Covariate>") for h in head) else "data"
     rows = text.where(~F.col("value").startswith("<")).select(F.split(F.trim("value"), r"\s+").alias("c"))
     if not headers:
-        return _typed(rows, ["taxon", *traits], ["taxa", *[role] * len(traits)])
+        return _typed(rows, ["taxon", *traits], ["taxa", *[role] * len(traits)], TRAIT_MISSING)
     keys = list(headers)
-    cells = [F.struct(*[F.lit(headers[k][i]).alias(k) for k in keys], F.lit(t).alias("_trait"), number(F.col("c")[i + 1]).alias("_value")) for i, t in enumerate(traits)]
+    cells = [F.struct(*[F.lit(headers[k][i]).alias(k) for k in keys], F.lit(t).alias("_trait"), number(F.col("c")[i + 1], TRAIT_MISSING).alias("_value")) for i, t in enumerate(traits)]
     long_ = rows.select(F.col("c")[0].alias("taxon"), F.explode(F.array(*cells)).alias("x")).select("taxon", "x.*")
     return long_.groupBy("taxon", *keys).pivot("_trait", list(dict.fromkeys(traits))).agg(F.first("_value"))
 

@@ -148,6 +148,28 @@ def test_trees_and_eigen(spark):
     values, v = ordination.eigen(spark.createDataFrame([(i, j, float(a[i, j])) for i in range(3) for j in range(3)], "i long, j long, value double"), 2, extra=1)
     assert values == pytest.approx(np.linalg.eigvalsh(a)[::-1][:2], rel=1e-6)
     assert v.count() == 6
+    rng = np.random.default_rng(3)
+    q, _ = np.linalg.qr(rng.normal(size=(12, 12)))
+    b = q @ np.diag([1.0, -5.0, 0.5, 0.3, -0.2, *np.zeros(7)]) @ q.T  # the largest in size is negative
+    values, v = ordination.eigen(spark.createDataFrame([(i, j, float(b[i, j])) for i in range(12) for j in range(12)], "i long, j long, value double"), 2, extra=3)
+    assert values == pytest.approx([1.0, 0.5], abs=1e-6)
+    for c in (0, 1):
+        x = np.array([r["x"] for r in v.where(F.col("c") == c).orderBy("i").collect()])
+        assert np.allclose(b @ x, values[c] * x, atol=1e-3) and x[np.abs(x).argmax()] > 0
+    with pytest.raises(ArithmeticError):
+        ordination.eigen(m, 2, rounds=2)
+
+
+def test_fixed_values_of_scalars(spark):
+    df = spark.createDataFrame([(0, 0), (127, 127), (128, -1), (182, -55), (183, -56), (500, -82), (10_000_000, -127), (None, -128)], "depth int, code int")
+    got = df.select("depth", "code", scalars.encode_depth(F.col("depth")).alias("e"), scalars.decode_depth(F.col("code")).alias("d"), scalars.add_depths(F.col("code"), F.lit(-128)).alias("a")).collect()
+    assert all(r["e"] == r["code"] == r["a"] for r in got)
+    assert {r["code"]: r["d"] for r in got} == {0: 0, 127: 127, -1: 128, -55: 182, -56: 126 + int(1.0746**56.5), -82: 126 + int(1.0746**82.5), -127: 126 + int(1.0746**127.5), -128: None}
+    names = spark.createDataFrame([(x,) for x in ("10_alt_b", "2", "10", "10_alt_a", "chr1", "X", "123456_y", "9b")], "c string")
+    keyed = names.withColumn("k", scalars.chromosome_key(F.col("c"))).orderBy("k").collect()
+    assert [r["c"] for r in keyed] == ["chr1", "2", "10", "9b", "10_alt_a", "10_alt_b", "123456_y", "X"]
+    nested = spark.createDataFrame([(1, '{"a":{"b":1,"c":{"d":"x","e":null}},"f":[1,2],"g":"{\\"h\\":1}"}'), (2, "[1]"), (3, "no json"), (4, None), (5, "{}")], "id int, j string")
+    assert rows(scalars.flatten_json(nested, "id", "j")) == [(1, "a.b", "1"), (1, "a.c.d", "x"), (1, "f", "[1,2]"), (1, "g", '{"h":1}')]
 
 
 def test_cluster_order_and_masked_sequence(spark, tmp_path):

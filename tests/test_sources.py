@@ -155,3 +155,10 @@ def test_report_table(spark, tmp_path):
     assert [x.split("\t")[1] for x in text(spark, tmp_path / "t")] == ["x", "0.5", "-5.0E-1", "1.235E6", "1.0E-4", "NaN"]
     assert W.numbered("a/b.hmp.txt", 2, 3) == "a/b2.hmp.txt" and W.numbered("b.txt", 1, 1) == "b.txt"
     assert json.loads("{}") == {}
+
+
+def test_missing_numbers_by_format(spark, tmp_path):
+    (tmp_path / "p").write_text("<Phenotype>\ntaxa\tdata\nTaxa\ty\nA\t-99\nB\tNA\n")
+    assert [(r[0], r[1]) for r in R.read_phenotype(spark, str(tmp_path / "p")).orderBy("Taxa").collect()] == [("A", -99.0), ("B", None)]
+    (tmp_path / "t").write_text("<Trait>\ty\nA\t-99\nB\t-1\n")
+    assert [(r[0], r[1]) for r in R.read_traits(spark, str(tmp_path / "t")).orderBy("taxon").collect()] == [("A", None), ("B", -1.0)]
