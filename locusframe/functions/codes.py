@@ -26,6 +26,16 @@ def code_of(letter_: Column) -> Column:
     return F.try_element_at(table, F.upper(letter_))
 
 
+def codes_of_text(text: Column) -> Column:
+    """The list of allele codes of a sequence; null for N and anything else."""
+    return F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: code_of(x))
+
+
+def text_of_codes(codes: Column) -> Column:
+    """The sequence of a list of allele codes, N for null."""
+    return F.array_join(F.transform(codes, lambda x: letter(x)), "")
+
+
 def diploid(a1: Column, a2: Column) -> Column:
     """Two letters of a call, as stored."""
     return F.concat(letter(a1), letter(a2))

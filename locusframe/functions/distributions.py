@@ -82,6 +82,51 @@ def f_tail_udf():
     return tail
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    return _lgamma(np.asarray(x, float))
+
+
+def log_gamma_udf():
+    @F.pandas_udf("double")
+    def values(x: pd.Series) -> pd.Series:
+        return pd.Series(log_gamma(x.to_numpy(float)))
+
+    return values
+
+
+def _quantile(tail, p: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 200) -> np.ndarray:
+    """The x between low and high with P(X > x) = 1 - p, by bisection; null outside of 0 < p < 1."""
+    for _ in range(steps):
+        mid = (low + high) / 2
+        above = tail(mid) > 1 - p
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    return np.where((p > 0) & (p < 1), (low + high) / 2, np.nan)
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    p = np.asarray(p, float)
+    return _quantile(lambda x: 0.5 * _erfc(x / math.sqrt(2)), p, np.full(p.shape, -40.0), np.full(p.shape, 40.0))
+
+
+def gamma_quantile(p: np.ndarray, shape: float, scale: float = 1.0) -> np.ndarray:
+    p = np.asarray(p, float)
+    return scale * _quantile(lambda x: gamma_q(shape, x), p, np.zeros(p.shape), np.full(p.shape, shape + 40 * math.sqrt(shape) + 80))
+
+
+def chi2_quantile(p: np.ndarray, df: float) -> np.ndarray:
+    return gamma_quantile(p, df / 2, 2.0)
+
+
+def moments(name: str, *parameters: float) -> tuple[float, float]:
+    """Mean and variance: normal(mean, sd), gamma(shape, scale), chi2(df), exponential(rate), pareto(shape, scale)."""
+    p = parameters
+    if name == "pareto":
+        k, x = p
+        return (k * x / (k - 1) if k > 1 else math.inf, x * x * k / ((k - 1) ** 2 * (k - 2)) if k > 2 else math.inf)
+    table = {"normal": lambda: (p[0], p[1] ** 2), "gamma": lambda: (p[0] * p[1], p[0] * p[1] ** 2), "chi2": lambda: (p[0], 2 * p[0]), "exponential": lambda: (1 / p[0], 1 / p[0] ** 2)}
+    return table[name]()
+
+
 def normal_cdf(z: np.ndarray) -> np.ndarray:
     return 0.5 * _erfc(-np.asarray(z, float) / math.sqrt(2))
 
@@ -103,6 +148,10 @@ def pareto_cdf(x: Column, shape: float, scale: float) -> Column:
     return F.when(x < scale, 0.0).otherwise(1 - F.pow(scale / x, F.lit(shape)))
 
 
+def pareto_quantile(p: Column, shape: float, scale: float) -> Column:
+    return scale * F.pow(1 - p, F.lit(-1 / shape))
+
+
 def chi2_tail_even(x: Column, df: int) -> Column:
     """P(chi-square > x) for an even df, in closed form."""
     if df % 2:

@@ -10,15 +10,17 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 from pyspark.sql.window import Window
 
+from locusframe.operators.joins import range_join
 from locusframe.operators.summary import allele_counts, call_stats
 from locusframe.plans import fixture as fx
 
 
 @dataclass(frozen=True)
 class SiteFilter:
-    """F01. Bounds are inclusive; ``positions``: (chr, first, last) closed ranges to include or exclude."""
+    """F01. Bounds are inclusive; ``positions``: (chr, first, last) closed ranges and ``names``: site names to include or exclude."""
 
     min_count: int = 0
     min_allele_freq: float = 0.0
@@ -28,6 +30,7 @@ class SiteFilter:
     remove_minor_states: bool = False
     remove_indels: bool = False
     positions: tuple = field(default=())
+    names: tuple = field(default=())
     include: bool = True
 
     def __post_init__(self) -> None:
@@ -49,8 +52,12 @@ class TaxaFilter:
     include: bool = True
 
 
-def filter_sites(calls: DataFrame, spec: SiteFilter, sites: DataFrame | None = None) -> DataFrame:
-    """the calls of the sites that pass; minor states beyond the second allele become unknown where asked."""
+def filter_sites(calls: DataFrame, spec: SiteFilter, sites: DataFrame | None = None, listed: DataFrame | None = None, ranges: DataFrame | None = None, width: int = 1 << 14) -> DataFrame:
+    """the calls of the sites that pass; minor states beyond the second allele become unknown where asked.
+
+    ``sites`` (``site, chr, pos`` and maybe ``name``; else names are S<chr>_<pos>) is needed for positions, names, ``listed`` (``chr, pos``
+    of a position file) and ``ranges`` (``chr, start, end`` of a BED file). A site in any of those given is included, or excluded.
+    """
     s = call_stats(calls, "site")
     ac = allele_counts(calls)
     maf = ac.groupBy("site").agg(F.max(F.when(F.col("rk") == 2, F.col("n") / F.col("total"))).alias("maf"))
@@ -60,13 +67,20 @@ def filter_sites(calls: DataFrame, spec: SiteFilter, sites: DataFrame | None = N
     if spec.remove_indels:
         ok = ok & (F.col("has_indel") == 0)
     kept = s.where(ok).select("site")
-    if spec.positions:
+    if spec.positions or spec.names or listed is not None or ranges is not None:
         if sites is None:
-            raise ValueError("position ranges need the sites table")
+            raise ValueError("names, positions and ranges need the sites table")
         inside = F.lit(False)
         for chrom, first, last in spec.positions:
             inside = inside | ((F.col("chr") == chrom) & F.col("pos").between(first, last))
-        kept = kept.join(sites.where(inside).select("site"), "site", "left_semi" if spec.include else "left_anti")
+        if spec.names:
+            inside = inside | (F.col("name") if "name" in sites.columns else F.concat(F.lit("S"), "chr", F.lit("_"), F.col("pos").cast("string"))).isin(list(spec.names))
+        named = sites.where(inside).select("site")
+        if listed is not None:
+            named = named.unionByName(sites.join(listed.select("chr", "pos"), ["chr", "pos"], "left_semi").select("site"))
+        if ranges is not None:
+            named = named.unionByName(range_join(sites, ranges.select("chr", "start", "end"), width).select("site"))
+        kept = kept.join(named, "site", "left_semi" if spec.include else "left_anti")
     out = calls.join(kept, "site", "left_semi")
     if spec.remove_minor_states:
         two = ac.where("rk <= 2").groupBy("site").agg(F.collect_list("allele").alias("two"))
@@ -122,6 +136,32 @@ def keep(rows: DataFrame, names: DataFrame, on: str = "taxon", inverse: bool = F
     return rows.join(names.select(on), on, "left_anti" if inverse else "left_semi").select(*rows.columns)
 
 
+def role(field_: StructField) -> str:
+    """an attribute's role: from the column's metadata, else taxa for ``taxon``, factor for text, data for the rest."""
+    return field_.metadata.get("role") or ("taxa" if field_.name == "taxon" else "factor" if field_.dataType.simpleString() == "string" else "data")
+
+
+def keep_attributes(pheno: DataFrame, which: list[str | int]) -> DataFrame:
+    """the named or numbered attributes, in their order; the sample stays in front."""
+    names = [pheno.columns[w] if isinstance(w, int) else w for w in which]
+    return pheno.select("taxon", *[n for n in names if n != "taxon"])
+
+
+def change_role(pheno: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """attributes with other roles (covariate, data, factor); a factor becomes text, the others numbers."""
+    for name, to in roles.items():
+        if to not in ("covariate", "data", "factor") or name == "taxon":
+            raise ValueError(f"{name} can't become {to}")
+        pheno = pheno.withColumn(name, F.col(name).try_cast("string" if to == "factor" else "double")).withMetadata(name, {"role": to})
+    return pheno
+
+
+def sort_attributes(pheno: DataFrame) -> DataFrame:
+    """Attributes in the order taxa, factor, covariate, data, then by name."""
+    rank = {"taxa": 0, "factor": 1, "covariate": 2, "data": 3}
+    return pheno.select(*[f.name for f in sorted(pheno.schema.fields, key=lambda f: (rank[role(f)], f.name))])
+
+
 def complete_cases(rows: DataFrame) -> DataFrame:
     """rows without a missing value."""
     return rows.na.drop()
@@ -182,6 +222,11 @@ def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "part").select((1 + F.col("p_partkey") % 5).cast("string").alias("chr"), (F.col("p_partkey") * 11 % 15000).alias("pos"))
 
 
+def _beds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    return fx.table(spark, sf_dir, "part").where("p_size = 7").select((1 + p % 5).cast("string").alias("chr"), (p * 13 % 15000).alias("start"), (p * 13 % 15000 + 60).alias("end"))
+
+
 def _f15(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fx.calls3(spark, sf_dir)
     indel = F.max(F.coalesce(F.greatest("a1", "a2"), F.lit(0)))
@@ -191,6 +236,8 @@ def _f15(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "f01_filter_sites": lambda s, d: filter_sites(fx.calls(s, d), SPEC),
     "f01_filter_site_ranges": lambda s, d: filter_sites(fx.calls3(s, d), SiteFilter(remove_indels=True, remove_minor_states=True, positions=(("1", 0, 9000), ("3", 5000, 20000))), fx.sites(s, d)),
+    "f01_filter_site_files": lambda s, d: filter_sites(fx.calls(s, d), SiteFilter(names=("S1_100", "S3_174", "S4_211"), include=False), fx.sites(s, d), _wanted(s, d), _beds(s, d)),
+    "f10_keep_attributes": lambda s, d: sort_attributes(change_role(keep_attributes(fx.phenotypes(s, d), [3, "rep"]), {"rep": "covariate"})),
     "f02_filter_taxa": lambda s, d: filter_taxa(fx.calls(s, d), TaxaFilter(min_known=0.5, max_heterozygous=0.49)),
     "f04_translate": lambda s, d: translate(fx.calls(s, d), _index(s, d)),
     "f05_translate_depth": lambda s, d: translate(fx.calls3(s, d), _index(s, d)),
@@ -222,6 +269,10 @@ two AS (SELECT site, allele FROM (SELECT *, row_number() OVER (PARTITION BY site
 ok AS (SELECT site FROM calls3 GROUP BY site HAVING max(CASE WHEN a1 IN (4,5) OR a2 IN (4,5) THEN 1 ELSE 0 END) = 0)
 SELECT taxon, c.site, CASE WHEN (c.site, a1) IN (SELECT (site, allele) FROM two) THEN a1 END AS a1, CASE WHEN (c.site, a2) IN (SELECT (site, allele) FROM two) THEN a2 END AS a2, depth
 FROM calls3 c WHERE c.site IN (SELECT site FROM ok) AND c.site IN (SELECT site FROM sites WHERE (chr = '1' AND pos BETWEEN 0 AND 9000) OR (chr = '3' AND pos BETWEEN 5000 AND 20000))""",
+    "f01_filter_site_files": f"""WITH {fx.CALLS}, {fx.SITES}, q AS (SELECT CAST(1 + p_partkey % 5 AS VARCHAR) AS chr, p_partkey * 11 % 15000 AS pos FROM part),
+b AS (SELECT CAST(1 + p_partkey % 5 AS VARCHAR) AS chr, p_partkey * 13 % 15000 AS lo FROM part WHERE p_size = 7)
+SELECT * FROM calls WHERE site NOT IN (SELECT site FROM sites WHERE 'S' || chr || '_' || pos IN ('S1_100', 'S3_174', 'S4_211') OR EXISTS (SELECT 1 FROM q WHERE q.chr = sites.chr AND q.pos = sites.pos) OR EXISTS (SELECT 1 FROM b WHERE b.chr = sites.chr AND sites.pos BETWEEN lo AND lo + 60))""",
+    "f10_keep_attributes": f"WITH {fx.PHENO} SELECT taxon, CAST(rep AS DOUBLE) AS rep, y FROM pheno",
     "f02_filter_taxa": f"WITH {fx.CALLS} SELECT * FROM calls WHERE taxon IN (SELECT taxon FROM calls GROUP BY taxon HAVING count(a1) / count(*) >= 0.5 AND avg(CASE WHEN a1 <> a2 THEN 1.0 WHEN a1 = a2 THEN 0.0 END) <= 0.49)",
     "f04_translate": f"WITH {fx.CALLS}, {fx.SITES}, {_IDX} SELECT new AS site, taxon, a1, a2 FROM idx JOIN calls ON old = site UNION ALL SELECT new, taxon, NULL, NULL FROM idx, (SELECT DISTINCT taxon FROM calls) t WHERE old < 0",
     "f05_translate_depth": f"WITH {fx.CALLS3}, {fx.SITES}, {_IDX} SELECT new AS site, taxon, a1, a2, depth FROM idx JOIN calls3 ON old = site UNION ALL SELECT new, taxon, NULL, NULL, 0 FROM idx, (SELECT DISTINCT taxon FROM calls3) t WHERE old < 0",

@@ -60,6 +60,18 @@ def merge_duplicates(calls: DataFrame) -> DataFrame:
     return calls.select("taxon", "site").distinct().join(best, ["taxon", "site"], "left")
 
 
+def merge_depths(depths: DataFrame, least_share: float = 0.0) -> DataFrame:
+    """J05 where depths are known (``taxon, site, allele, depth``, with repeated samples): depths are summed, then called. The two
+    alleles of greatest depth, ties to smaller codes; the second counts from a share of ``least_share`` of both and where it was seen at all."""
+    d = depths.where("allele IS NOT NULL").groupBy("taxon", "site", "allele").agg(F.sum(F.greatest("depth", F.lit(0))).alias("depth")).where("depth > 0")
+    two = d.groupBy("taxon", "site").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.col("allele").alias("a")))), 1, 2).alias("t"))  # an element for each allele code
+    first, second = F.col("t")[0], F.get("t", F.lit(1))
+    het = second.isNotNull() & (second["d"] <= least_share * (first["d"] + second["d"]))
+    a = F.when(het, second["a"]).otherwise(first["a"])
+    called = two.select("taxon", "site", F.least(first["a"], a).alias("a1"), F.greatest(first["a"], a).alias("a2"), (-F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x["d"])).alias("depth"))
+    return depths.select("taxon", "site").distinct().join(called, ["taxon", "site"], "left")
+
+
 def range_join(points: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     """Points (``chr, pos``) with every closed range (``chr, start, end``) that holds them.
 
@@ -128,6 +140,17 @@ def pivot_on(pheno: DataFrame, factor: str = "factor", value: str = "y", levels:
     return pheno.groupBy("taxon").pivot(factor, levels).agg(F.avg(value))
 
 
+def separate_on(pheno: DataFrame, factor: str, values: list[str], levels: list[str], keys: tuple[str, ...] = ("taxon",)) -> DataFrame:
+    """Each value column becomes one for each level of a factor, ``value_factor.level``, in rows by the other attributes ``keys``;
+    two values for one of them raise while the query runs."""
+    out = []
+    for v in values:
+        for level in levels:
+            mine = F.when(F.col(factor) == level, F.col(v))
+            out.append(F.when(F.count(mine) > 1, F.raise_error(F.lit(f"several values of {v} at {factor} {level}"))).otherwise(F.max(mine)).alias(f"{v}_{factor}.{level}"))
+    return pheno.groupBy(*keys).agg(*out)
+
+
 def long_to_wide(rows: DataFrame, key: str, variable: str, value: str, order: str, levels: list[str]) -> DataFrame:
     """(sample, variable, value) rows to one row for each sample; the first value by ``order`` wins."""
     return rows.groupBy(key).agg(*[F.min_by(F.when(F.col(variable) == v, F.col(value)), F.when(F.col(variable) == v, F.col(order))).alias(v) for v in levels])
@@ -212,6 +235,11 @@ def _dup(s, d):
     return c.select((F.col("taxon") % 10).alias("taxon"), "site", "a1", "a2")
 
 
+def _depths(s, d):
+    li = fx.table(s, d, "lineitem")
+    return li.select((F.col("l_suppkey") % 40).alias("taxon"), (F.col("l_partkey") % 400).alias("site"), F.when(F.col("l_linenumber") < 7, F.col("l_linenumber") % 4).alias("allele"), F.col("l_quantity").cast("long").alias("depth"))
+
+
 def _names(s, d):
     return fx.table(s, d, "part").select(F.concat(F.upper("p_brand"), F.lit(" "), F.substring("p_type", 1, 6)).alias("name")), fx.table(s, d, "part").select("p_brand").distinct().withColumnRenamed("p_brand", "name")
 
@@ -222,6 +250,8 @@ QUERIES = {
     "j03_genotype_phenotype": lambda s, d: genotype_phenotype(_q(s, d), fx.calls(s, d).where("site < 20")),
     "j04_merged_calls": lambda s, d: merged_calls([fx.calls(s, d).where("taxon % 2 = 0"), fx.calls3(s, d)]),
     "j05_merge_duplicates": lambda s, d: merge_duplicates(_dup(s, d)),
+    "j05_merge_depths": lambda s, d: merge_depths(_depths(s, d), 0.2),
+    "u06_separate_on": lambda s, d: separate_on(_p(s, d), "factor", ["y"], _SEGMENTS).select("taxon", *[F.round(F.col(f"`y_factor.{c}`"), 4).alias(c.lower()) for c in _SEGMENTS]),
     "j07_position_in_range": lambda s, d: last_range(fx.sites(s, d), _ranges(s, d), 64),
     "j08_overlay": lambda s, d: overlay(_reference(s, d), _blocks(s, d), 64),
     "j10_synonymize": lambda s, d: synonymize(*_names(s, d)).select("query", "match", F.round("score", 6).alias("score"), "rk"),
@@ -248,6 +278,12 @@ ORACLES = {
     "j05_merge_duplicates": f"""WITH {fx.CALLS}, d AS (SELECT taxon % 10 AS taxon, site, a1, a2 FROM calls), a AS (SELECT taxon, site, a, count(*) AS n FROM (SELECT taxon, site, a1 AS a FROM d UNION ALL SELECT taxon, site, a2 FROM d) t WHERE a IS NOT NULL GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY taxon, site ORDER BY n DESC, a) AS rk FROM a), b AS (SELECT taxon, site, min(a) AS a1, max(a) AS a2 FROM r WHERE rk <= 2 GROUP BY 1, 2)
 SELECT k.taxon, k.site, b.a1, b.a2 FROM (SELECT DISTINCT taxon, site FROM d) k LEFT JOIN b ON k.taxon = b.taxon AND k.site = b.site""",
+    "j05_merge_depths": """WITH l AS (SELECT l_suppkey % 40 AS taxon, l_partkey % 400 AS site, CASE WHEN l_linenumber < 7 THEN l_linenumber % 4 END AS allele, CAST(l_quantity AS BIGINT) AS depth FROM lineitem),
+s AS (SELECT taxon, site, allele, CAST(sum(depth) AS BIGINT) AS n FROM l WHERE allele IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY taxon, site ORDER BY n DESC, allele) AS rk FROM s),
+t AS (SELECT taxon, site, max(CASE WHEN rk = 1 THEN allele END) AS a, max(CASE WHEN rk = 2 THEN allele END) AS b, max(CASE WHEN rk = 1 THEN n END) AS na, max(CASE WHEN rk = 2 THEN n END) AS nb FROM r WHERE rk <= 2 GROUP BY 1, 2),
+c AS (SELECT *, CASE WHEN nb >= 0.2 * (na + nb) THEN b ELSE a END AS o FROM t)
+SELECT k.taxon, k.site, least(a, o) AS a1, greatest(a, o) AS a2, CAST(na + coalesce(nb, 0) AS BIGINT) AS depth FROM (SELECT DISTINCT taxon, site FROM l) k LEFT JOIN c ON k.taxon = c.taxon AND k.site = c.site""",
+    "u06_separate_on": f"WITH {_P} SELECT taxon, " + ", ".join(f"round(max(CASE WHEN factor = '{c}' THEN y END), 4) AS {c.lower()}" for c in _SEGMENTS) + " FROM p GROUP BY taxon",
     "j07_position_in_range": f"WITH {fx.SITES}, {_R} SELECT site, s.chr, pos, arg_max(name, rank) AS name FROM sites s JOIN rg ON s.chr = rg.chr AND pos BETWEEN \"start\" AND \"end\" GROUP BY 1, 2, 3",
     "j08_overlay": f"""WITH {fx.SITES}, {_R}, ref AS (SELECT chr, pos, CASE WHEN site % 2 = 0 THEN 'A' ELSE 'C' END AS base FROM sites),
 b AS (SELECT ref.chr, pos, CASE WHEN rank % 3 = 0 THEN 'T' END AS alt, rank % 4 AS depth, rank % 11 = 0 AS masked, row_number() OVER (PARTITION BY ref.chr, pos ORDER BY "start" DESC) AS rn FROM ref JOIN rg ON ref.chr = rg.chr AND pos BETWEEN "start" AND "end")

@@ -213,12 +213,18 @@ def neighbor_joining(d: DataFrame) -> DataFrame:
     return spark.createDataFrame(edges, "node long, parent long, length double")
 
 
-def cut_tree(tree: DataFrame, height: float) -> DataFrame:
-    """``leaf, cluster``: the highest ancestor of each leaf at or below a height."""
+def cut_tree(tree: DataFrame, height: float | None = None, groups: int | None = None) -> DataFrame:
+    """``leaf, cluster``: the highest ancestor of each leaf at or below a height, or after the ``groups`` - 1 highest nodes are opened.
+
+    Of nodes of one height those with larger numbers are opened first (parents have larger numbers than their children)."""
+    if (height is None) == (groups is None):
+        raise ValueError("give a height or a number of groups")
+    inner = tree.where("height > 0")
+    shut = inner.where(F.col("height") <= height) if groups is None else inner.join(inner.orderBy(F.desc("height"), F.desc("node")).limit(groups - 1).select("node"), "node", "left_anti")
+    shut = keep_table(shut.select(F.col("node").alias("to"), F.col("parent").alias("next")))
     up = tree.select(F.col("node").alias("leaf"), F.col("node").alias("at"), "parent").where(F.col("height") == 0)
-    rest = tree.select(F.col("node").alias("to"), F.col("parent").alias("next"), F.col("height").alias("h"))
     while True:
-        step = keep_table(up.join(rest, (up["parent"] == rest["to"]) & (F.col("h") <= height), "left").select("leaf", F.coalesce("to", "at").alias("at"), F.when(F.col("to").isNotNull(), F.col("next")).alias("parent"), F.col("to").isNotNull().alias("moved")))
+        step = keep_table(up.join(shut, up["parent"] == shut["to"], "left").select("leaf", F.coalesce("to", "at").alias("at"), F.when(F.col("to").isNotNull(), F.col("next")).alias("parent"), F.col("to").isNotNull().alias("moved")))
         if not step.where("moved").head(1):
             return step.select("leaf", F.col("at").alias("cluster"))
         up = step.select("leaf", "at", "parent")
@@ -297,6 +303,7 @@ QUERIES = {
     "m12_row_sums": lambda s, d: axis_sums(_cells(s, d)).select("i", F.round("value", 4).alias("value")),
     "m19_upgma": lambda s, d: upgma(_distance(s, d)),
     "m19_neighbor_joining": lambda s, d: neighbor_joining(_distance(s, d)),
+    "m20_cut_tree_groups": lambda s, d: cut_tree(upgma(_distance(s, d)), groups=5),
     "m20_cut_tree": lambda s, d: cut_tree(upgma(_distance(s, d)), 0.2),
 }
 

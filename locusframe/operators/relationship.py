@@ -208,6 +208,18 @@ def degrees(edges: DataFrame) -> DataFrame:
     return e.groupBy("node").agg(F.sum("o").cast("long").alias("out_degree"), F.sum("n").cast("long").alias("in_degree"), F.sum("ow").alias("out_weight"), F.sum("nw").alias("in_weight"))
 
 
+def neighbours(edges: DataFrame, directed: bool = True) -> DataFrame:
+    """``node, neighbour`` without repeats: successors, or both ends of an undirected graph. A loop is its own neighbour."""
+    e = edges.select(F.col("u").alias("node"), F.col("v").alias("neighbour"))
+    return (e if directed else e.unionByName(e.select(F.col("neighbour").alias("node"), F.col("node").alias("neighbour")))).distinct()
+
+
+def graph_size(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, sum of weights."""
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().agg(F.count("*").alias("nodes"))
+    return edges.agg(F.count("*").alias("edges"), F.sum("w").alias("weight")).crossJoin(nodes)  # one row each
+
+
 def _crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("taxon")
     return fx.calls(spark, sf_dir).select("taxon").distinct().select((1000 + t).alias("child"), t.alias("mother"), ((t * 7 + 3) % 40).alias("father"))
@@ -240,6 +252,8 @@ QUERIES = {
     "a23_kinship_dominance_observed": _k("dominance_centered_observed"),
     "a23_kinship_dominance_normalized": _k("dominance_normalized"),
     "a25_graph_degrees": lambda s, d: _rounded(degrees(_edges(s, d)), "out_weight", "in_weight"),
+    "a25_neighbours": lambda s, d: neighbours(_edges(s, d).where("w > 30"), directed=False),
+    "a25_graph_size": lambda s, d: _rounded(graph_size(_edges(s, d)), "weight"),
     "f20_distance_keep_taxa": lambda s, d: _rounded(keep_taxa(ibs_matrix(fx.calls(s, d)), fx.calls(s, d).where("taxon % 3 = 1").select("taxon").distinct()), "value"),
     "t06_closest": lambda s, d: _rounded(closest(ibs_matrix(fx.calls(s, d)).withColumn("value", F.round("value", 9))), "distance"),
     "j09_hybrid": lambda s, d: hybrid_calls(fx.calls(s, d), _crosses(s, d)),
@@ -300,6 +314,8 @@ SELECT same, diff, het, round(1 - (same + floor(het / 2)) / (same + diff + het),
     "a23_kinship_dominance_normalized": _dom("2 * p * (1 - p)", " / sqrt(e * (1 - e))", "count(*)"),
     "a25_graph_degrees": f"""WITH {_EDGES} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(n) AS BIGINT) AS in_degree, round(sum(ow), 6) AS out_weight, round(sum(nw), 6) AS in_weight FROM (
  SELECT u AS node, 1 AS o, 0 AS n, w AS ow, 0.0 AS nw FROM e UNION ALL SELECT v, 0, 1, 0.0, w FROM e) t GROUP BY node""",
+    "a25_neighbours": f"WITH {_EDGES} SELECT u AS node, v AS neighbour FROM e WHERE w > 30 UNION SELECT v, u FROM e WHERE w > 30",
+    "a25_graph_size": f"WITH {_EDGES} SELECT count(*) AS edges, round(sum(w), 6) AS weight, (SELECT count(*) FROM (SELECT u FROM e UNION SELECT v FROM e)) AS nodes FROM e",
     "f20_distance_keep_taxa": f"WITH {fx.CALLS}, {_ibs('calls')} SELECT i, j, round(value, 6) AS value, n FROM ibs WHERE i % 3 = 1 AND j % 3 = 1",
     "t06_closest": f"""WITH {fx.CALLS}, {_ibs('calls')}, b AS (SELECT i, j, round(value, 9) AS v FROM ibs WHERE i <> j UNION ALL SELECT j, i, round(value, 9) FROM ibs WHERE i <> j)
 SELECT taxon, closest, round(v, 6) AS distance FROM (SELECT i AS taxon, j AS closest, v, row_number() OVER (PARTITION BY i ORDER BY v, j) AS rn FROM b) x WHERE rn = 1""",

@@ -29,15 +29,18 @@ def normal_equations(rows: DataFrame, by: list[str], y: str, terms: list[Column]
     return full.groupBy(*by).agg(F.count("*").alias("n"), F.array(*xx).alias("xx"), F.array(*[F.sum(t * F.col(y)) for t in x]).alias("xy"), F.sum(F.col(y) * F.col(y)).alias("yy"))
 
 
-def _solve(n: float, xx: np.ndarray, xy: np.ndarray, yy: float, k: int, tol: float = 1e-9) -> tuple:
-    """Coefficients, incremental and marginal sums of squares, residual sum and freedom; dependent columns are left out."""
+def _solve(n: float, xx: np.ndarray, xy: np.ndarray, yy: float, groups: list[list[int]], tol: float = 1e-9) -> tuple:
+    """Coefficients, incremental and marginal sums of squares with their freedom, residual sum and freedom.
+
+    ``groups`` are the columns of each effect in order; dependent columns are left out."""
+    k = sum(map(len, groups))
     a = np.zeros((k, k))
     a[np.triu_indices(k)] = xx
     a = a + np.triu(a, 1).T
 
-    def fit(cols: list[int]) -> tuple[np.ndarray, float, int]:
+    def fit(parts: list[list[int]]) -> tuple[np.ndarray, float, int]:
         kept: list[int] = []
-        for c in cols:
+        for c in (c for part in parts for c in part):
             trial = kept + [c]
             s = a[np.ix_(trial, trial)]
             if s[-1, -1] > 0 and (len(trial) == 1 or s[-1, -1] - s[-1, :-1] @ np.linalg.solve(s[:-1, :-1], s[:-1, -1]) > tol * s[-1, -1]):
@@ -47,14 +50,12 @@ def _solve(n: float, xx: np.ndarray, xy: np.ndarray, yy: float, k: int, tol: flo
             b[kept] = np.linalg.solve(a[np.ix_(kept, kept)], xy[kept])
         return b, float(b @ xy), len(kept)
 
-    every = list(range(k))
-    beta, ss, rank = fit(every)
-    steps = [fit(every[: i + 1]) for i in every]
-    seq = [steps[i][1] - (steps[i - 1][1] if i else 0.0) for i in every]
-    df = [steps[i][2] - (steps[i - 1][2] if i else 0) for i in every]
-    without = [fit([c for c in every if c != i]) for i in every]
-    marg = [ss - w[1] for w in without]
-    return beta, seq, df, marg, max(0.0, yy - ss), n - rank
+    beta, ss, rank = fit(groups)
+    steps = [(None, 0.0, 0), *[fit(groups[: i + 1]) for i in range(len(groups))]]
+    seq = [(after[1] - before[1], after[2] - before[2]) for before, after in zip(steps, steps[1:], strict=False)]
+    without = [fit(groups[:i] + groups[i + 1 :]) for i in range(len(groups))]
+    marg = [(ss - w[1], rank - w[2]) for w in without]
+    return beta, seq, marg, max(0.0, yy - ss), n - rank
 
 
 def linear_model(rows: DataFrame, by: list[str], y: str, terms: dict[str, Column]) -> DataFrame:
@@ -67,11 +68,11 @@ def linear_model(rows: DataFrame, by: list[str], y: str, terms: dict[str, Column
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                beta, seq, df, marg, sse, dfe = _solve(r.n, np.asarray(r.xx), np.asarray(r.xy), r.yy, len(names))
+                beta, seq, marg, sse, dfe = _solve(r.n, np.asarray(r.xx), np.asarray(r.xy), r.yy, [[i] for i in range(len(names))])
                 mse = sse / dfe if dfe > 0 else math.nan
                 for i, name in enumerate(names):
-                    f = marg[i] / mse if mse and mse > 0 else math.nan
-                    out.append((*[getattr(r, c) for c in by], name, int(r.n), float(beta[i]), float(seq[i]), int(df[i]), float(marg[i]), float(sse), int(dfe), float(f), float(f_tail(f, 1, dfe)) if f == f and dfe > 0 else math.nan))
+                    f = marg[i][0] / mse if mse and mse > 0 else math.nan
+                    out.append((*[getattr(r, c) for c in by], name, int(r.n), float(beta[i]), float(seq[i][0]), int(seq[i][1]), float(marg[i][0]), float(sse), int(dfe), float(f), float(f_tail(f, 1, dfe)) if f == f and dfe > 0 else math.nan))
             yield pd.DataFrame(out, columns=[*by, "term", "n", "coefficient", "ss_incremental", "df", "ss_marginal", "ss_error", "df_error", "f", "p"])
 
     schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["term string, n long, coefficient double, ss_incremental double, df int, ss_marginal double, ss_error double, df_error long, f double, p double"])

@@ -293,6 +293,16 @@ def read_chr_pos(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).where(F.trim("value").rlike(r"^\S+\s+\d+")).select(normalise_chromosome(c[0]).alias("chr"), c[1].cast("long").alias("pos"))
 
 
+def read_quality_scores(spark: SparkSession, path: str) -> DataFrame:
+    """``chr, pos, quality`` of a three-column table with a header; a line of fewer columns or without numbers raises."""
+    c = F.split("value", "\t")
+    t = lines(spark, path).where(F.length(F.trim("value")) > 0)
+    head = t.head(1)
+    t = t.where(F.col("value") != head[0]["value"]) if head else t
+    whole = F.when(F.size(c) < 3, F.raise_error(F.lit("a quality score needs three columns"))).otherwise(c)
+    return t.select(whole.alias("c")).select(normalise_chromosome(F.col("c")[0]).alias("chr"), F.col("c")[1].cast("long").alias("pos"), F.col("c")[2].cast("double").alias("quality"))
+
+
 def sniff(spark: SparkSession, path: str) -> str:
     """The format of a file, by its name, then by its first lines."""
     low = path.lower()

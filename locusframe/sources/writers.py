@@ -30,12 +30,12 @@ def _wide(rows: DataFrame, keys: list[str], taxa: list[str], cell: Column, missi
     return m.select(*keys, F.transform(F.array(*[F.lit(t) for t in taxa]), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(missing))).alias("cells"))
 
 
-def _write(body: DataFrame, line: Column, header: list[str], path: str, order: list, single: bool) -> None:
-    """A text file: header lines first, then ``line`` of each row of ``body`` by ``order``."""
+def _write(body: DataFrame, line: Column, header: list[str], path: str, order: list, single: bool, footer: list[str] | None = None) -> None:
+    """A text file: header lines first, then ``line`` of each row of ``body`` by ``order``, then the footer's lines."""
     spark = body.sparkSession
     rows = body.select(F.lit(1).alias("_k"), *[o.alias(f"_o{i}") if isinstance(o, Column) else F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], line.alias("value"))
     kinds = [f for f in rows.schema.fields if f.name.startswith("_o")]
-    top = spark.createDataFrame([(0, i, h) for i, h in enumerate(header)], "_k int, n int, value string")
+    top = spark.createDataFrame([(k, i, h) for k, part in ((0, header), (2, footer or [])) for i, h in enumerate(part)], "_k int, n int, value string")
     top = top.select("_k", "n", *[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds], "value")
     every = top.unionByName(rows.withColumn("n", F.lit(0)))
     by = ["_k", "n", *[f.name for f in kinds]]
@@ -117,6 +117,15 @@ def write_phylip(cells: DataFrame, path: str, single: bool = True) -> None:
     _write(s, F.concat(F.rpad(F.substring("taxon", 1, 10), 10, " "), F.trim(F.regexp_replace("seq", "(.{10})", "$1 "))), [f"{n['t']} {n['n'] or 0}"], path, ["taxon"], single)
 
 
+def write_phylip_interleaved(cells: DataFrame, path: str, single: bool = True) -> None:
+    """Rows of 50 letters in blocks of ten, a block of all samples after another; names stand in the first one only."""
+    s = _sequences(cells)
+    n = s.agg(F.count("*").alias("t"), F.max(F.length("seq")).alias("n")).first()
+    parts = s.select("taxon", F.posexplode(F.filter(F.split(F.regexp_replace("seq", "(.{50})", "$1\n"), "\n"), lambda x: x != "")).alias("b", "part"))
+    name = F.when(F.col("b") == 0, F.rpad(F.substring("taxon", 1, 10), 10, " ")).otherwise(F.repeat(F.lit(" "), 10))
+    _write(parts, F.concat(name, F.trim(F.regexp_replace("part", "(.{10})", "$1 "))), [f"{n['t']} {n['n'] or 0}"], path, ["b", "taxon"], single)
+
+
 def write_clustalw(cells: DataFrame, path: str, single: bool = True) -> None:
     """The sequences in rows of 50, a block of all samples after another."""
     s = _sequences(cells)
@@ -219,19 +228,27 @@ def write_table(rows: DataFrame, path: str, order: list[str] | None = None, sing
     _write(rows, F.concat_ws("\t", *cells), ["\t".join(rows.columns)], path, order or [rows.columns[0]], single)
 
 
-def write_taxa_json(taxa: DataFrame, path: str) -> None:
-    """``name, anno`` as one ``TaxaList`` object. A list of samples is one JSON document, so one row."""
-    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"^\[(.*)\]$", 1)
-    rows = taxa.select("name", F.concat(F.lit('{"name":'), quoted(F.col("name")), F.lit(',"anno":'), F.coalesce(F.to_json("anno"), F.lit("{}")), F.lit("}")).alias("t"))
-    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "t"))), lambda x: x["t"]), ",")
-    rows.agg(F.concat(F.lit('{"TaxaList":['), items, F.lit("]}")).alias("value")).write.mode("overwrite").text(path)
+def _write_items(items: DataFrame, name: str, order: list, path: str, single: bool) -> None:
+    """``{name: [...]}`` with an item (JSON text ``t``) on each line, by ``order``, then text. Repeated items are written as often as they come."""
+    keyed = items.select(*[o.alias(f"s{i}") for i, o in enumerate(order)], "t").groupBy(*[f"s{i}" for i in range(len(order))], "t").agg(F.count("*").alias("n"))
+    key = F.struct(*[f"s{i}" for i in range(len(order))], "t")
+    lead = keyed.crossJoin(F.broadcast(keyed.agg(F.min(key).alias("first"))))  # one row
+    line = F.concat(F.when(key.eqNullSafe(F.col("first")), "").otherwise(","), F.array_join(F.array_repeat("t", F.col("n").cast("int")), ","))
+    _write(lead, line, [f'{{"{name}":['], path, [*[f"s{i}" for i in range(len(order))], "t"], single, ["]}"])
+
+
+def write_taxa_json(taxa: DataFrame, path: str, single: bool = True) -> None:
+    """``name, anno`` as one ``TaxaList`` object, a sample on each line. Parts of several files make the object one after another."""
+    quoted = F.regexp_extract(F.to_json(F.array("name")), r"^\[(.*)\]$", 1)
+    rows = taxa.select("name", F.concat(F.lit('{"name":'), quoted, F.lit(',"anno":'), F.coalesce(F.to_json("anno"), F.lit("{}")), F.lit("}")).alias("t"))
+    _write_items(rows, "TaxaList", [F.col("name")], path, single)
 
 
-def write_positions_json(sites: DataFrame, path: str) -> None:
-    """``chr, pos`` (and ``snp``, ``maf``, ``strand`` where they are columns) as one ``PositionList`` object."""
+def write_positions_json(sites: DataFrame, path: str, single: bool = True) -> None:
+    """``chr, pos`` (and ``snp``, ``maf``, ``strand`` where they are columns) as one ``PositionList`` object, a site on each line."""
     named = {"snp": "SNPID", "maf": "globalMAF", "strand": "strand"}
     fields = [F.struct(F.col("chr").alias("name")).alias("chr"), F.col("pos").alias("position"), *[F.col(k).alias(v) for k, v in named.items() if k in sites.columns]]
-    sites.agg(F.to_json(F.struct(F.collect_list(F.struct(*fields)).alias("PositionList"))).alias("value")).write.mode("overwrite").text(path)
+    _write_items(sites.withColumn("t", F.to_json(F.struct(*fields))), "PositionList", [chromosome_key(F.col("chr")), F.col("pos")], path, single)
 
 
 def write_filter_json(spec: object, spark, path: str) -> None:
