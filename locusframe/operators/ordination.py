@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,20 +50,111 @@ def full(m: DataFrame) -> DataFrame:
     return m.select("i", "j", "value").unionByName(m.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
 
 
-def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Product of two cell tables; absent cells are 0."""
+def multiply(a: DataFrame, b: DataFrame, tile: int | None = None) -> DataFrame:
+    """Product of two cell tables; absent cells are 0, and a result without a common place is absent.
+
+    With ``tile`` the product is blocked: rows, common places and columns fall into groups of about ``tile`` by hash, a task
+    multiplies two dense blocks, and the partial products are summed: rows shuffled are (rows x columns x groups) at most
+    in place of rows x columns x common places. A cell is in a table once.
+    """
     r = b.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("value").alias("w"))
-    p = a.select("i", F.col("j").alias("k"), "value").join(r, "k").groupBy("i", "c").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
-    return p.select("i", F.col("c").alias("j"), "value")
+    left = a.select("i", F.col("j").alias("k"), "value")
+    if tile is None:
+        p = left.join(r, "k").groupBy("i", "c").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+        return p.select("i", F.col("c").alias("j"), "value")
+    sizes = [*left.agg(F.approx_count_distinct("i"), F.approx_count_distinct("k")).first(), r.agg(F.approx_count_distinct("c")).first()[0]]
+    x, z, y = (max(1, -(-n // tile)) for n in sizes)
+    group = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.where("value IS NOT NULL").select(group("i", x).alias("x"), group("k", z).alias("z"), every(y).alias("y"), "i", "k", F.col("value").cast("double").alias("v"))
+    right = r.where("w IS NOT NULL").select(every(x).alias("x"), group("k", z).alias("z"), group("c", y).alias("y"), "k", "c", F.col("w").cast("double").alias("v"))
+
+    def product(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"i": p["i"][:0], "j": q["c"][:0], "v": np.zeros(0)})
+        rows, at_i = np.unique(p["i"].to_numpy(), return_inverse=True)
+        columns, at_c = np.unique(q["c"].to_numpy(), return_inverse=True)
+        common, at = np.unique(np.concatenate([p["k"].to_numpy(), q["k"].to_numpy()]), return_inverse=True)
+        m, n = np.zeros((2, len(rows), len(common))), np.zeros((2, len(common), len(columns)))
+        m[0, at_i, at[: len(p)]], m[1, at_i, at[: len(p)]] = p["v"], 1
+        n[0, at[len(p) :], at_c], n[1, at[len(p) :], at_c] = q["v"], 1
+        keep = (m[1] @ n[1]) > 0
+        i, j = np.nonzero(keep)
+        return pd.DataFrame({"i": rows[i], "j": columns[j], "v": (m[0] @ n[0])[keep]})
+
+    keys = ["x", "y", "z"]
+    part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, f"i {dict(a.dtypes)['i']}, j {dict(b.dtypes)['j']}, v double")
+    return part.groupBy("i", "j").agg(F.sum("v").alias("value"))
 
 
 def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
 
 
-def crossproduct(a: DataFrame) -> DataFrame:
+def crossproduct(a: DataFrame, tile: int | None = None) -> DataFrame:
     """A'A."""
-    return multiply(transpose(a), a)
+    return multiply(transpose(a), a, tile)
+
+
+def identity_of(a: DataFrame) -> DataFrame:
+    """Ones on the diagonal, for every row name of a matrix."""
+    return a.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("value"))
+
+
+def add(a: DataFrame, b: DataFrame, sign: float = 1.0) -> DataFrame:
+    """A + sign * b; absent cells are 0."""
+    return a.select("i", "j", "value").unionByName(b.select("i", "j", (F.col("value") * sign).alias("value"))).groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
+def scale(a: DataFrame, by: float) -> DataFrame:
+    """Every cell times a number."""
+    return a.select("i", "j", (F.col("value") * by).alias("value"))
+
+
+def generalised_inverse(a: DataFrame, rounds: int = 60, tol: float = 1e-9, tile: int | None = 256) -> tuple[DataFrame, int]:
+    """The Moore-Penrose inverse of a cell table, ``i, j, value`` with the names of a's columns as rows, and the rank.
+
+    The iteration X <- X (2 I - A X) from A' / (largest row sum x largest column sum) needs blocked products only and doubles
+    the right digits with each round once it is near; rounds before that grow with the logarithm of the condition, and
+    singular values below some 1e-7 of the largest can't be told from 0. Ends when the trace of A X, which is the rank, moves
+    by less than ``tol``; raises if ``rounds`` don't do.
+    """
+    a = keep_table(a.select("i", "j", F.col("value").cast("double").alias("value")))
+    size = F.sum(F.abs("value"))
+    bound = [a.groupBy(k).agg(size.alias("s")).agg(F.max("s")).first()[0] for k in ("i", "j")]
+    if not bound[0]:
+        return transpose(a), 0
+    x, last = keep_table(scale(transpose(a), 1 / (bound[0] * bound[1]))), None
+    for _ in range(rounds):
+        ax = keep_table(multiply(a, x, tile))
+        trace = ax.where("i = j").agg(F.sum("value")).first()[0] or 0.0
+        if last is not None and abs(trace - last) < tol * max(1.0, trace) and abs(trace - round(trace)) < 1e-4:
+            return x, round(trace)
+        last = trace
+        x = keep_table(add(scale(x, 2.0), multiply(x, ax, tile), -1.0))
+    raise ArithmeticError(f"no inverse after {rounds} rounds: the trace stands at {last}")
+
+
+def symmetric_inverse(m: DataFrame, without: DataFrame | None = None, tile: int | None = 256) -> tuple[DataFrame, int]:
+    """Inverse of a symmetric matrix (``i, j, value``, i >= j), lower triangle, and the rank, less the samples of ``without`` (column taxon)."""
+    if without is not None:
+        gone = without.select("taxon")
+        m = m.join(gone.withColumnRenamed("taxon", "i"), "i", "left_anti").join(gone.withColumnRenamed("taxon", "j"), "j", "left_anti")
+    x, rank = generalised_inverse(full(m), tile=tile)
+    return x.where("i >= j"), rank
+
+
+def svd(a: DataFrame, k: int = 3, tile: int | None = 256) -> tuple[list[float], DataFrame, DataFrame]:
+    """The k largest singular values of a cell table, with ``i, c, x`` of the left and of the right vectors (names of rows, of columns).
+
+    Right vectors are eigenvectors of A'A (values below 1e-4 of the largest are taken as 0 and have no left vector), left ones
+    their images over the value.
+    """
+    values, right = eigen(crossproduct(a, tile), k)
+    s = [float(np.sqrt(max(v, 0.0))) for v in values]
+    some = a.sparkSession.createDataFrame([(c, v) for c, v in enumerate(s) if v > 1e-4 * s[0]], "c int, s double")
+    image = a.join(right.withColumnRenamed("i", "j"), "j").groupBy("i", "c").agg(F.sum(F.col("value") * F.col("x")).alias("y"))
+    return s, image.join(F.broadcast(some), "c").select("i", "c", (F.col("y") / F.col("s")).alias("x")), right
 
 
 def axis_sums(a: DataFrame, axis: str = "i") -> DataFrame:
@@ -294,12 +386,38 @@ def _eigen_check(s: SparkSession, d: str) -> DataFrame:
     return k.where("i = j").agg(F.round(F.sum("value"), 6).alias("trace")).crossJoin(res.select((F.col("r") < 1e-6 * values[0] ** 2).alias("converged")))
 
 
+def _svd_check(s: SparkSession, d: str) -> DataFrame:
+    """Sum of squared cells, and whether the leading triples reproduce their part: u'Av = s for each."""
+    a = keep_table(_cells(s, d).withColumn("value", F.col("value") / 100))
+    values, u, v = svd(a, 2)
+    r = a.join(u.withColumnRenamed("x", "u"), "i").join(v.select(F.col("i").alias("j"), "c", F.col("x").alias("v")), ["j", "c"])
+    r = r.groupBy("c").agg(F.sum(F.col("u") * F.col("value") * F.col("v")).alias("s"))
+    r = r.select(*[F.max(F.when(F.col("c") == c, F.abs(F.col("s") - x) < 1e-6 * values[0])).alias(f"right{c}") for c, x in enumerate(values)])
+    return a.agg(F.round(F.sum(F.col("value") * F.col("value")), 4).alias("squares")).crossJoin(r)  # one row each
+
+
+def _ridged(s: SparkSession, d: str) -> DataFrame:
+    """Kinship with 0.5 added to the diagonal, less every seventh sample."""
+    return kinship(fx.calls(s, d)).select("i", "j", (F.col("value") + F.when(F.col("i") == F.col("j"), 0.5).otherwise(0.0)).alias("value"))
+
+
+def _inverse_check(s: SparkSession, d: str) -> DataFrame:
+    """The inverse times the matrix, rounded: the identity over the samples left."""
+    m = keep_table(_ridged(s, d))
+    x, _ = symmetric_inverse(m, m.select(F.col("i").alias("taxon")).distinct().where("taxon % 7 = 0"))
+    p = multiply(full(x), full(m.where("i % 7 <> 0 AND j % 7 <> 0")), 256)
+    return p.select("i", "j", F.abs(F.round("value", 5)).alias("value"))
+
+
 QUERIES = {
     "m10_double_centre": lambda s, d: double_centre(_distance(s, d)).select("i", "j", F.round("value", 6).alias("value")),
     "m10_classic_mds": lambda s, d: classic_mds(_distance(s, d), 2)[1],
     "m09_pca": lambda s, d: pca(fx.calls(s, d), 2)[1],
     "m11_eigen": _eigen_check,
     "m12_crossproduct": lambda s, d: crossproduct(_cells(s, d)).select("i", "j", F.round("value", 4).alias("value")),
+    "m12_crossproduct_tiles": lambda s, d: crossproduct(_cells(s, d), tile=16).select("i", "j", F.round("value", 4).alias("value")),
+    "m11_svd": _svd_check,
+    "m13_symmetric_inverse": _inverse_check,
     "m12_row_sums": lambda s, d: axis_sums(_cells(s, d)).select("i", F.round("value", 4).alias("value")),
     "m19_upgma": lambda s, d: upgma(_distance(s, d)),
     "m19_neighbor_joining": lambda s, d: neighbor_joining(_distance(s, d)),
@@ -314,5 +432,8 @@ ORACLES = {
 SELECT s.i, s.j, round(v - a.r - b.r + t, 6) AS value FROM s JOIN r a ON s.i = a.i JOIN r b ON s.j = b.i, t""",
     "m11_eigen": f"WITH {fx.CALLS}, {_kin('calls', *_CEN)} SELECT round(sum(value), 6) AS trace, true AS converged FROM kin WHERE i = j",
     "m12_crossproduct": f"WITH {_C} SELECT a.j AS i, b.j AS j, round(sum(a.value * b.value), 4) AS value FROM c a JOIN c b ON a.i = b.i GROUP BY 1, 2",
+    "m12_crossproduct_tiles": f"WITH {_C} SELECT a.j AS i, b.j AS j, round(sum(a.value * b.value), 4) AS value FROM c a JOIN c b ON a.i = b.i GROUP BY 1, 2",
+    "m11_svd": f"WITH {_C} SELECT round(sum(value / 100 * value / 100), 4) AS squares, true AS right0, true AS right1 FROM c",
+    "m13_symmetric_inverse": f"WITH {fx.CALLS}, t AS (SELECT DISTINCT taxon FROM calls WHERE taxon % 7 <> 0) SELECT a.taxon AS i, b.taxon AS j, CASE WHEN a.taxon = b.taxon THEN 1.0 ELSE 0.0 END AS value FROM t a, t b",
     "m12_row_sums": f"WITH {_C} SELECT i, round(sum(value), 4) AS value FROM c GROUP BY i",
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["summary", "relationship", "filters", "joins", "scalars", "stats", "models", "ordination", "annotations", "interchange", "streams"]
+MODULES: list[str] = ["summary", "relationship", "filters", "joins", "scalars", "stats", "models", "mixed", "ordination", "annotations", "interchange", "streams"]
 
 
 def _gather(what: str) -> dict:
