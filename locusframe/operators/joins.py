@@ -174,27 +174,32 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]", "")
 
 
+def letter_pairs(s: Column) -> Column:
+    """The letter pairs of a text in order, repeats included; a text of one letter or none is one pair."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
+
+
 def dice(a: Column, b: Column) -> Column:
-    """Dice share of different letter pairs."""
-    grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2))))
-    x, y = grams(a), grams(b)
-    return 2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
+    """Dice share of letter pairs, a pair counted as often as both texts have it."""
+    x, y = letter_pairs(a), letter_pairs(b)
+    many = lambda s, p: F.size(F.filter(s, lambda q: q == p))
+    common = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda t, p: t + F.least(many(x, p), many(y, p)))
+    return 2 * common / (F.size(x) + F.size(y))
 
 
-def synonymize(names: DataFrame, reference: DataFrame, least: float = 0.0, score=dice) -> DataFrame:
-    """Best reference names of each name (ties kept), with score and rank.
+def synonymize(names: DataFrame, reference: DataFrame, least: float = 0.0) -> DataFrame:
+    """Best reference names of each name (ties kept), with Dice score and rank.
 
-    Candidates share a letter pair, by an equi-join on the pairs, so no cross join is made: names without a common pair have
-    a Dice score of 0. Equal letters after cleaning rank first.
+    Candidates share a letter pair, by an equi-join on (pair, occurrence), so no cross join is made: names without a common pair
+    have a score of 0. The k-th occurrence of a pair in one name meets the k-th in the other, so a row of the join is a common pair.
     """
     def pairs(df: DataFrame, as_: str) -> DataFrame:
-        c = clean_name(F.col("name"))
-        d = df.select(F.col("name").alias(as_), c.alias(as_ + "_c")).distinct()
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(as_ + "_c") - 1, F.lit(1))), lambda i: F.substring(F.col(as_ + "_c"), i, F.lit(2))))
-        return d.withColumn("gram", F.explode(grams)).withColumn("n_" + as_, F.count("*").over(Window.partitionBy(as_)))
+        d = df.select(F.col("name").alias(as_), letter_pairs(clean_name(F.col("name"))).alias("p")).distinct()
+        d = d.select(as_, F.size("p").alias("n_" + as_), F.explode("p").alias("gram")).groupBy(as_, "n_" + as_, "gram").agg(F.count("*").alias("m"))
+        return d.select(as_, "n_" + as_, "gram", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("nth"))
 
     a, b = pairs(names, "query"), pairs(reference, "match")
-    common = a.join(b, "gram").groupBy("query", "match", "n_query", "n_match").agg(F.count("*").alias("k"))
+    common = a.join(b, ["gram", "nth"]).groupBy("query", "match", "n_query", "n_match").agg(F.count("*").alias("k"))
     scored = common.select("query", "match", (2 * F.col("k") / (F.col("n_query") + F.col("n_match"))).alias("score")).where(F.col("score") > least)
     return scored.withColumn("rk", F.rank().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)))).cast("long")).where("rk = 1")
 
@@ -290,8 +295,8 @@ b AS (SELECT ref.chr, pos, CASE WHEN rank % 3 = 0 THEN 'T' END AS alt, rank % 4
 SELECT ref.chr, ref.pos, base, CASE WHEN b.depth IS NULL OR masked OR depth = 0 THEN 'N' ELSE coalesce(alt, base) END AS called FROM ref LEFT JOIN b ON ref.chr = b.chr AND ref.pos = b.pos AND rn = 1""",
     "j10_synonymize": """WITH n AS (SELECT DISTINCT upper(p_brand) || ' ' || substr(p_type, 1, 6) AS query FROM part), m AS (SELECT DISTINCT p_brand AS match FROM part),
 a AS (SELECT query, regexp_replace(lower(trim(query)), '[^a-z0-9]', '', 'g') AS c FROM n), b AS (SELECT match, regexp_replace(lower(trim(match)), '[^a-z0-9]', '', 'g') AS c FROM m),
-ag AS (SELECT DISTINCT query, substr(c, i, 2) AS g FROM (SELECT query, c, unnest(range(1, greatest(length(c), 2))) AS i FROM a)), bg AS (SELECT DISTINCT match, substr(c, i, 2) AS g FROM (SELECT match, c, unnest(range(1, greatest(length(c), 2))) AS i FROM b)),
-k AS (SELECT query, match, count(*) AS k FROM ag JOIN bg ON ag.g = bg.g GROUP BY 1, 2),
+ag AS (SELECT query, substr(c, i, 2) AS g, row_number() OVER (PARTITION BY query, substr(c, i, 2)) AS o FROM (SELECT query, c, unnest(range(1, greatest(length(c), 2))) AS i FROM a)), bg AS (SELECT match, substr(c, i, 2) AS g, row_number() OVER (PARTITION BY match, substr(c, i, 2)) AS o FROM (SELECT match, c, unnest(range(1, greatest(length(c), 2))) AS i FROM b)),
+k AS (SELECT query, match, count(*) AS k FROM ag JOIN bg ON ag.g = bg.g AND ag.o = bg.o GROUP BY 1, 2),
 s AS (SELECT k.query, k.match, 2 * k.k / ((SELECT count(*) FROM ag WHERE ag.query = k.query) + (SELECT count(*) FROM bg WHERE bg.match = k.match)) AS score FROM k)
 SELECT query, match, round(score, 6) AS score, rk FROM (SELECT *, rank() OVER (PARTITION BY query ORDER BY round(score, 9) DESC) AS rk FROM s) WHERE rk = 1""",
     "u01_common_taxa": f"WITH {_P}, {_Q}, {fx.CALLS} SELECT taxon FROM p INTERSECT SELECT taxon FROM q INTERSECT SELECT taxon FROM calls",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -171,6 +175,70 @@ def keyboard_distance(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.aggregate(both, F.lit(0.0), lambda t, z: t + one(z)) / n)
 
 
+def soundex_distance(a: Column, b: Column) -> Column:
+    """Places at which the Soundex codes of the letters of two texts differ; a text without letters differs in all four from others."""
+    x, y = (F.soundex(F.regexp_replace(F.upper(s), "[^A-Z]", "")) for s in (a, b))
+    places = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(0), lambda n, i: n + (F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1))).cast("int"))
+    return F.when((x == "") & (y == ""), 0).when((x == "") | (y == ""), 4).otherwise(places)
+
+
+def _tables(compute):
+    """A column function of two texts, upper case, from one of two strings; null for a null."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else compute(x.upper(), y.upper()) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run
+
+
+def _edit(a: str, b: str) -> float:
+    if not a or not b:
+        return float(len(a) + len(b))
+    above = [float(x) for x in np.cumsum([c != a[0] for c in b])]
+    for r in a[1:]:
+        row = [above[0] + (r != b[0])]
+        for j in range(1, len(b)):
+            row.append(above[j - 1] if r == b[j] else 1 + min(above[j - 1], above[j], row[-1]))
+        above = row
+    return above[-1]
+
+
+def _warp(a: str, b: str) -> float:
+    if not a or not b:
+        return float(len(a) + len(b))
+    above = [float(x) for x in np.cumsum([c != a[0] for c in b])]
+    for r in a[1:]:
+        row = [above[0] + (r != b[0])]
+        for j in range(1, len(b)):
+            corner, up, side = above[j - 1], above[j], row[-1]
+            # a move is taken when it alone is cheapest; otherwise the step along the second text
+            row.append((corner if corner < min(up, side) else up if up < min(corner, side) else side) + (r != b[j]))
+        above = row
+    return above[-1]
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edit distance, case aside, with neither text padded: the first letters are set against each other, and a row or column
+    that repeats its border's letter costs nothing there. Beside an empty text: the other one's length."""
+    return _tables(_edit)(a, b)
+
+
+def warped_distance(a: Column, b: Column) -> Column:
+    """Time-warping distance with cost 1 for different letters, case aside; beside an empty text the other one's length."""
+    return _tables(_warp)(a, b)
+
+
+def delimited_dice(a: Column, b: Column, delimiter: str = " ") -> Column:
+    """Mean Dice share of the pieces of two texts, case aside. With unequal numbers of pieces the shorter list slides along the
+    longer one, from the first place to the last but one, and the best place counts."""
+    x, y = (F.split(F.lower(s), re.escape(delimiter)) for s in (a, b))
+    longer, shorter = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
+    share = lambda at: F.aggregate(F.sequence(F.lit(0), F.size(shorter) - 1), F.lit(0.0), lambda t, j: t + dice(F.get(longer, at + j), F.get(shorter, j))) / F.size(shorter)
+    last = F.greatest(F.size(longer) - F.size(shorter) - 1, F.lit(0))
+    return F.array_max(F.transform(F.sequence(F.lit(0), last), share))
+
+
 _X09 = ["chr1", " Chromosome 10", "CHRX foo", "2L", "mt", "10_alt_"]
 
 
@@ -258,6 +326,8 @@ QUERIES = {
     "x11_genotype_scores": _x11,
     "x12_similarity": lambda s, d: _part(s, d).select("p_partkey", F.levenshtein(F.lower("p_brand"), F.lower("p_type")).alias("edit"), F.round(dice(clean_name(F.col("p_brand")), clean_name(F.col("p_type"))), 6).alias("dice")),
     "x12_keyboard": lambda s, d: _part(s, d).select("p_partkey", F.round(keyboard_distance(F.col("p_brand"), F.col("p_type")), 6).alias("keys")),
+    "x12_by_delimiter": lambda s, d: _part(s, d).select("p_partkey", F.round(delimited_dice(F.concat(F.lit("red "), "p_name"), F.col("p_name")), 6).alias("share")),
+    "x12_name_distances": lambda s, d: _part(s, d).select("p_partkey", *[f(F.col("p_name"), F.concat_ws(" ", "p_type", "p_brand")).cast("double").alias(k) for k, f in (("edit", edit_distance), ("warped", warped_distance), ("soundex", soundex_distance))]),
     "u08_bit_counts": lambda s, d: _part(s, d).select("p_partkey", bit_counts(F.col("p_partkey"), F.col("p_size").cast("long") * 37).alias("b")).select("p_partkey", "b.*"),
     "x17_flatten_json": _x17,
     "x18_additive_coding": _x18,
@@ -291,8 +361,15 @@ SELECT p_partkey, chr, CASE WHEN regexp_full_match(chr, '[0-9]+') THEN CAST(chr
 SELECT taxon, site, aa, ab, bb, CAST(floor(greatest(pow(10, l1), pow(10, l2), pow(10, l3)) / (pow(10, l1) + pow(10, l2) + pow(10, l3)) * 100) AS INTEGER) AS gq,
  CASE WHEN a + b > 0 THEN CASE WHEN aa <= ab AND aa <= bb THEN 0 WHEN ab <= bb THEN 1 ELSE 2 END END AS call FROM q""",
     "x12_similarity": """WITH p AS (SELECT p_partkey, lower(p_brand) AS a, lower(p_type) AS b, regexp_replace(lower(trim(p_brand)), '[^a-z0-9]', '', 'g') AS x, regexp_replace(lower(trim(p_type)), '[^a-z0-9]', '', 'g') AS y FROM part),
-g AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(x), 2)), lambda i: substr(x, i, 2))) AS gx, list_distinct(list_transform(range(1, greatest(length(y), 2)), lambda i: substr(y, i, 2))) AS gy FROM p)
-SELECT p_partkey, CAST(levenshtein(a, b) AS INTEGER) AS edit, round(2 * len(list_intersect(gx, gy)) / (len(gx) + len(gy)), 6) AS dice FROM g""",
+gx AS (SELECT p_partkey, substr(x, i, 2) AS g, count(*) AS n FROM (SELECT p_partkey, x, unnest(range(1, greatest(length(x), 2))) AS i FROM p) GROUP BY 1, 2),
+gy AS (SELECT p_partkey, substr(y, i, 2) AS g, count(*) AS n FROM (SELECT p_partkey, y, unnest(range(1, greatest(length(y), 2))) AS i FROM p) GROUP BY 1, 2),
+k AS (SELECT gx.p_partkey, sum(least(gx.n, gy.n)) AS k FROM gx JOIN gy ON gx.p_partkey = gy.p_partkey AND gx.g = gy.g GROUP BY 1)
+SELECT p.p_partkey, CAST(levenshtein(a, b) AS INTEGER) AS edit, round(2 * coalesce(k, 0) / (greatest(length(x) - 1, 1) + greatest(length(y) - 1, 1)), 6) AS dice FROM p LEFT JOIN k ON p.p_partkey = k.p_partkey""",
+    "x12_by_delimiter": """WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS x, string_split('red ' || p_name, ' ') AS y FROM part),
+w AS (SELECT p_partkey, x, y, unnest(range(1, len(x) + 1)) AS i FROM p), g AS (SELECT p_partkey, i, lower(x[i]) AS x, lower(y[i]) AS y, length(x[i]) - 1 AS n, length(y[i]) - 1 AS m FROM w),
+gx AS (SELECT p_partkey, i, substr(x, j, 2) AS q, count(*) AS n FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM g) GROUP BY 1, 2, 3), gy AS (SELECT p_partkey, i, substr(y, j, 2) AS q, count(*) AS n FROM (SELECT *, unnest(range(1, m + 1)) AS j FROM g) GROUP BY 1, 2, 3),
+k AS (SELECT gx.p_partkey, gx.i, sum(least(gx.n, gy.n)) AS k FROM gx JOIN gy ON gx.p_partkey = gy.p_partkey AND gx.i = gy.i AND gx.q = gy.q GROUP BY 1, 2)
+SELECT g.p_partkey, round(avg(2 * coalesce(k, 0) / (n + m)), 6) AS share FROM g LEFT JOIN k ON g.p_partkey = k.p_partkey AND g.i = k.i GROUP BY 1""",
     "u08_bit_counts": "SELECT p_partkey, CAST(bit_count(a & b) AS BIGINT) AS both, CAST(bit_count(a | b) AS BIGINT) AS either, CAST(bit_count(a & ~b) AS BIGINT) AS only_a, CAST(bit_count(xor(a, b)) AS BIGINT) AS differ FROM (SELECT p_partkey, p_partkey AS a, CAST(p_size AS BIGINT) * 37 AS b FROM part) t",
     "x17_flatten_json": """WITH e AS (SELECT event_id, event_type, props FROM events)
 SELECT event_id, 'event.type' AS path, event_type AS value FROM e

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.operators import mixed, models, ordination
+from locusframe.operators import joins, mixed, models, ordination, scalars, summary
 
 
 def _cells(spark, m, name=int):
@@ -117,3 +117,38 @@ def test_inverses_and_singular_values(spark):
     assert np.allclose(left @ a @ right.T, np.diag(s), atol=1e-5)
     zero, rank = ordination.generalised_inverse(_cells(spark, np.zeros((2, 2))))
     assert rank == 0 and not _dense(zero, 2, 2).any()
+
+
+def test_name_distances(spark):
+    rows = [("AAB", "AB"), ("Robert", "rupert"), ("abc", "abd"), ("", "xy"), ("", ""), (None, "a"), ("12", "34"), ("12", "ab")]
+    t = spark.createDataFrame(rows, "a string, b string")
+    f = t.select(scalars.edit_distance(F.col("a"), F.col("b")).alias("e"), scalars.warped_distance(F.col("a"), F.col("b")).alias("w"), scalars.soundex_distance(F.col("a"), F.col("b")).alias("s"))
+    got = [(r["e"], r["w"], r["s"]) for r in f.collect()]
+    assert got[0] == (0.0, 0.0, 0) and got[2] == (1.0, 1.0, 1) and got[1][2] == 0
+    assert got[3][:2] == (2.0, 2.0) and got[4] == (0.0, 0.0, 0) and got[5][:2] == (None, None) and [g[2] for g in got[6:]] == [0, 4]
+
+
+def test_dice_counts_repeated_pairs(spark):
+    t = spark.createDataFrame([("aaaa", "aa", 2 * 1 / 4), ("abab", "abab", 1.0), ("abab", "ab", 2 * 1 / 4), ("x", "x", 1.0), ("", "ab", 0.0)], "a string, b string, want double")
+    assert all(r["d"] == pytest.approx(r["want"]) for r in t.select("want", joins.dice(F.col("a"), F.col("b")).alias("d")).collect())
+    s = joins.synonymize(t.select(F.col("a").alias("name")).where("a = 'abab'"), spark.createDataFrame([("ab",), ("ABab!",), ("zz",)], "name string")).collect()
+    assert [(r["match"], r["score"]) for r in s] == [("ABab!", 1.0)]
+    d = spark.createDataFrame([("ab cd", "ab xx", 0.5), ("ab cd ef", "cd ef", 0.0), ("zz cd ef gh", "cd ef", 1.0), ("ab", "ab", 1.0)], "a string, b string, want double")
+    assert all(r["d"] == pytest.approx(r["want"]) for r in d.select("want", scalars.delimited_dice(F.col("a"), F.col("b")).alias("d")).collect())
+
+
+def test_table_reports(spark):
+    c = spark.createDataFrame([(0, 0, 0, 1), (1, 0, 0, None), (2, 0, 2, 2), (0, 1, None, None), (1, 1, 3, 3)], "taxon long, site long, a1 long, a2 long")
+    o = {r["stat"]: r["value"] for r in summary.overall_summary(c).collect()}
+    assert len(o) == 15 and o["cells"] == 6 and o["known"] == 4 and o["missing"] == 2 and o["known_gametes"] == 7 and o["missing_gametes"] == 5
+    assert o["het"] == 1 and o["prop_het"] == pytest.approx(1 / 6) and o["mean_minor_freq"] == pytest.approx(0.2)
+    none = {r["stat"]: r["value"] for r in summary.overall_summary(c.where("false")).collect()}
+    assert none["cells"] == 0 and none["prop_het"] is None and none["known"] == 0
+    r = {x["site"]: x for x in summary.site_record(c).collect()}
+    assert r[0]["all_minor"] == 3 and r[0]["maf"] == pytest.approx(0.4) and r[1]["maf"] == 0 and r[1]["all_minor"] == 0
+    k = {x["site"]: x for x in summary.ranked_alleles(c, 1, 3, n_taxa=3).collect()}
+    assert [k[0][f"n_{i}"] for i in (1, 2, 3)] == [2, 2, 1] and k[1]["allele_2"] == "NA" and k[1]["prop_1"] == pytest.approx(2 / 6)
+    v = spark.createDataFrame([(0, 0, [1, 2, 0]), (1, 0, [4, None, -1]), (1, 1, None)], "taxon long, site long, depth array<int>")
+    assert {x["site"]: (x["d0"], x["d1"], x["d2"]) for x in summary.depth_vectors(v, "site", 3).collect()} == {0: (5, 2, 0), 1: (0, 0, 0)}
+    s = summary.score_lookup(v.select("taxon", "site", F.lit(3).alias("depth")), spark.createDataFrame([(0, 0), (5, 5), (0, 0)], "taxon long, site long"))
+    assert {(x["taxon"], x["score"], x["value"]) for x in s.collect()} == {(0, "depth", 3.0), (5, "depth", None)}
