@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import ann, decontaminate, html_extract, lang_id, lm_score, mixing, quality, simhash, toxicity, warc
+from locusframe.llm import ann, collocations, decontaminate, html_extract, lang_id, lm_score, mixing, quality, simhash, toxicity, warc
 from locusframe.llm.common import cut, fold, table
 
 
@@ -75,6 +75,11 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2 000 collocations of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lang_id": op1_lang_id,
     "op2_mixing": op2_mixing,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_warc": op9_warc,
     "op10_html_extract": op10_html_extract,
+    "op11_collocations": op11_collocations,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -101,6 +107,24 @@ h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(rang
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+""",
+    "op11_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+f AS (SELECT lang, k, g, count(*) AS c FROM (
+        SELECT lang, k, array_to_string(w[s:s+k-1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k))
+      GROUP BY lang, k, g),
+n AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+d AS (SELECT lang, k, g AS phrase, c AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND c >= 10),
+cut AS (SELECT lang, phrase, a, k, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j+1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM d)),
+sc AS (SELECT c.lang, c.phrase, c.a, c.j, fx.c AS l, fy.c AS r, CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(fx.c AS HUGEINT) * fy.c) AS BIGINT) AS score
+       FROM cut c JOIN f fx ON c.lang = fx.lang AND fx.k = c.j AND fx.g = c.x JOIN f fy ON c.lang = fy.lang AND fy.k = c.k - c.j AND fy.g = c.y),
+b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g FROM d WHERE k = 3) GROUP BY lang, g)
+SELECT b.lang, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n.n, score
+FROM b JOIN n ON b.lang = n.lang LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.g
+WHERE i.longer IS NULL OR 100 * i.longer < 50 * a
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """,
     "op9_warc": """
 WITH p AS (
