@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import ann, collocations, decontaminate, html_extract, lang_id, lm_score, mixing, quality, simhash, toxicity, warc
+from locusframe.llm import ann, collocations, decontaminate, html_extract, lang_id, lm_score, mixing, quality, quality_rules, simhash, toxicity, warc
 from locusframe.llm.common import cut, fold, table
 
 
@@ -80,6 +80,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether the fixed rules and the trees keep it."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    found = quality_rules.judge(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.col("rule_score").alias("score"))
+
+
 QUERIES = {
     "op1_lang_id": op1_lang_id,
     "op2_mixing": op2_mixing,
@@ -92,6 +100,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_html_extract": op10_html_extract,
     "op11_collocations": op11_collocations,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
