@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import ann, collocations, decontaminate, html_extract, lang_id, lm_score, mixing, quality, quality_rules, simhash, toxicity, warc
+from locusframe.llm import ann, collocations, decontaminate, html_extract, lang_id, lexical, lm_score, mixing, quality, quality_rules, simhash, toxicity, warc
 from locusframe.llm.common import cut, fold, table
 
 
@@ -88,6 +88,11 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.col("rule_score").alias("score"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_lang_id": op1_lang_id,
     "op2_mixing": op2_mixing,
@@ -101,6 +106,7 @@ QUERIES = {
     "op10_html_extract": op10_html_extract,
     "op11_collocations": op11_collocations,
     "op12_quality_rules": op12_quality_rules,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -134,6 +140,18 @@ SELECT b.lang, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC,
 FROM b JOIN n ON b.lang = n.lang LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.g
 WHERE i.longer IS NULL OR 100 * i.longer < 50 * a
 QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+""",
+    "op13_lexical_search": f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT CAST(count(*) AS HUGEINT) AS n, CAST(sum(len(w)) AS HUGEINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS t FROM benchmark),
+tf AS (SELECT k, t, count(*) AS f FROM (SELECT k, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY k, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * CAST((SELECT n FROM s) AS DOUBLE) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf GROUP BY t),
+m AS (SELECT k, doc_id, CAST(50 + (50 * len(w) * s.n) // s.l AS BIGINT) AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT item_id, m.k, m.doc_id, CAST(sum(w.w * ((1000000000 * f) // (1000 * f + 20 * m.m))) AS BIGINT) AS score
+      FROM q JOIN tf ON q.t = tf.t JOIN w ON w.t = q.t JOIN m ON m.k = tf.k GROUP BY item_id, m.k, m.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
 """,
     "op9_warc": """
 WITH p AS (
