@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -304,6 +304,12 @@ def filter_of(phrases: DataFrame) -> Filter:
     return Filter(words)
 
 
+def score(left: str, right: str) -> Column:
+    """floor(1e6 a a / (l r)) of the column ``a`` and the columns of the parts' counts, in decimals."""
+    whole, of = (f"CAST({c} AS DECIMAL(15,0))" for c in ("a", "{}"))
+    return F.expr(f"CAST(1000000 * {whole} * {whole} AS DECIMAL(38,0)) div ({of.format(left)} * {of.format(right)})")
+
+
 def collocations(docs: DataFrame, min_count: int = 10, inside_percent: int = 50, top: int = 2000, lang: str = "lang", text: str = "text") -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the first ``top`` phrases of two and three words of each language.
 
@@ -332,9 +338,6 @@ def collocations(docs: DataFrame, min_count: int = 10, inside_percent: int = 50,
     by_place = [F.max(F.when(F.col("at") == i, F.col("c"))).alias(f"c{i}") for i in range(4)]
     gathered = rows.unionByName(inner).groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.max("longer").alias("longer"), *by_place)
 
-    def score(l: str, r: str) -> F.Column:
-        return F.expr(f"CAST(1000000 * CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0)) AS DECIMAL(38,0)) div (CAST({l} AS DECIMAL(15,0)) * CAST({r} AS DECIMAL(15,0)))")
-
     gathered = gathered.where(F.col("longer").isNull() | (100 * F.col("longer") < inside_percent * F.col("a")))
     gathered = gathered.withColumn("s1", score("c0", "c1")).withColumn("s2", F.when(F.col("c2").isNotNull(), score("c2", "c3")))
     later = F.coalesce(F.col("s2") < F.col("s1"), F.lit(False))
