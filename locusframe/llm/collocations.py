@@ -25,9 +25,11 @@ a megabyte; the last words of a slice begin the next. Columns besides the two th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,21 +207,27 @@ class _Counter:
         self.size = self.root.size()
 
     def run(self, node: _Node, own: bool) -> pa.RecordBatch:
-        """The phrases of a subtree (``own``: only those of its own container) as a sorted run."""
-        pairs = list(node.counts.items()) if own else list(node.items())
-        names, n = self.ids.names, self.n
-        key = np.fromiter((k for k, _ in pairs), np.int64, len(pairs))
+        """The phrases of a subtree (``own``: only those of its own container) as a run, sorted word by word."""
+        n, size = self.n, len(node.counts) if own else node.size()
+        if own:
+            key, many = (np.fromiter(x, np.int64, size) for x in (node.counts, node.counts.values()))
+        else:
+            key, many = np.fromiter(chain.from_iterable(node.items()), np.int64, 2 * size).reshape(-1, 2).T
         words = [key >> np.int64(_ID_BITS * (n - 1 - i)) & np.int64((1 << _ID_BITS) - 1) for i in range(n)]
-        prefix = np.repeat(self.seed, len(key))
+        used, at = np.unique(np.concatenate(words), return_inverse=True)
+        names = [self.ids.names[i] for i in used.tolist()]
+        rank = np.empty(len(used), np.int64)
+        rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        at = at.reshape(n, -1)
+        order = np.lexsort(rank[at[::-1]])
+        prefix = np.repeat(self.seed, size)
         for w in words[: max(1, n - 1)]:
             prefix = _follow(prefix, self.ids.hashes[w])
         part = (prefix >> np.uint64(44)).astype(np.int32) << 4 | (self.ids.hashes[words[-1]] & np.uint64(15)).astype(np.int32) * (n > 1)
-        text = [b" ".join(p) for p in zip(*([names[i] for i in w] for w in words), strict=True)]
-        order = sorted(range(len(text)), key=text.__getitem__)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.lang] * len(text), pa.string()), pa.array(part[order], pa.int32()), pa.array([text[i] for i in order], pa.string()), pa.array([pairs[i][1] for i in order], pa.int64())],
-            ["lang", "part", "phrase", "n"],
-        )
+        spelt = pa.array(names, pa.string())
+        phrase = pc.binary_join_element_wise(*(spelt.take(pa.array(i[order])) for i in at), " ") if n > 1 else spelt.take(pa.array(at[0][order]))
+        lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(size, np.int32)), pa.array([self.lang])).cast(pa.string())
+        return pa.RecordBatch.from_arrays([lang, pa.array(part[order]), phrase, pa.array(many[order])], ["lang", "part", "phrase", "n"])
 
     def spill(self, keep: int) -> Iterator[pa.RecordBatch]:
         """Give up whole subtrees, the largest first, until at most ``keep`` entries are held."""
@@ -236,7 +244,7 @@ class _Counter:
             self.root.limit = BURST
 
 
-def phrase_counts(docs: DataFrame, n: int, known: Filter | None = None, held: int = 600_000, lang: str = "lang", text: str = "text") -> DataFrame:
+def phrase_counts(docs: DataFrame, n: int, known: Filter | None = None, held: int = 1_000_000, lang: str = "lang", text: str = "text") -> DataFrame:
     """``lang, phrase, n``: how often each phrase of ``n`` words occurs, with those left out whose parts ``known`` lacks."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 

@@ -60,7 +60,7 @@ def plain_collocations(rows, min_count=10, inside=50, top=2000):
     return sorted(out)
 
 
-@pytest.mark.parametrize("held", [600_000, 300])
+@pytest.mark.parametrize("held", [1_000_000, 300])
 def test_collocations(docs, local, held, monkeypatch):
     counts = collocations.phrase_counts
     monkeypatch.setattr(collocations, "phrase_counts", lambda *a, **k: counts(*a, **k, held=held))
