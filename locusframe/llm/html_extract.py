@@ -1,19 +1,21 @@
 """Main-text extraction from web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block of the page, and the lines' text lengths are
-summed over a sliding window of lines: a *surge* is where that sum leaves zero and goes on to
-rise above a threshold, its *dive* is where it falls to zero again, and the text from the first
-surge to the last dive is kept. Pages all go this one way; markup acts through the lengths
-alone. Elements that are never part of an article (menus, page headers and footers,
-side bars, notices, adverts, forms, scripts, styles, reader comments) have no lines; outside
-of an article they leave a gap as wide as the window. Where a page marks its article (an ``article`` or
-``main`` element, else one that is named like it), lines outside of it have no length; elsewhere
-lines made mostly of link text have none. If no sum reaches the threshold, the longest run
-of lines with length is kept. Lines without length inside of what is kept go where they are outside of the
-article or nothing but links (outside of ``article`` and ``main``).
-
-Inside ``article`` and ``main`` only names of menus, headers, footers, side bars, notices, adverts,
-forms and comments mark what is left out; elsewhere names of page furniture do as well.
+summed over a sliding window of lines: a *surge* is where that sum leaves zero, its *dive* is where
+it falls to zero again, and the text from the first surge to the last dive is kept. Pages all go this
+one way; markup acts through the lengths alone. Elements that are never part of an article (menus,
+page headers and footers, side bars, notices, adverts, forms, scripts, styles, reader comments) have no lines;
+outside of an article they leave a gap as wide as the window. Where a page marks its article, lines outside of it
+have no length: the surest mark on the page counts (``article`` elements, else ``main``, else elements named
+like one), so of an article inside ``main`` only the article is kept. Elsewhere lines made mostly of link text have none,
+but for paragraphs that have other words.
+On a page without any mark some sum has to rise above ``surge``; if none does, only the longest run of lines
+with length is kept. Lines without length inside of what is kept go where they are outside of the
+article, or nothing but links on a page without a mark (in a named element: links outside of paragraphs).
+
+Names in ``class`` and ``id`` are read part by part: furniture is named alone (``share``), with a word for its box
+(``share-buttons``), or, for the plainest names, after any word (``site-footer``); ``share-price`` is none.
+Inside ``article`` and ``main`` fewer names count. Attributes are read whole, so that values are not taken for names.
 Skipped elements whose end tag may be omitted end at a sibling's or their parent's tag.
 
 Null, empty and text-free pages give an empty string; equal pages equal texts. Of runs of
@@ -22,6 +24,7 @@ equal length the first is kept. Whole pages are read, and nothing of a kept segm
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -41,13 +44,13 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp".split())
 NEVER = frozenset("head title nav footer aside form button select svg canvas object menu dialog audio video map math".split())
-_NAMES = (
-    r"ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notices?|popup|modal|"
-    r"newsletter|subscri\w*|signup|share|sharing|comments?|disqus|replies|pagination|pager|toolbar|login"
-)
-_FURNITURE = r"side|header|overlay|social|related|recommend\w*|reviews?|widget|skip|copyright|legal|disclaimer|tags|hidden"
-BOILER_IN = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-])", re.I)
-BOILER = re.compile(rf"(?:^|[\s_-])(?:{_NAMES}|{_FURNITURE})(?:$|[\s_-])", re.I)
+# Names of furniture: alone, or as the last part of a name (``site-footer``), or first before a part of AROUND (``ad-box``).
+STRONG = frozenset("ad ads advert adverts advertisement advertising adbox banner nav navbar navigation menu sidebar breadcrumb breadcrumbs footer masthead pagination pager toolbar popup modal cookies gdpr newsletter comments disqus replies".split())
+# The same, but only alone or first before a part of AROUND.
+WEAK = frozenset("sponsor sponsored sponsors promo promos promoted promotion cookie consent notice notices subscribe subscription signup login share sharing comment related social".split())
+# As WEAK, outside of an article only.
+FURNITURE = frozenset("side header overlay recommended recommendation recommendations review reviews widget widgets skip copyright legal disclaimer tags hidden".split())
+AROUND = frozenset("area bar block box bottom btn button buttons column container content dialog feed footer form group header holder icons inner item items left link links list menu message overlay panel popup posts right row section skyscraper slot space stories text top unit widget wrap wrapper articles banner tools thread count actions count to".split())
 REGION = re.compile(
     r"(?:^|\s)(?:content|main|article|post|entry|story|main-?content|page-?content|article-?(?:body|content|text)|post-?(?:body|content)|entry-?content|story-?body)(?:$|\s)", re.I
 )
@@ -70,17 +73,39 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[a-zA-Z/][^<>]*(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# A whole attribute, so that a value is never read as a name.
+_ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_LETTER = re.compile(r"\w|[^\x00-\x7f]")
+_PART = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
+
+
+def _attributes(attrs: str) -> list[tuple[str, str]]:
+    return [(k.lower(), unescape(v[1:-1] if v[:1] in "\"'" else v)) for k, v in _ATTR.findall(attrs)]
+
+
+@functools.lru_cache(10_000)
+def _names_furniture(names: str, in_article: bool) -> bool:
+    """Whether one of the names in a class or id says that the element is no part of an article."""
+    for name in names.split():
+        parts = [x.lower() for x in _PART.split(name) if x]
+        if not parts:
+            continue
+        first, rest = parts[0], parts[1:]
+        if parts[-1] in STRONG:
+            return True
+        if first in STRONG or first in WEAK or not in_article and first in FURNITURE:
+            if all(x in AROUND or x in STRONG or x in WEAK or x.isdigit() for x in rest):
+                return True
+    return False
 
 
 def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in NEVER or (tag == "header" and not in_article):
         return True
-    if tag in ("body", "html", "article", "main") or "=" not in attrs and "hidden" not in attrs:
+    if tag in ("body", "html", "article", "main") or "=" not in attrs and "hidden" not in attrs.lower():
         return False
-    for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and (BOILER_IN if in_article else BOILER).search(value):
+    for key, value in _attributes(attrs):
+        if key in ("class", "id") and _names_furniture(value, in_article):
             return True
         if key == "role" and value.lower() in ROLES:
             return True
@@ -92,21 +117,22 @@ def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 def _is_region(tag: str, attrs: str) -> int:
-    """2: an element that says it is the article, 1: one named like it, 0: others."""
+    """3: an element that says it is the article, 2: the page's main part, 1: an element named like one, 0: others."""
     if tag in ("article", "main"):
-        return 2
+        return 3 if tag == "article" else 2
     if tag in ("div", "section", "td") and "=" in attrs:
-        for key, value in _ATTR.findall(attrs):
-            key, value = key.lower(), value.strip("\"'")
-            if key == "role" and value.lower() == "main" or key == "itemprop" and value.lower() == "articlebody":
-                return 2
+        for key, value in _attributes(attrs):
+            if key == "itemprop" and value.lower() == "articlebody":
+                return 3
+            if key == "role" and value.lower() in ("main", "article"):
+                return 3 if value.lower() == "article" else 2
             if key in ("class", "id") and REGION.search(value):
                 return 1
     return 0
 
 
 def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of a page, the share of link text in each, whether it has other text, and how surely it is inside the article (2, 1 or 0)."""
+    """Lines of a page, the share of link text in each (0 in paragraphs with other words), whether it counts as text, and how surely it is inside the article (3 to 0)."""
     lines: list[str] = []
     links: list[float] = []
     plain: list[bool] = []
@@ -116,6 +142,7 @@ def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray,
     other = False
     anchor = 0
     regions: list[list] = []  # open regions: element, nesting of the same element, certainty
+    paragraph = False  # in a paragraph: of a region, its links are text
 
     def flush() -> None:
         nonlocal linked, other
@@ -123,8 +150,8 @@ def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray,
             line = " ".join(unescape("".join(text)).split())
             if line:
                 lines.append(line)
-                links.append(linked / max(1, len(line)))
-                plain.append(other)
+                links.append(0.0 if paragraph and other else linked / max(1, len(line)))
+                plain.append(other or paragraph and bool(regions))
                 inside.append(max((r[2] for r in regions), default=0))
             text.clear()
         linked, other = 0, False
@@ -143,14 +170,14 @@ def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray,
         if m is None:
             if not skip:
                 text.append(html[at:])
-                other = other or not anchor and not html[at:].isspace()
+                other = other or not anchor and bool(_LETTER.search(html, at))
             break
         if m.start() > at and not skip:
             text.append(html[at : m.start()])
             if anchor:
                 linked += m.start() - at
             elif not other:
-                other = not html[at : m.start()].isspace()
+                other = bool(_LETTER.search(html, at, m.start()))
         at = m.end()
         close, tag, attrs = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
         if not tag:
@@ -192,10 +219,11 @@ def page_lines(html: str, gap: int) -> tuple[list[str], np.ndarray, np.ndarray,
                 continue
         if tag in BLOCKS:
             flush()
+            paragraph = tag == "p" and not close
         if tag == "a":
             anchor = 0 if close else 1
         if not close and tag not in VOID and not attrs.endswith("/"):
-            if _is_boiler(tag, attrs, any(r[2] == 2 for r in regions)):
+            if _is_boiler(tag, attrs, any(r[2] >= 2 for r in regions)):
                 flush()
                 skip, depth = tag, 1
                 within.clear()
@@ -220,7 +248,7 @@ def extract_main(html: str | None, window: int = 3, surge: int = 80, link_share:
         return ""
     length = np.fromiter(map(len, lines), np.int64, len(lines))
     sure = int(inside.max())
-    may = (length > 0) & (plain | (sure == 2)) & (inside == sure)
+    may = (length > 0) & (plain | (sure >= 2)) & (inside == sure)
     if not may.any():  # the marked article has no text
         sure, may = 0, (length > 0) & plain
     counted = np.where(may & ((links <= link_share) | (sure > 0)), length, 0)
@@ -228,12 +256,13 @@ def extract_main(html: str | None, window: int = 3, surge: int = 80, link_share:
         return ""
     ends = np.concatenate(([0], np.cumsum(counted)))
     block = ends[np.minimum(np.arange(len(lines)) + window, len(lines))] - ends[:-1]
-    # a segment runs from where the windowed sum leaves zero to where it is zero again
+    # surges and dives: where the windowed sum leaves zero, and where it is zero again
     on = np.concatenate(([False], block > 0, [False]))
     edges = np.flatnonzero(on[1:] != on[:-1])
     segments = list(zip(edges[::2], edges[1::2], strict=True))
-    surging = [(a, b) for a, b in segments if block[a:b].max() > surge] or [max(segments, key=lambda s: ends[s[1]] - ends[s[0]])]
-    return " ".join(lines[i] for i in range(surging[0][0], surging[-1][1]) if may[i])
+    if not sure and block.max() <= surge:
+        segments = [max(segments, key=lambda s: ends[s[1]] - ends[s[0]])]
+    return " ".join(lines[i] for i in range(segments[0][0], segments[-1][1]) if may[i])
 
 
 def extract_pages(pages: DataFrame, html: str = "html", **settings: float) -> DataFrame:

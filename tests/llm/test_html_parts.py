@@ -39,8 +39,8 @@ def test_omitted_end_tags(page, want):
 
 
 def test_names_inside_an_article():
-    inner = "".join(f"<div class={c}><p>{c} words</p></div>" for c in ("legal", "tags", "reviews", "side", "social"))
-    assert extract_main(f"<article><p>{LONG}</p>{inner}<div class=comments>no</div><p>End.</p></article>") == f"{LONG} legal words tags words reviews words side words social words End."
+    inner = "".join(f"<div class={c}><p>{c} words</p></div>" for c in ("legal", "tags", "reviews", "side"))
+    assert extract_main(f"<article><p>{LONG}</p>{inner}<div class=comments>no</div><p>End.</p></article>") == f"{LONG} legal words tags words reviews words side words End."
     assert extract_main(f"<div><p>{LONG}</p></div><div class=legal><p>{LONG}</p></div>") == LONG
 
 
@@ -59,10 +59,48 @@ def test_windows_decide_on_every_page():
             elif run:
                 runs.append(run)
                 run = []
-        kept = [r for r in runs if max(sums[i] for i in r) > 80]
-        if not kept and runs:
+        kept = runs  # the whole span, once some sum surges
+        if runs and max(sums) <= 80:
             kept = [max(runs, key=lambda r: sum(flat[i] for i in r))]
         want = " ".join("x" * flat[i] for i in range(kept[0][0], kept[-1][-1] + 1) if flat[i]) if kept else ""
         assert extract_main(f"<body>{body}</body>") == want
         whole = " ".join("x" * n for n in sizes if n)
         assert extract_main(f"<p>{LONG}</p><article>{body}</article><p>{LONG}</p>") == (whole if whole else f"{LONG} {LONG}")
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<p>{LONG}</p><p><a href="/the-hidden-truth">Read on</a> here</p>', f"{LONG} Read on here"),
+        (f'<article><p>{LONG} <a href="/x.php?id=nav">linked</a></p></article>', f"{LONG} linked"),
+        (f'<article><p title="Hidden costs">{LONG}</p><p data-hidden="false">One</p><p class="share-price">Two</p><p data-class="ad">Three</p></article>', f"{LONG} One Two Three"),
+        (f'<p>{LONG}</p><div class="ad"></div><p>Short end.</p>', f"{LONG} Short end."),
+        (f'<p>Lead.</p><div class="ad">Buy</div><p>{LONG}</p>', f"Lead. {LONG}"),
+        (f'<div class="content"><p>{LONG}</p><p><a href="x">One link</a></p><ul><li><a href="y">Menu</a></li></ul></div>', f"{LONG} One link"),
+        (f'<main><article><p>{LONG}</p></article><div class="related"><p>{LONG}</p></div></main>', LONG),
+        (f'<article><p>{LONG}</p><div class="social">x</div><ul class="related-links"><li><a href="y">z</a></li></ul><div class="shareButtons">s</div></article>', LONG),
+        (f'<div id="side-effects"><p>{LONG}</p></div><div class="site-footer">x</div><div hidden>y</div><div HIDDEN>z</div><div style="color:red; DISPLAY: none">w</div>', LONG),
+        (f'<p><a href="a">Home</a> | <a href="b">News</a></p><p>{LONG}</p>', LONG),
+        (f"<p class='a' id=b title=\"a>b class='ad'\">{LONG}</p>", LONG),
+    ],
+)
+def test_attributes_are_read_whole_and_articles_in_full(page, want):
+    assert extract_main(page) == want
+
+
+def test_plain_pages_without_an_article_element():
+    """All blocks of pages whose furniture is marked by elements or names, against the blocks themselves."""
+    rng = np.random.default_rng(4)
+    out = ["<nav><a href=x>a</a></nav>", '<div class="ad-box">b</div>', "<aside>c d e</aside>", '<ul class="main-menu"><li><a href=y>f</a></ul>', "<footer>g</footer>", "<form>h</form>", "<script>i<p>j</script>", '<p class="notice">k</p>']
+    for n in range(200):
+        parts, want = [], []
+        for i in range(rng.integers(1, 25)):
+            if rng.random() < 0.4:
+                parts.append(out[rng.integers(len(out))])
+            else:
+                text = " ".join(f"w{rng.integers(99)}" for _ in range(rng.integers(1, 40)))
+                tag = ("p", "h2", "blockquote")[rng.integers(3)]
+                parts.append(f"<{tag} title='nav hidden'>{text} <a href='/ad?class=nav'>at</a></{tag}>")
+                want.append(f"{text} at")
+        got = extract_main("<body>" + "".join(parts) + "</body>")
+        assert got == " ".join(want) or len(" ".join(want)) < 300
