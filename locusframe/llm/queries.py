@@ -164,14 +164,17 @@ u AS (
          array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)', 1), '&'),
            lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|ref|sessionid|phpsessid)(=.*)?$'))), '&') AS q
   FROM p),
+h AS (
+  SELECT *, regexp_replace(base, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//', '') AS rest FROM u),
 k AS (
-  SELECT *, CASE WHEN url IS NOT NULL THEN
-         regexp_replace(lower(regexp_extract(base, '^[a-zA-Z]+://([^/]*)', 1)), '^www\\.|:(80|443)$', '', 'g')
-         || regexp_replace(regexp_replace(regexp_extract(base, '^[a-zA-Z]+://[^/]*(.*)', 1), '/index\\.html?$', '/'), '/+$', '')
+  SELECT *, CASE WHEN url IS NOT NULL AND regexp_extract(rest, '^([^/]*)', 1) <> ''
+           AND NOT (rest = base AND regexp_matches(rest, '^[a-zA-Z][a-zA-Z0-9+.-]*:') AND NOT regexp_matches(rest, '^[^/:]+:[0-9]+(/|$)')) THEN
+         regexp_replace(lower(regexp_extract(rest, '^([^/]*)', 1)), '^www\\.|:(80|443)$', '', 'g')
+         || regexp_replace(regexp_replace(regexp_extract(rest, '^[^/]*(.*)', 1), '/index\\.html?$', '/'), '/+$', '')
          || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url_key,
          CASE WHEN kind = 1 THEN 'W/' || tag WHEN kind = 2 THEN '"another"' WHEN kind >= 3 THEN NULL ELSE tag END AS seen,
          CASE WHEN kind = 4 THEN t0 - 90000 ELSE t0 - 86400 END AS since
-  FROM u),
+  FROM h),
 full_ AS (
   SELECT 'response-' || i AS record_id, url_key, t0 AS ts, tag AS etag, t0 - 86400 AS lm, sha1(html) AS digest, length(html) AS n FROM k),
 rev AS (

@@ -11,7 +11,7 @@ URL with a third of all records is spread over many tasks. Inside a partition a
 carries the last full response forward; across partitions only one row for each
 (partition, URL) is carried. Payloads stay out of every shuffle.
 
-Null URLs have no canonical form and stay unresolved. A response at the same second as
+Null URLs, empty ones and those without a host have no canonical form and stay unresolved (``no_url``). A response at the same second as
 a revisit counts as earlier; of several responses at one second the largest record id
 counts. Repeated records each get a row; null headers count as none. Without validators on either side a revisit
 is taken to match (state ``unchecked``).
@@ -36,14 +36,17 @@ TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref|sessionid|phpsessid)(=.*)?$"
 
 def canonical_url(url: Column) -> Column:
     """Host in lower case without ``www.`` and default port, path without index page and end slash, sorted query without
-    tracking parameters; no scheme, no fragment. Null stays null."""
+    tracking parameters; no scheme, no fragment. The scheme, or it and ``//``, may be missing: the host is the first part then. Null
+    stays null; URLs without a host (empty ones, ``foo:bar``, ``http:///x``) have no canonical form either, and give null."""
     bare = F.regexp_replace(F.trim(url), "#.*", "")
     base = F.regexp_extract(bare, r"^([^?]*)", 1)
-    host = F.regexp_replace(F.lower(F.regexp_extract(base, r"^[a-zA-Z]+://([^/]*)", 1)), r"^www\.|:(80|443)$", "")
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(base, r"^[a-zA-Z]+://[^/]*(.*)", 1), r"/index\.html?$", "/"), r"/+$", "")
+    rest = F.regexp_replace(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)?//", "")
+    opaque = (rest == base) & rest.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") & ~rest.rlike(r"^[^/:]+:[0-9]+(/|$)")
+    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/]*)", 1)), r"^www\.|:(80|443)$", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, r"^[^/]*(.*)", 1), r"/index\.html?$", "/"), r"/+$", "")
     params = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)", 1), "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING))
     query = F.array_join(F.array_sort(params), "&")
-    return F.when(url.isNotNull(), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    return F.when(url.isNotNull() & ~opaque & (host != ""), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
 def _opaque(tag: Column) -> Column:
