@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from locusframe.operators import sweep
 from locusframe.plans import fixture as fx
 
 
@@ -73,7 +74,7 @@ def merge_depths(depths: DataFrame, least_share: float = 0.0) -> DataFrame:
 
 
 def range_join(points: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
-    """Points (``chr, pos``) with every closed range (``chr, start, end``) that holds them.
+    """Points (``chr, pos``) with every closed range (``chr, start, end``) that holds them.
 
     Ranges are spread over bins of ``width``, so the join is an equi-join on (chr, bin) with the exact test after it. Choose
     a width near the usual range length: a range makes (length / width + 1) rows.
@@ -83,18 +84,19 @@ def range_join(points: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     return hit.where(F.col("pos").between(F.col("start"), F.col("end"))).drop("_bin")
 
 
-def last_range(points: DataFrame, ranges: DataFrame, width: int, order: str = "rank") -> DataFrame:
-    """Name of the range of each point; of overlapping ranges the one put last."""
-    return range_join(points, ranges, width).groupBy(*points.columns).agg(F.max_by("name", order).alias("name"))
+def last_range(points: DataFrame, ranges: DataFrame, order: str = "rank") -> DataFrame:
+    """Name of the range of each point that is in one; of overlapping ranges the one put last. A sweep, for ranges of any length."""
+    found = sweep.covering(points, ranges, order, ["name"])
+    return found.where("hit IS NOT NULL").select(*points.columns, "hit.name")
 
 
-def overlay(reference: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
+def overlay(reference: DataFrame, blocks: DataFrame) -> DataFrame:
     """Called base of each reference position (``chr, pos, base``) under block records (``chr, start, end, alt, depth, masked``):
-    the alternate where there is one, the reference base in a reference block, N where masked, without depth or uncovered."""
-    found = range_join(reference, blocks, width).groupBy("chr", "pos", "base").agg(F.max_by(F.struct("alt", "depth", "masked"), "start").alias("b"))
-    all_ = reference.join(found.select("chr", "pos", "b"), ["chr", "pos"], "left")
-    called = F.when(F.col("b").isNull() | F.col("b.masked") | (F.col("b.depth") == 0), "N").otherwise(F.coalesce("b.alt", "base"))
-    return all_.select("chr", "pos", "base", called.alias("called"))
+    the alternate where there is one, the reference base in a reference block, N where masked, without depth or uncovered. The block
+    that starts last counts. ``gvcf.overlay`` reads whole records."""
+    b = sweep.covering(reference, blocks, "start", ["alt", "depth", "masked"])
+    called = F.when(F.col("hit").isNull() | F.col("hit.masked") | (F.col("hit.depth") == 0), "N").otherwise(F.coalesce("hit.alt", "base"))
+    return b.select("chr", "pos", "base", called.alias("called"))
 
 
 def common_taxa(lists: list[DataFrame]) -> DataFrame:
@@ -162,11 +164,12 @@ def merge_annotations(taxa: DataFrame) -> DataFrame:
 
 
 def merge_intervals(ranges: DataFrame, gap: int = 0, by: tuple[str, ...] = ("chr",)) -> DataFrame:
-    """Overlapping or close ranges of a key as one, by gaps and islands."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0))
-    marked = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Overlapping or close ranges of a key as one, by gaps and islands over range partitions, so that no key has to fit into a task."""
+    rows = sweep.dealt(ranges.select(*by, "start", "end", F.monotonically_increasing_id().alias("_no")), *by, "start", "end", "_no")
+    order = [*by, "start", "end", "_no"]
+    reach = sweep.earlier(rows, list(by), order, reach=("max", F.col("end")))
+    fresh = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + gap), 1).otherwise(0)
+    marked = sweep.earlier(reach.withColumn("new", fresh), list(by), order, island=("sum", F.col("new"))).withColumn("island", F.col("island") + F.col("new"))
     return marked.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
 
 
@@ -257,8 +260,8 @@ QUERIES = {
     "j05_merge_duplicates": lambda s, d: merge_duplicates(_dup(s, d)),
     "j05_merge_depths": lambda s, d: merge_depths(_depths(s, d), 0.2),
     "u06_separate_on": lambda s, d: separate_on(_p(s, d), "factor", ["y"], _SEGMENTS).select("taxon", *[F.round(F.col(f"`y_factor.{c}`"), 4).alias(c.lower()) for c in _SEGMENTS]),
-    "j07_position_in_range": lambda s, d: last_range(fx.sites(s, d), _ranges(s, d), 64),
-    "j08_overlay": lambda s, d: overlay(_reference(s, d), _blocks(s, d), 64),
+    "j07_position_in_range": lambda s, d: last_range(fx.sites(s, d), _ranges(s, d)),
+    "j08_overlay": lambda s, d: overlay(_reference(s, d), _blocks(s, d)),
     "j10_synonymize": lambda s, d: synonymize(*_names(s, d)).select("query", "match", F.round("score", 6).alias("score"), "rk"),
     "u01_common_taxa": lambda s, d: common_taxa([_p(s, d), _q(s, d), fx.calls(s, d)]),
     "u02_all_taxa": lambda s, d: all_taxa([x.select("taxon").distinct() for x in (_p(s, d), _q(s, d))]),

@@ -8,9 +8,6 @@ which gives the same tree as one merge at a time and needs few rounds.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,30 +17,7 @@ from pyspark.sql.window import Window
 from locusframe.operators.relationship import _CEN, _ibs, _kin, ibs_matrix, kinship
 from locusframe.operators.summary import allele_counts
 from locusframe.plans import fixture as fx
-
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; in a local session without one, a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="checkpoints-")
-        named = _own[app]
-    return named.rstrip("/")
-
-
-def keep_table(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder of the session (spark.checkpoint.dir) and read it back, which ends its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from locusframe.plans.tables import keep_table, shared_folder
 
 def full(m: DataFrame) -> DataFrame:
     """Both triangles of a symmetric matrix."""

@@ -265,14 +265,14 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gvcf(spark: SparkSession, path: str) -> DataFrame:
-    """``chr, start, end, ref, alt, info, gt, depth, quality`` block records of a one-sample GVCF."""
+    """``chr, start, end, ref, alt, info, gt, ad, depth, quality`` records of a one-sample GVCF; ``gvcf.from_records`` makes them ready for the overlay."""
     c = F.split("value", "\t")
     t = lines(spark, path).where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(c.alias("c"))
     info = F.str_to_map(F.col("c")[7], F.lit(";"), F.lit("="))
     field = F.map_from_arrays(F.split(F.col("c")[8], ":"), F.slice(F.concat(F.split(F.col("c")[9], ":"), F.array_repeat(F.lit("."), 20)), F.lit(1), F.size(F.split(F.col("c")[8], ":"))))
     start = F.col("c")[1].cast("long")
     end = F.coalesce(F.try_element_at(info, F.lit("END")).try_cast("long"), start + F.length(F.col("c")[3]) - 1)
-    return t.select(normalise_chromosome(F.col("c")[0]).alias("chr"), start.alias("start"), end.alias("end"), F.col("c")[3].alias("ref"), F.col("c")[4].alias("alt"), info.alias("info"), F.try_element_at(field, F.lit("GT")).alias("gt"), F.try_element_at(field, F.lit("DP")).try_cast("int").alias("depth"), F.try_element_at(field, F.lit("GQ")).try_cast("int").alias("quality"))
+    return t.select(normalise_chromosome(F.col("c")[0]).alias("chr"), start.alias("start"), end.alias("end"), F.col("c")[3].alias("ref"), F.col("c")[4].alias("alt"), info.alias("info"), F.try_element_at(field, F.lit("GT")).alias("gt"), F.transform(F.split(F.try_element_at(field, F.lit("AD")), ","), lambda x: x.try_cast("int")).alias("ad"), F.try_element_at(field, F.lit("DP")).try_cast("int").alias("depth"), F.try_element_at(field, F.lit("GQ")).try_cast("int").alias("quality"))
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:

@@ -264,14 +264,6 @@ def write_taxa_table(taxa: DataFrame, path: str, keys: list[str], single: bool =
     _write(taxa, F.concat_ws("\t", "name", *cells), ["<TaxaList>", "\t".join(["Taxa", *keys])], path, ["name"], single)
 
 
-def indel_islands(sites: DataFrame) -> DataFrame:
-    """Consecutive indel sites (``chr, pos, is_indel``) at most one base apart as one record: first and last position, number."""
-    w = Window.partitionBy("chr").orderBy("pos")
-    s = sites.where("is_indel").withColumn("new", F.when(F.col("pos") - F.lag("pos").over(w) <= 1, 0).otherwise(1))
-    s = s.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("chr", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n")).drop("island")
-
-
 def numbered(path: str, n: int, total: int) -> str:
     """The path of the n-th of several exports: the number before the first dot of the file's name."""
     if total <= 1:

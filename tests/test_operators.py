@@ -98,7 +98,7 @@ def test_phenotype_joins(spark):
     assert joins.join_all([a, b, a]).count() == 4
     r = spark.createDataFrame([("1", 5, 9, "a", 1), ("1", 8, 30, "b", 2)], "chr string, start long, end long, name string, rank long")
     p = spark.createDataFrame([("1", x) for x in (4, 5, 8, 30, 31)], "chr string, pos long")
-    assert rows(joins.last_range(p, r, 4)) == [("1", 30, "b"), ("1", 5, "a"), ("1", 8, "b")]
+    assert rows(joins.last_range(p, r)) == [("1", 30, "b"), ("1", 5, "a"), ("1", 8, "b")]
     assert rows(joins.merge_intervals(r.select("chr", "start", "end"))) == [("1", 5, 30, 2)]
 
 
