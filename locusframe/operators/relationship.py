@@ -165,26 +165,6 @@ def closest(m: DataFrame) -> DataFrame:
     return both.groupBy("i").agg(F.min(F.struct("value", "j")).alias("x")).select(F.col("i").alias("taxon"), F.col("x.j").alias("closest"), F.col("x.value").alias("distance"))
 
 
-def cluster_order(m: DataFrame) -> list:
-    """Samples in an order that puts nearest neighbours together: pairs by their smallest distance start or join a cluster;
-    samples without a distance come last. One row for each sample reaches the driver."""
-    near = sorted((r["distance"], r["taxon"], r["closest"]) for r in closest(m).collect())
-    clusters: list[list] = []
-    where: dict = {}
-    for _, a, b in near:
-        if a not in where and b not in where:
-            clusters.append([a, b])
-            where[a] = where[b] = clusters[-1]
-        elif a not in where:
-            where[b].append(a)
-            where[a] = where[b]
-        elif b not in where:
-            where[a].append(b)
-            where[b] = where[a]
-    rest = [r["i"] for r in m.select("i").distinct().orderBy("i").collect() if r["i"] not in where]
-    return [t for c in clusters for t in c] + rest
-
-
 def hybrid_calls(calls: DataFrame, crosses: DataFrame) -> DataFrame:
     """Call of each cross (``child, mother, father``): one allele of each parent where both are homozygous, else unknown."""
     m = calls.select(F.col("taxon").alias("mother"), "site", F.when(F.col("a1") == F.col("a2"), F.col("a1")).alias("x"))

@@ -214,14 +214,6 @@ def bic(lnl: Column, k: Column, n: Column) -> Column:
     return lnl - k / 2 * F.log(n)
 
 
-def permute(rows: DataFrame, value: str, key: str, seed: int, within: list[str] | None = None) -> DataFrame:
-    """``rows`` with the value permuted, inside groups where given. Two rankings of a group, joined: by key and by a seeded hash."""
-    by = within or []
-    a = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
-    b = rows.select(*by, value, F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)).alias("_i"))
-    return a.drop(value).join(b, [*by, "_i"]).drop("_i")
-
-
 def _traits(s: SparkSession, d: str) -> DataFrame:
     return fx.phenotypes(s, d).groupBy("taxon").agg(F.avg("y").alias("y"))
 
@@ -250,6 +242,8 @@ def _m17(s, d):
 
 
 def _m18(s, d):
+    from locusframe.operators.orders import permute
+
     p = permute(fx.table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", "c_custkey", 5, ["c_mktsegment"])
     return p.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.countDistinct("c_custkey").alias("keys"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from locusframe.functions import codes, distributions
-from locusframe.operators import filters, joins, ordination, relationship, scalars, stats, summary
+from locusframe.operators import filters, joins, orders, ordination, relationship, scalars, stats, summary
 from locusframe.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -128,7 +128,7 @@ def test_linear_model_and_stepwise(spark):
     assert m["twice"]["df"] == 0 and m["x"]["df"] == 1 and m["x"]["df_error"] == taxa - 2  # a dependent column is left out
     f = stats.fisher_exact(spark.createDataFrame([(0, 3, 1, 1, 3)], "g int, a long, b long, c long, d long"), ["g"]).first()
     assert f["two"] == pytest.approx(34 / 70) and f["point"] == pytest.approx(16 / 70)
-    assert math.isclose(rows(stats.permute(wide.withColumn("k", F.monotonically_increasing_id()), "y", "k", 1).agg(F.sum("y")))[0][0], float(y.sum()))
+    assert math.isclose(rows(orders.permute(wide.withColumn("k", F.monotonically_increasing_id()), "y", "k", 1).agg(F.sum("y")))[0][0], float(y.sum()))
 
 
 def test_trees_and_eigen(spark):
@@ -176,7 +176,7 @@ def test_cluster_order_and_masked_sequence(spark, tmp_path):
     from locusframe.sources import writers
 
     m = spark.createDataFrame([("b", "a", 5.0), ("c", "a", 1.0), ("c", "b", 4.0), ("d", "a", 9.0), ("d", "b", 2.0), ("d", "c", 8.0), ("e", "e", 0.0)], "i string, j string, value double")
-    assert relationship.cluster_order(m) == ["a", "c", "b", "d", "e"]
+    assert [r["taxon"] for r in orders.cluster_order(m).orderBy("place").collect()] == ["a", "c", "b", "d", "e"]
     called = spark.createDataFrame([("2", 2, "N"), ("2", 1, "A"), ("1", 7, "T"), ("2", 3, "G")], "chr string, pos long, called string")
     writers.write_called_sequence(called, str(tmp_path / "m"), width=2)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "m")).collect()] == [">1", "T", ">2", "AN", "G"]
