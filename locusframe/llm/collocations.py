@@ -11,7 +11,7 @@ four bits to a prefix's partition, so a prefix with a third of all phrases is sp
 
 A phrase can only be as frequent as its parts, so the second pass leaves out pairs with a word below
 ``min_count``, and the third leaves out triples with a pair below it. A Bloom filter of at most
-2 ** MOST_BITS bits (16 MB) carries the parts to the tasks: what it lets pass wrongly is only
+2 ** FILTER_BITS bits (16 MB) carries the parts to the tasks: what it lets pass wrongly is only
 counted and then dropped, so counts are exact at every fill.
 
 Scores use decimals of 38 digits; they are exact for counts up to 1e15. The first ``top`` of each
@@ -35,53 +35,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from locusframe.llm.common import cut, tidy
+from locusframe.llm.common import Filter, bloom_filter, cut, mix, tidy
 
 # Lower-cases A-Z, makes marks and line ends a line feed and a tab a space, on UTF-8 bytes.
 _PREPARE = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _SLICE = 1 << 20
 BURST = 1 << 14
-MOST_BITS = 27
 _ID_BITS = 21  # three word ids in one long
 _MOST_IDS = 1 << 20
 _GAP, _END = 0, 1  # ids of nothing between two spaces and of the end of a piece
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A permutation of 64-bit numbers that scatters them."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _follow(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     """Hash of a sequence and one more word, from the hash of each."""
-    return _mix(first * np.uint64(3) + then)
+    return mix(first * np.uint64(3) + then)
 
 
 def _name(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data)
 
 
-class Filter:
-    """A Bloom filter with two probes over phrase hashes."""
-
-    def __init__(self, words: np.ndarray) -> None:
-        self.words = words
-
-    @staticmethod
-    def probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        top = np.uint64(64 - bits)
-        return hashes >> top, _mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> top
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        bits = int(len(self.words) * 64).bit_length() - 1
-        found = np.ones(len(hashes), bool)
-        for at in self.probes(hashes, bits):
-            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return found
-
-
 class _Ids(dict):
     """Word -> id in order of arrival, with the words' hashes."""
 
@@ -287,29 +260,22 @@ def phrase_counts(docs: DataFrame, n: int, known: Filter | None = None, held: in
 
 
 def filter_of(phrases: DataFrame) -> Filter:
-    """A filter of the phrases (``lang, phrase``), with about 12 bits for each and 2 ** MOST_BITS at most."""
-    bits = int(np.clip(int(12 * max(1, phrases.count())).bit_length(), 12, MOST_BITS))
+    """A filter of the phrases (``lang, phrase``)."""
 
     @tidy
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = np.zeros(batch.num_rows, np.uint64)
-            lasts = []
+            first = np.zeros(batch.num_rows, np.uint64)
+            lasts = np.zeros(batch.num_rows, np.uint64)
             for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)):
                 h = np.array([_name(lang.encode())], np.uint64)
                 words = phrase.split(b" ")
                 for w in words[:-1]:
                     h = _follow(h, np.array([_name(w)], np.uint64))
-                hashes[i] = h[0]
-                lasts.append(_name(words[-1]))
-            at = np.concatenate(Filter.probes(_follow(hashes, np.array(lasts, np.uint64)), bits)) if len(lasts) else np.zeros(0, np.uint64)
-            mask = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(mask)], ["slot", "mask"])
-
-    masks = phrases.select("lang", "phrase").mapInArrow(probes, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    words = np.zeros(1 << bits >> 6, np.uint64)
-    words[masks.column("slot").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
-    return Filter(words)
+                first[i], lasts[i] = h[0], _name(words[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(_follow(first, lasts).view(np.int64))], ["h"])
+
+    return bloom_filter(phrases.select("lang", "phrase").mapInArrow(hashes, "h long"), phrases.count())
 
 
 def score(left: str, right: str) -> Column:

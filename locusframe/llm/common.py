@@ -8,11 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FILTER_BITS = 27
 _own_dirs: dict[str, str | None] = {}
 
 
@@ -110,3 +112,50 @@ def connected_components(edges: DataFrame) -> DataFrame:
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return out.unionByName(roots)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that scatters them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Filter:
+    """A Bloom filter with two probes over 64-bit hashes: it has all that were put in, and says so of few others."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    @staticmethod
+    def probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        top = np.uint64(64 - bits)
+        return hashes >> top, mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> top
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        bits = int(len(self.words) * 64).bit_length() - 1
+        found = np.ones(len(hashes), bool)
+        for at in self.probes(hashes, bits):
+            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
+def bloom_filter(hashes: DataFrame, rows: int) -> Filter:
+    """A filter of the hashes ``h`` (long) of about ``rows`` rows: some 12 bits for each, 2 ** FILTER_BITS (16 MB) at most.
+
+    Its words are put together by an aggregate, so the driver gets each word once, however many tasks there are.
+    """
+    bits = int(np.clip(int(12 * max(1, rows)).bit_length(), 12, FILTER_BITS))
+
+    @tidy
+    def probes(batches: Iterator[pyarrow.RecordBatch]) -> Iterator[pyarrow.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            at = np.concatenate(Filter.probes(h, bits))
+            mask = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+            yield pyarrow.RecordBatch.from_arrays([pyarrow.array((at >> np.uint64(6)).astype(np.int64)), pyarrow.array(mask)], ["slot", "mask"])
+
+    masks = hashes.select("h").mapInArrow(probes, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = np.zeros(1 << bits >> 6, np.uint64)
+    words[masks.column("slot").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
+    return Filter(words)
