@@ -184,12 +184,23 @@ def midpoint_root(t: Lifted) -> DataFrame:
     return reroot(t, node, share)
 
 
-def _tree(s: SparkSession, d: str, way: int = 2) -> DataFrame:
+def _tree(s: SparkSession, d: str) -> DataFrame:
     c, k = fx.table(s, d, "customer"), F.col("c_custkey")
-    parent = F.when(k == 1, F.lit(None)).when(k % 7 == way, k - 1).otherwise(F.floor(k / 2))
+    parent = F.when(k == 1, F.lit(None)).when(k % 7 == 2, k - 1).otherwise(F.floor(k / 2))
     return c.where(k > 0).select(k.alias("node"), parent.cast("long").alias("parent"), (1 + k * 37 % 11).cast("double").alias("length"))
 
 
+def _tips(s: SparkSession, d: str, plain: bool) -> DataFrame:
+    """Customers as tips (minus their key) of the inner nodes of ``_tree``, or of a plain binary tree with half as many."""
+    c, k = fx.table(s, d, "customer").where("c_custkey > 0"), F.col("c_custkey")
+    low = F.greatest(F.floor(k / 2), F.lit(1)).cast("long")
+    tips = c.select((-k).alias("node"), (low if plain else k).alias("parent"), F.lit(1.0).alias("length"))
+    inner = _tree(s, d)
+    if plain:
+        inner = c.select(low.alias("node")).distinct().select("node", F.when(F.col("node") > 1, F.floor(F.col("node") / 2).cast("long")).alias("parent"), F.lit(1.0).alias("length"))
+    return inner.unionByName(tips)
+
+
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     o = fx.table(s, d, "orders").where("o_orderkey % 5 = 1")
     n = fx.table(s, d, "customer").agg(F.max("c_custkey").alias("n"))
@@ -199,28 +210,30 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "m21_tree_depths": lambda s, d: lifted(_tree(s, d)).facts.select("node", "depth", "reach", "n_leaves", "n_below", "below"),
     "m21_path_lengths": lambda s, d: path_lengths(lifted(_tree(s, d)), _pairs(s, d)),
-    "m21_compare_trees": lambda s, d: compare(lifted(_tree(s, d)), lifted(_tree(s, d, 3))).select("leaves", "n_a", "n_b", "shared", "distance", F.round("rescaled", 8).alias("rescaled")),
+    "m21_compare_trees": lambda s, d: compare(lifted(_tips(s, d, False)), lifted(_tips(s, d, True))).select("leaves", "n_a", "n_b", "shared", "distance", F.round("rescaled", 8).alias("rescaled")),
     "m21_reroot": lambda s, d: lifted(reroot(lifted(_tree(s, d)), 37)).facts.where("n_below = 1").select("node", "reach"),
 }
 
-_T = """n AS (SELECT c_custkey AS node, CASE WHEN c_custkey = 1 THEN NULL WHEN c_custkey % 7 = {w} THEN c_custkey - 1 ELSE c_custkey // 2 END AS parent, CAST(1 + c_custkey * 37 % 11 AS DOUBLE) AS length FROM customer WHERE c_custkey > 0)"""
+_T = """n AS (SELECT c_custkey AS node, CASE WHEN c_custkey = 1 THEN NULL WHEN c_custkey % 7 = 2 THEN c_custkey - 1 ELSE c_custkey // 2 END AS parent, CAST(1 + c_custkey * 37 % 11 AS DOUBLE) AS length FROM customer WHERE c_custkey > 0)"""
 _UP = "up AS (SELECT node AS x, node AS at_, parent, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS r FROM n UNION ALL SELECT x, n.node, n.parent, k + 1, r + m.length FROM up JOIN n m ON m.node = up.at_ JOIN n ON n.node = up.parent)"
 _LEAF = "SELECT node FROM {n} WHERE node NOT IN (SELECT parent FROM {n} WHERE parent IS NOT NULL)"
 ORACLES = {
-    "m21_tree_depths": f"""WITH RECURSIVE {_T.format(w=2)}, {_UP}, lf AS ({_LEAF.format(n='n')}), d AS (SELECT x, max(k) AS depth, max(r) AS reach FROM up GROUP BY x),
+    "m21_tree_depths": f"""WITH RECURSIVE {_T}, {_UP}, lf AS ({_LEAF.format(n='n')}), d AS (SELECT x, max(k) AS depth, max(r) AS reach FROM up GROUP BY x),
 b AS (SELECT at_ AS node, count(*) AS n_below, count(lf.node) AS n_leaves, sum(CASE WHEN up.x <> at_ THEN n.length ELSE 0 END) AS below FROM up JOIN n ON n.node = up.x LEFT JOIN lf ON lf.node = up.x GROUP BY at_)
 SELECT node, depth, reach, n_leaves, n_below, below FROM d JOIN b ON d.x = b.node""",
-    "m21_path_lengths": f"""WITH RECURSIVE {_T.format(w=2)}, {_UP}, p AS (SELECT DISTINCT 1 + o_orderkey * 31 % (SELECT max(c_custkey) FROM customer) AS a, 1 + o_orderkey * 17 % (SELECT max(c_custkey) FROM customer) AS b FROM orders WHERE o_orderkey % 5 = 1)
+    "m21_path_lengths": f"""WITH RECURSIVE {_T}, {_UP}, p AS (SELECT DISTINCT 1 + o_orderkey * 31 % (SELECT max(c_custkey) FROM customer) AS a, 1 + o_orderkey * 17 % (SELECT max(c_custkey) FROM customer) AS b FROM orders WHERE o_orderkey % 5 = 1)
 SELECT a, b, u.at_ AS ancestor, u.k + v.k AS edges, u.r + v.r AS distance FROM p JOIN up u ON u.x = a JOIN up v ON v.x = b AND v.at_ = u.at_ QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY u.k) = 1""",
-    "m21_compare_trees": f"""WITH RECURSIVE n AS MATERIALIZED (SELECT 1 AS t, * FROM ({_T.format(w=2)[6:-1]}) UNION ALL SELECT 2, * FROM ({_T.format(w=3)[6:-1]})),
+    "m21_compare_trees": f"""WITH RECURSIVE {_T.replace("n AS", "a0 AS", 1)},
+n AS MATERIALIZED (SELECT 1 AS t, node, parent FROM a0 UNION ALL SELECT 1, -c_custkey, c_custkey FROM customer WHERE c_custkey > 0 UNION ALL SELECT 2, -c_custkey, greatest(c_custkey // 2, 1) FROM customer WHERE c_custkey > 0
+  UNION ALL SELECT DISTINCT 2, k, CASE WHEN k > 1 THEN k // 2 END FROM (SELECT greatest(c_custkey // 2, 1) AS k FROM customer WHERE c_custkey > 0)),
 lf AS (SELECT t, node FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE a.t = b.t AND b.parent = a.node)),
 up AS (SELECT lf.t, lf.node AS x, lf.node AS at_ FROM lf UNION ALL SELECT up.t, x, n.parent FROM up JOIN n ON n.t = up.t AND n.node = up.at_ WHERE n.parent IS NOT NULL),
 c AS (SELECT t, at_, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS s, count(*) AS k FROM up WHERE at_ <> 1 GROUP BY t, at_), al AS (SELECT t, count(*) AS k FROM lf GROUP BY t),
 o AS (SELECT c.t, s, c.k, (SELECT string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) FROM lf WHERE lf.t = c.t AND node NOT IN (SELECT x FROM up WHERE up.t = c.t AND up.at_ = c.at_)) AS other, al.k - c.k AS ok FROM c JOIN al ON al.t = c.t),
 sp AS (SELECT DISTINCT t, least(s, other) AS s FROM o WHERE k > 1 AND ok > 1)
-SELECT (SELECT k FROM al WHERE t = 1) AS leaves, (SELECT count(*) FROM sp WHERE t = 1) AS n_a, (SELECT count(*) FROM sp WHERE t = 2) AS n_b, (SELECT count(*) FROM sp a JOIN sp b ON a.s = b.s WHERE a.t = 1 AND b.t = 2) AS shared,
- (n_a + n_b - 2 * shared) / 2 AS distance, round((n_a + n_b - 2 * shared) / 2 / (leaves - 3), 8) AS rescaled""",
-    "m21_reroot": f"""WITH RECURSIVE {_T.format(w=2)}, {_UP}, lf AS ({_LEAF.format(n='n')}), v AS (SELECT at_, k, r FROM up WHERE x = 37),
+SELECT leaves, n_a, n_b, shared, (n_a + n_b - 2 * shared) / 2 AS distance, round((n_a + n_b - 2 * shared) / 2 / (leaves - 3), 8) AS rescaled
+FROM (SELECT k AS leaves FROM al WHERE t = 1), (SELECT count(*) FILTER (WHERE t = 1) AS n_a, count(*) FILTER (WHERE t = 2) AS n_b FROM sp), (SELECT count(*) AS shared FROM sp a JOIN sp b ON a.s = b.s WHERE a.t = 1 AND b.t = 2)""",
+    "m21_reroot": f"""WITH RECURSIVE {_T}, {_UP}, lf AS ({_LEAF.format(n='n')}), v AS (SELECT at_, k, r FROM up WHERE x = 37),
 p AS (SELECT lf.node, u.at_, u.r + v.r AS distance, u.at_ = 37 AS inside FROM lf JOIN up u ON u.x = lf.node JOIN v ON v.at_ = u.at_ QUALIFY row_number() OVER (PARTITION BY lf.node ORDER BY u.k) = 1)
 SELECT node, distance + CASE WHEN inside THEN 0.5 ELSE -0.5 END * (SELECT length FROM n WHERE node = 37) AS reach FROM p""",
 }
