@@ -125,8 +125,9 @@ def variance_components(kin: DataFrame, traits: DataFrame) -> DataFrame:
     return r.select("pairs", "genetic", (F.col("total") - F.col("genetic")).alias("residual"), F.try_divide("genetic", "total").alias("share"))
 
 
-def stepwise(calls: DataFrame, traits: DataFrame, allele: Column, enter: float = 1e-3, leave: float = 1e-3, steps: int = 5) -> list[dict]:
-    """Forward steps over all sites, with backward checks. A step is one pass: every site's partial F given the chosen ones.
+def stepwise(calls: DataFrame, traits: DataFrame, allele: Column, enter: float = 1e-3, leave: float = 1e-3, steps: int | None = None) -> list[dict]:
+    """Forward steps over all sites, with backward checks, until no site enters (or for ``steps`` steps, where given). A step is one pass: every
+    site's partial F given the chosen ones. It also ends where a set of sites comes back.
 
     The chosen sites' dosages (one number for each sample and chosen site) are joined to the calls as columns.
     """
@@ -134,7 +135,11 @@ def stepwise(calls: DataFrame, traits: DataFrame, allele: Column, enter: float =
     x = calls.select("taxon", "site", dose.alias("x")).where("x IS NOT NULL")
     chosen: list[int] = []
     report: list[dict] = []
-    for _ in range(steps):
+    seen: set[frozenset] = set()
+    while steps is None or len([r for r in report if r["action"] == "add"]) < steps:
+        if frozenset(chosen) in seen:
+            break
+        seen.add(frozenset(chosen))
         base = traits
         for s in chosen:
             base = base.join(x.where(F.col("site") == s).select("taxon", F.col("x").alias(f"m{s}")), "taxon")
@@ -159,6 +164,49 @@ def stepwise(calls: DataFrame, traits: DataFrame, allele: Column, enter: float =
     return report
 
 
+def stepwise_table(calls: DataFrame, traits: DataFrame, allele: Column, enter: float = 1e-3, leave: float = 1e-3, steps: int | None = None) -> DataFrame:
+    """The analysis of variance of the model that ``stepwise`` ends with: ``term, ss, df, ms, f, p, rsq``.
+
+    A row for each site in the order that they entered, with the sum of squares that it adds to those before it, then ``error`` and ``total``, over
+    the samples with a value and calls at all sites of the model. A site that adds nothing has no degree of freedom.
+    """
+    chosen: list = []
+    for r in stepwise(calls, traits, allele, enter, leave, steps):
+        chosen = [*chosen, r["site"]] if r["action"] == "add" else [c for c in chosen if c != r["site"]]
+    dose = (F.col("a1") == allele).cast("double") + (F.col("a2") == allele).cast("double")
+    x = calls.select("taxon", "site", dose.alias("x")).where("x IS NOT NULL")
+    rows = traits.select("taxon", F.col("y").cast("double").alias("y")).where("y IS NOT NULL")
+    for s in chosen:
+        rows = rows.join(x.where(F.col("site") == s).select("taxon", F.col("x").alias(f"m{s}")), "taxon")
+    names = ["_one", *[f"m{s}" for s in chosen], "y"]
+    rows = rows.withColumn("_one", F.lit(1.0))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    # sums of products around the means, so that large values don't cancel: a number for each pair of terms
+    mean = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
+    around = {c: F.col(c) - (mean[c] or 0.0) if c != "_one" else F.col(c) for c in names}
+    sums = rows.agg(*[F.sum(around[names[i]] * around[names[j]]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    gram = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"] or 0.0
+    n, total = int(gram[0, 0]), float(gram[-1, -1])
+    left, out = gram[1:, 1:].copy(), []
+    for k, s in enumerate(chosen):  # each term is swept out of those after it and of the trait
+        size = left[k, k]
+        added = 0.0
+        if size > 1e-9 * gram[k + 1, k + 1]:
+            added = left[k, -1] ** 2 / size
+            left[k + 1 :, k + 1 :] -= np.outer(left[k + 1 :, k], left[k, k + 1 :]) / size
+        out.append((str(s), float(added), int(size > 1e-9 * gram[k + 1, k + 1])))
+    error, df_error = max(0.0, float(left[-1, -1])), n - 1 - sum(r[2] for r in out)
+    table = []
+    for term, ss, df in out:
+        f = ss / (error / df_error) if df and df_error > 0 and error > 0 else None
+        table.append((term, ss, df, ss if df else None, f, float(f_tail(f, df, df_error)) if f is not None else None, ss / total if total else None))
+    table.append(("error", error, df_error, error / df_error if df_error > 0 else None, None, None, None))
+    table.append(("total", total, n - 1, None, None, None, None))
+    return calls.sparkSession.createDataFrame(table, "term string, ss double, df long, ms double, f double, p double, rsq double")
+
+
 def fisher_exact(counts: DataFrame, by: list[str]) -> DataFrame:
     """Of each 2 x 2 table (``a, b, c, d``): its probability, left, right and two-tailed p."""
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["summary", "relationship", "filters", "joins", "scalars", "stats", "models", "mixed", "ordination", "annotations", "interchange", "streams", "gvcf", "variants", "mixed_blocks", "orders", "exact", "trees"]
+MODULES: list[str] = ["summary", "relationship", "filters", "joins", "scalars", "stats", "models", "mixed", "ordination", "annotations", "interchange", "streams", "gvcf", "variants", "mixed_blocks", "orders", "exact", "trees", "kmers"]
 
 
 def _gather(what: str) -> dict:
