@@ -1,7 +1,7 @@
 """Writers of genotype, matrix, phenotype and report files.
 
 Rows of a file are made in Spark and written by the text or csv sink, sorted by range
-partitions so that part files follow each other; ``single=True`` makes one part for
+partitions so that part files follow each other; ``single=True`` makes one part, for
 small exports. Sample columns of a wide file are given or found by one aggregate.
 """
 
@@ -43,7 +43,7 @@ def _write(body: DataFrame, line: Column, header: list[str], path: str, order: l
     ordered.sortWithinPartitions(*by).select("value").write.mode("overwrite").text(path)
 
 
-def write_hapmap(cells: DataFrame, path: str, diploid: bool = False, single: bool = True) -> None:
+def write_hapmap(cells: DataFrame, path: str, diploid: bool = False, single: bool = False) -> None:
     """``taxon, chr, pos, a1, a2`` cells as Hapmap: alleles by frequency, IUPAC or two letters, N or NN where unknown."""
     taxa = _taxa(cells)
     site = cells.withColumn("site", F.struct("chr", "pos"))
@@ -55,7 +55,7 @@ def write_hapmap(cells: DataFrame, path: str, diploid: bool = False, single: boo
     _write(wide, F.concat_ws("\t", *fixed, "cells"), ["\t".join([*HAPMAP_COLUMNS, *taxa])], path, [chromosome_key(F.col("chr")), "pos"], single)
 
 
-def write_vcf(cells: DataFrame, path: str, single: bool = True) -> None:
+def write_vcf(cells: DataFrame, path: str, single: bool = False) -> None:
     """Cells (``taxon, chr, pos, a1, a2`` and, where it is a column, the list ``depth`` by code) as VCF 4.2: the most frequent allele is REF.
 
     Indel sites get an N before each allele. With depth: AD of the listed alleles, DP, and PL and GQ of the first two.
@@ -90,7 +90,7 @@ def _sequences(cells: DataFrame) -> DataFrame:
     return m.select("taxon", F.array_join(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("N"))), "").alias("seq"))
 
 
-def write_plink(cells: DataFrame, path: str, single: bool = True) -> None:
+def write_plink(cells: DataFrame, path: str, single: bool = False) -> None:
     """``path/map`` and ``path/ped``; unknown is 0, a gap D, other fields -9."""
     sites = cells.select("chr", "pos").distinct()
     _write(sites, F.concat_ws("\t", "chr", F.concat(F.lit("S"), F.col("chr"), F.lit("_"), F.col("pos")), F.lit("-9"), F.col("pos").cast("string")), [], f"{path}/map", [chromosome_key(F.col("chr")), "pos"], single)
@@ -103,21 +103,21 @@ def write_plink(cells: DataFrame, path: str, single: bool = True) -> None:
     _write(m, line, [], f"{path}/ped", [F.col("taxon").cast("string")], single)
 
 
-def write_delimited(cells: DataFrame, path: str, delimiter: str = "\t", single: bool = True) -> None:
+def write_delimited(cells: DataFrame, path: str, delimiter: str = "\t", single: bool = False) -> None:
     """Samples as rows, positions as columns."""
     sites = [(r["chr"], r["pos"]) for r in cells.select("chr", "pos").distinct().orderBy(chromosome_key(F.col("chr")), "pos").collect()]  # the file's columns
     s = _sequences(cells)
     _write(s, F.concat_ws(delimiter, "taxon", F.filter(F.split("seq", ""), lambda x: x != "")), [delimiter.join(["Taxa", *[f"S{c}_{p}" for c, p in sites]])], path, ["taxon"], single)
 
 
-def write_phylip(cells: DataFrame, path: str, single: bool = True) -> None:
+def write_phylip(cells: DataFrame, path: str, single: bool = False) -> None:
     """Sequential: a line of counts, then a padded name and the sequence in blocks of ten for each sample."""
     s = _sequences(cells)
     n = s.agg(F.count("*").alias("t"), F.max(F.length("seq")).alias("n")).first()
     _write(s, F.concat(F.rpad(F.substring("taxon", 1, 10), 10, " "), F.trim(F.regexp_replace("seq", "(.{10})", "$1 "))), [f"{n['t']} {n['n'] or 0}"], path, ["taxon"], single)
 
 
-def write_phylip_interleaved(cells: DataFrame, path: str, single: bool = True) -> None:
+def write_phylip_interleaved(cells: DataFrame, path: str, single: bool = False) -> None:
     """Rows of 50 letters in blocks of ten, a block of all samples after another; names stand in the first one only."""
     s = _sequences(cells)
     n = s.agg(F.count("*").alias("t"), F.max(F.length("seq")).alias("n")).first()
@@ -126,21 +126,21 @@ def write_phylip_interleaved(cells: DataFrame, path: str, single: bool = True) -
     _write(parts, F.concat(name, F.trim(F.regexp_replace("part", "(.{10})", "$1 "))), [f"{n['t']} {n['n'] or 0}"], path, ["b", "taxon"], single)
 
 
-def write_clustalw(cells: DataFrame, path: str, single: bool = True) -> None:
+def write_clustalw(cells: DataFrame, path: str, single: bool = False) -> None:
     """The sequences in rows of 50, a block of all samples after another."""
     s = _sequences(cells)
     parts = s.select("taxon", F.posexplode(F.filter(F.split(F.regexp_replace("seq", "(.{50})", "$1\n"), "\n"), lambda x: x != "")).alias("b", "part"))
     _write(parts, F.concat(F.rpad("taxon", 16, " "), F.col("part")), ["CLUSTAL W", ""], path, ["b", "taxon"], single)
 
 
-def write_fasta(cells: DataFrame, path: str, gaps: bool = True, single: bool = True) -> None:
+def write_fasta(cells: DataFrame, path: str, gaps: bool = True, single: bool = False) -> None:
     """A record for each sample; without gaps the letter - is dropped."""
     s = _sequences(cells)
     seq = F.col("seq") if gaps else F.translate("seq", "-", "")
     _write(s, F.concat(F.lit(">"), F.col("taxon"), F.lit("\n"), seq), [], path, ["taxon"], single)
 
 
-def write_called_sequence(called: DataFrame, path: str, width: int = 80, single: bool = True) -> None:
+def write_called_sequence(called: DataFrame, path: str, width: int = 80, single: bool = False) -> None:
     """A FASTA record for each chromosome of ``chr, pos, called`` rows (N where masked), in position order, in lines of ``width``."""
     parts = called.withColumn("line", F.floor((F.row_number().over(Window.partitionBy("chr").orderBy("pos")) - 1) / width))
     rows = parts.groupBy("chr", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "called"))), lambda x: x["called"]), "").alias("s"))
@@ -148,7 +148,7 @@ def write_called_sequence(called: DataFrame, path: str, width: int = 80, single:
     _write(rows, F.concat(first, F.col("s")), [], path, [chromosome_key(F.col("chr")), "line"], single)
 
 
-def write_scores(cells: DataFrame, path: str, value: str, single: bool = True) -> None:
+def write_scores(cells: DataFrame, path: str, value: str, single: bool = False) -> None:
     """A numeric column of the cells (depth, reference probability) as a samples by sites table."""
     taxa = _taxa(cells)
     wide = _wide(cells, ["chr", "pos"], taxa, F.col(value).cast("string"), "NaN")
@@ -159,13 +159,13 @@ def _full(m: DataFrame) -> DataFrame:
     return m.select("i", "j", "value").unionByName(m.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
 
 
-def write_square_matrix(m: DataFrame, path: str, comments: dict[str, str] | None = None, single: bool = True) -> None:
+def write_square_matrix(m: DataFrame, path: str, comments: dict[str, str] | None = None, single: bool = False) -> None:
     """``##key=value`` lines, the count, then a name and all values on each row."""
     rows = _full(m).groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda x: x["value"].cast("string")).alias("v"))
     _write(rows, F.concat_ws("\t", F.col("i").cast("string"), "v"), [*[f"##{k}={v}" for k, v in (comments or {}).items()], str(rows.count())], path, ["i"], single)
 
 
-def write_grm_raw(m: DataFrame, path: str, single: bool = True) -> None:
+def write_grm_raw(m: DataFrame, path: str, single: bool = False) -> None:
     """``i j n value`` of the lower triangle, places from 1."""
     place = _places(m)
     rows = m.join(place.select(F.col("name").alias("i"), F.col("o").alias("x")), "i").join(place.select(F.col("name").alias("j"), F.col("o").alias("y")), "j")
@@ -178,7 +178,7 @@ def _places(m: DataFrame) -> DataFrame:
     return names.withColumn("o", F.row_number().over(Window.orderBy("name")))  # a row for each sample
 
 
-def write_darwin(m: DataFrame, path: str, single: bool = True) -> None:
+def write_darwin(m: DataFrame, path: str, single: bool = False) -> None:
     """``path/don`` (names) and ``path/dis`` (lower triangle without the diagonal), places from 1."""
     place = _places(m)
     n = place.count()
@@ -189,14 +189,14 @@ def write_darwin(m: DataFrame, path: str, single: bool = True) -> None:
     _write(rows, F.concat_ws("\t", F.col("x").cast("string"), "v"), top, f"{path}/dis", ["x"], single)
 
 
-def write_phylip_distance(m: DataFrame, path: str, single: bool = True) -> None:
+def write_phylip_distance(m: DataFrame, path: str, single: bool = False) -> None:
     """Six values to a line, five decimals."""
     rows = _full(m).groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda x: F.format_string("%.5f", x["value"])).alias("v"))
     groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / 6).cast("int")), lambda k: F.array_join(F.slice(F.col("v"), k * 6 + 1, F.lit(6)), " "))
     _write(rows, F.concat(F.rpad(F.col("i").cast("string"), 10, " "), F.array_join(groups, "\n")), [str(rows.count())], path, ["i"], single)
 
 
-def write_phenotype(pheno: DataFrame, path: str, roles: dict[str, str] | None = None, single: bool = True) -> None:
+def write_phenotype(pheno: DataFrame, path: str, roles: dict[str, str] | None = None, single: bool = False) -> None:
     """A ``<Phenotype>`` table; roles from the columns' metadata or ``roles``; a missing value is NaN, a missing factor ?."""
     role = {f.name: (roles or {}).get(f.name) or f.metadata.get("role") or ("taxa" if f.name == "taxon" else "factor" if f.dataType.simpleString() == "string" else "data") for f in pheno.schema.fields}
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("?" if role[c] in ("taxa", "factor") else "NaN")) for c in pheno.columns]
@@ -204,7 +204,7 @@ def write_phenotype(pheno: DataFrame, path: str, roles: dict[str, str] | None =
     _write(pheno, F.concat_ws("\t", *cells), head, path, [pheno.columns[0]], single)
 
 
-def write_plink_phenotype(pheno: DataFrame, path: str, single: bool = True) -> None:
+def write_plink_phenotype(pheno: DataFrame, path: str, single: bool = False) -> None:
     """Family and individual id (both the sample), then data and covariates; missing is NA."""
     values = [f.name for f in pheno.schema.fields if f.name != "taxon" and f.dataType.simpleString() != "string"]
     t = F.col("taxon").cast("string")
@@ -222,7 +222,7 @@ def report_number(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x), "NaN").when(x == 0, "0").when((x < 0.001) | (x >= 1e6), F.concat(mant, F.lit("E"), F.when(up, e + 1).otherwise(e).cast("string"))).otherwise(plain)
 
 
-def write_table(rows: DataFrame, path: str, order: list[str] | None = None, single: bool = True) -> None:
+def write_table(rows: DataFrame, path: str, order: list[str] | None = None, single: bool = False) -> None:
     """A tab-delimited report with a header."""
     cells = [report_number(F.col(f.name)) if f.dataType.simpleString() in ("double", "float") else F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in rows.schema.fields]
     _write(rows, F.concat_ws("\t", *cells), ["\t".join(rows.columns)], path, order or [rows.columns[0]], single)
@@ -237,14 +237,14 @@ def _write_items(items: DataFrame, name: str, order: list, path: str, single: bo
     _write(lead, line, [f'{{"{name}":['], path, [*[f"s{i}" for i in range(len(order))], "t"], single, ["]}"])
 
 
-def write_taxa_json(taxa: DataFrame, path: str, single: bool = True) -> None:
+def write_taxa_json(taxa: DataFrame, path: str, single: bool = False) -> None:
     """``name, anno`` as one ``TaxaList`` object, a sample on each line. Parts of several files make the object one after another."""
     quoted = F.regexp_extract(F.to_json(F.array("name")), r"^\[(.*)\]$", 1)
     rows = taxa.select("name", F.concat(F.lit('{"name":'), quoted, F.lit(',"anno":'), F.coalesce(F.to_json("anno"), F.lit("{}")), F.lit("}")).alias("t"))
     _write_items(rows, "TaxaList", [F.col("name")], path, single)
 
 
-def write_positions_json(sites: DataFrame, path: str, single: bool = True) -> None:
+def write_positions_json(sites: DataFrame, path: str, single: bool = False) -> None:
     """``chr, pos`` (and ``snp``, ``maf``, ``strand`` where they are columns) as one ``PositionList`` object, a site on each line."""
     named = {"snp": "SNPID", "maf": "globalMAF", "strand": "strand"}
     fields = [F.struct(F.col("chr").alias("name")).alias("chr"), F.col("pos").alias("position"), *[F.col(k).alias(v) for k, v in named.items() if k in sites.columns]]
@@ -258,7 +258,7 @@ def write_filter_json(spec: object, spark, path: str) -> None:
     spark.createDataFrame([(json.dumps(asdict(spec)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_taxa_table(taxa: DataFrame, path: str, keys: list[str], single: bool = True) -> None:
+def write_taxa_table(taxa: DataFrame, path: str, keys: list[str], single: bool = False) -> None:
     """A ``<TaxaList>`` table of ``name, anno`` with a column for each key."""
     cells = [F.array_join(F.coalesce(F.try_element_at("anno", F.lit(k)), F.array().cast("array<string>")), ";") for k in keys]
     _write(taxa, F.concat_ws("\t", "name", *cells), ["<TaxaList>", "\t".join(["Taxa", *keys])], path, ["name"], single)
