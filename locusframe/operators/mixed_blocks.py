@@ -367,16 +367,16 @@ def _components(s: SparkSession, d: str) -> DataFrame:
 
 
 def _residuals(s: SparkSession, d: str) -> DataFrame:
-    """How far the genetic values are from solving (K + delta I) z = y - mean with u = K z: all observed samples, in units of the trait's spread."""
+    """How far the genetic values u are from K (e - u) = delta u, with e the trait around the fitted mean, and the sum of e - u from 0."""
     m = _fitted(s, d, "mean", 24)
     delta, mean = m.found["delta"], float(m.found["beta"][0])
     y = _traits(s, d).where("trait = 'mean'").select("taxon", (F.col("y") - mean).alias("e"))
     u = keep_table(m.genetic_values())
-    z = y.join(u, "taxon").select("taxon", ((F.col("e") - F.col("blup")) / delta).alias("z"))
+    rest = y.join(u, "taxon").select("taxon", (F.col("e") - F.col("blup")).alias("z"))
     k = m.kin.select("i", "j", "value").unionByName(m.kin.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
-    kz = k.join(z.withColumnRenamed("taxon", "j"), "j").groupBy("i").agg(F.sum(F.col("value") * F.col("z")).alias("kz"))
-    gap = u.join(kz, u["taxon"] == kz["i"]).select("taxon", (F.abs(F.col("kz") - F.col("blup")) < 1e-6).alias("solved"))
-    balance = z.agg((F.abs(F.sum("z")) < 1e-6).alias("balanced"))  # 1' z = 0 at the fitted mean
+    kz = k.join(rest.withColumnRenamed("taxon", "j"), "j").groupBy("i").agg(F.sum(F.col("value") * F.col("z")).alias("kz"))
+    gap = u.join(kz, u["taxon"] == kz["i"]).select("taxon", (F.abs(F.col("kz") - delta * F.col("blup")) < 1e-6 * (1 + delta)).alias("solved"))
+    balance = rest.agg((F.abs(F.sum("z")) < 1e-6 * (1 + delta)).alias("balanced"))
     return gap.crossJoin(F.broadcast(balance)).select("taxon", "solved", "balanced")  # one row
 
 
