@@ -2,17 +2,18 @@
 
 Words are runs of letters, lower-cased. A word's input is its own embedding (words
 seen in enough training texts) beside the mean embedding of its hashed character
-n-grams, edges marked. Windows of ``length`` words, each starting ``stride`` words
-after the one before and the last one ending with the text, cover the whole text,
-so each word stands in several windows; around the highest one of them windows that start at
-every word are scored as well. A window goes through a gated recurrent
+n-grams, edges marked. A window of ``length`` words starts at every word up to the last
+that has as many; a shorter text is one window. Each window goes through a gated recurrent
 network in both directions; attention weights pool the states to one logit. The
 score of a text is the calibrated probability of its highest window.
 
+Windows that start at neighbouring words take their inputs from one array, a column a
+word, so a step of all of them is a slice of it and no input is gathered twice.
+
 Labels are of texts, not windows. Of a toxic training text the windows around the
 words and word beginnings with the highest log-odds are positive; windows of clean
-training texts are negative; after each round of fitting, those it ranks highest are added
-for the next. Rows to learn from are a sample of about ``toxic_rows`` and ``clean_rows`` labelled
+training texts, one every ``stride`` words, are negative; after each round of fitting, those of
+all windows that it ranks highest are added for the next. Rows to learn from are a sample of about ``toxic_rows`` and ``clean_rows`` labelled
 rows at most, of texts up to ``train_chars`` characters; scoring has no limits.
 
 Null, empty and letter-free texts have no window and get score 0; equal texts get equal
@@ -37,7 +38,7 @@ from locusframe.llm.common import tidy
 WORDS = re.compile(r"[^\W\d_]+")
 GRAMS = (3, 4, 5, 6)
 _CACHE_WORDS = 100_000
-_WINDOWS = 8192
+_WINDOWS = 2048
 
 
 def tokenize(text: str | None) -> list[str]:
@@ -66,7 +67,7 @@ def gram_ids(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_starts(n: int, length: int, stride: int) -> np.ndarray:
-    """Starts of the windows of a text of n > 0 words; the last one ends with the text."""
+    """Starts of every ``stride``-th window of a text of n > 0 words, to learn from; the last one ends with the text."""
     if n <= length:
         return np.zeros(1, np.int64)
     starts = np.arange(0, n - length + 1, stride)
@@ -87,6 +88,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+def _tanh_of_half(x: np.ndarray) -> np.ndarray:
+    """tanh(x / 2), in place of ``x``; an infinite exponential gives 1."""
+    np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
+
+
 class Net:
     """Parameters and passes. Shapes: words x (dw + dc) inputs, states of ``hidden`` for each direction."""
 
@@ -146,6 +156,50 @@ class Net:
         logit = pooled @ self.p["o"] + self.p["c"][0]
         return (logit, (s, e, w, pooled, tape)) if keep else logit
 
+    def every(self, gf: np.ndarray, gb: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+        """Logits of the windows of ``n`` words that start at each word of ``ids`` up to the last that has as many."""
+        out = np.empty(max(0, len(ids) - n + 1), np.float32)
+        with np.errstate(over="ignore"):
+            for a in range(0, len(out), _WINDOWS):
+                b = min(_WINDOWS, len(out) - a)
+                part = ids[a : a + b + n - 1]
+                out[a : a + b] = self._slid(np.ascontiguousarray(gf[part].T), np.ascontiguousarray(gb[part].T), b, n)
+        return out
+
+    def _slid(self, gf: np.ndarray, gb: np.ndarray, b: int, n: int) -> np.ndarray:
+        """Logits of ``b`` windows from gate inputs with a column a word; states have a row a unit and a column a window."""
+        h = self.hidden
+        ahead = np.empty((n, h, b), np.float32)
+        weight, worth = np.empty((n, b), np.float32), np.empty((n, b), np.float32)
+        att, out = 2 * self.p["A"].T, self.p["o"]
+        for k, g in (("f", gf), ("b", gb)):
+            # sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 1 - 2 / (1 + exp(2 x)): signs and doubling go into the weights
+            factor = np.repeat(np.float32([-1, 2]), (2 * h, h))[:, None]
+            g, u = g * factor, np.ascontiguousarray(self.p[f"U{k}"].T * factor)
+            state, hu, gates, cand = np.zeros((h, b), np.float32), np.empty((3 * h, b), np.float32), np.empty((2 * h, b), np.float32), np.empty((h, b), np.float32)
+            for t in range(n) if k == "f" else range(n - 1, -1, -1):
+                x = g[:, t : t + b]
+                np.matmul(u, state, out=hu)
+                np.add(x[: 2 * h], hu[: 2 * h], out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.multiply(gates[h:], hu[2 * h :], out=cand)
+                cand += x[2 * h :]
+                _tanh_of_half(cand)
+                new = ahead[t] if k == "f" else np.empty((h, b), np.float32)
+                np.subtract(state, cand, out=new)
+                new *= gates[:h]
+                new += cand
+                state = new
+                if k == "b":
+                    e = att[:, :h] @ ahead[t] + att[:, h:] @ state
+                    weight[t] = self.p["v"] @ _tanh_of_half(e)
+                    worth[t] = out[:h] @ ahead[t] + out[h:] @ state
+        weight -= weight.max(0)
+        np.exp(weight, out=weight)
+        return (weight * worth).sum(0) / weight.sum(0) + self.p["c"][0]
+
     def gradients(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Gradients of the mean logistic loss; those of the input rows x come apart."""
         gf, gb = self.project(x)
@@ -192,7 +246,6 @@ class ToxModel:
     vocab: dict[str, int]
     buckets: int
     length: int
-    stride: int
     scale: float = 1.0
     shift: float = 0.0
 
@@ -232,49 +285,26 @@ class ToxModel:
             self._proj = [gf, gb]
         return np.fromiter(map(rows.__getitem__, words), np.int32, len(words))
 
-    def _logits(self, ids: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Logits of the windows at ``starts`` of the words ``ids``, of ``size`` words each."""
-        logit, step = np.empty(len(starts), np.float32), np.arange(self.length)
-        for full in (True, False):
-            these = np.flatnonzero((size == self.length) == full)
-            for a in range(0, len(these), _WINDOWS):
-                part = these[a : a + _WINDOWS]
-                mask = None if full else step < size[part][:, None]
-                logit[part] = self.net.forward(*self._proj, ids[np.minimum(starts[part][:, None] + step, len(ids) - 1)], mask)
-        return logit
-
     def window_logits(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Logits of the windows at ``stride`` of each tokenised text."""
-        return self._scored(texts)[0]
-
-    def top_logits(self, texts: list[list[str]]) -> np.ndarray:
-        """The highest logit of each tokenised text, over its windows at ``stride`` and those at every word around the highest; -inf without a word."""
-        logits, ids, first = self._scored(texts)
-        top = np.array([z.max(initial=-np.inf) for z in logits])
-        near, owner = [], []
-        for i, (t, z) in enumerate(zip(texts, logits, strict=True)):
-            last = len(t) - self.length
-            if last > 0 and self.stride > 1:
-                best = int(window_starts(len(t), self.length, self.stride)[int(z.argmax())])
-                around = np.arange(max(0, best - self.stride + 1), min(last, best + self.stride - 1) + 1)
-                near.append(around + first[i])
-                owner.append(np.full(len(around), i))
-        if near:
-            near, owner = np.concatenate(near), np.concatenate(owner)
-            np.maximum.at(top, owner, self._logits(ids, near, np.full(len(near), self.length)))
-        return top
-
-    def _scored(self, texts: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Logits of each text's windows at ``stride``, the words' rows, and where each text begins among them."""
+        """Logits of all windows of each tokenised text, by the word they start at; none without a word."""
         ids = self._ids([w for t in texts for w in t])
-        sizes = np.array([len(t) for t in texts], np.int64)
+        n, sizes = self.length, np.array([len(t) for t in texts], np.int64)
         first = np.cumsum(sizes) - sizes
-        spans = [window_starts(n, self.length, self.stride) + a if n else np.zeros(0, np.int64) for n, a in zip(sizes, first, strict=True)]
-        counts = [len(s) for s in spans]
-        if not sum(counts):
-            return [np.zeros(0, np.float32) for _ in texts], ids, first
-        logit = self._logits(ids, np.concatenate(spans), np.repeat(np.minimum(sizes, self.length), counts))
-        return np.split(logit, np.cumsum(counts)[:-1]), ids, first
+        short = np.flatnonzero((sizes > 0) & (sizes < n))
+        logits = self.net.every(*self._proj, ids, n) if (sizes >= n).any() else np.zeros(0, np.float32)  # those that begin in one text and end in another are left out below
+        found = [logits[a : a + max(0, size - n + 1)] for a, size in zip(first, sizes, strict=True)]
+        step = np.arange(n)
+        for a in range(0, len(short), _WINDOWS):
+            part = short[a : a + _WINDOWS]
+            mask = step < sizes[part][:, None]
+            z = self.net.forward(*self._proj, ids[np.minimum(first[part][:, None] + step, len(ids) - 1)], mask)
+            for i, value in zip(part, z, strict=True):
+                found[i] = np.array([value], np.float32)
+        return found
+
+    def top_logits(self, texts: list[list[str]]) -> np.ndarray:
+        """The highest logit of each tokenised text over all of its windows; -inf without a word."""
+        return np.array([z.max(initial=-np.inf) for z in self.window_logits(texts)])
 
     def scores(self, texts: list[str | None], words_at_once: int = 200_000) -> np.ndarray:
         """Calibrated probability of each text's highest window; 0 without a word.
@@ -307,9 +337,13 @@ class ToxModel:
 
 def _pieces(text: str | None, most: int, shared: int) -> Iterator[list[str]]:
     """The words of a text, in pieces of up to ``most`` words that share ``shared`` words with the one before."""
+    if not text or len(text) <= most:  # a word has a letter at least
+        if words := tokenize(text):
+            yield words
+        return
     words: list[str] = []
     fresh = 0
-    for m in WORDS.finditer(text.lower()) if text else ():
+    for m in WORDS.finditer(text.lower()):
         words.append(m.group())
         fresh += 1
         if len(words) == most:
@@ -351,14 +385,14 @@ def train(
     """Fit on tokenised texts of either kind."""
     toxic, clean = [t for t in toxic if t], [t for t in clean if t]
     if len(toxic) < 2 or len(clean) < 2:
-        return ToxModel(None, {}, buckets, length, stride)
+        return ToxModel(None, {}, buckets, length)
     rng = np.random.default_rng(seed)
     aside = [g[::5] for g in (toxic, clean)]  # for calibration only
     toxic, clean = ([t for i, t in enumerate(g) if i % 5 or len(g) < 10] for g in (toxic, clean))
     docs = Counter(w for t in toxic + clean for w in set(t))
     vocab = {w: i + 1 for i, w in enumerate(sorted(w for w, n in docs.items() if n >= vocab_docs))}
     net = Net(len(vocab) + 1, buckets, 8, 8, hidden, 8, seed)
-    model = ToxModel(net, vocab, buckets, length, stride)
+    model = ToxModel(net, vocab, buckets, length)
     clues = _clues(toxic, clean, max(2, len(toxic) // 150))
 
     positive, negative = [], []
@@ -376,7 +410,7 @@ def train(
         k = int(rng.integers(1, length))
         negative.append(t[:k])
     if not positive:
-        return ToxModel(None, {}, buckets, length, stride)
+        return ToxModel(None, {}, buckets, length)
     moments: dict[str, list[np.ndarray]] = {}
     hard: list[list[str]] = []
     for again in range(rounds):
@@ -386,8 +420,8 @@ def train(
             for a in range(0, len(clean), 200):
                 part = clean[a : a + 200]
                 for t, z in zip(part, model.window_logits(part), strict=True):
-                    starts = window_starts(len(t), length, stride)
-                    hard += [t[starts[j] : starts[j] + length] for j in np.argsort(-z)[:6] if z[j] > -3]
+                    best = [int(a + z[a : a + stride].argmax()) for a in range(0, len(z), stride)]  # of neighbours the highest
+                    hard += [t[j : j + length] for j in sorted(best, key=lambda j: -z[j])[:6] if z[j] > -3]
     model.forget()
     if len(aside[0]) < 60:  # too few to calibrate by alone
         aside = [aside[0] + toxic, aside[1] + clean]

@@ -20,7 +20,7 @@ def plain_quality(spark, docs, rows):
 
 
 def plain_toxicity(spark, docs, rows):
-    """Each text by itself: the highest of its windows at the stride and of those at every word around the best of them."""
+    """Each text by itself: the highest of its windows, one at every word."""
     model = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
 
     def logit(words):
@@ -30,11 +30,7 @@ def plain_toxicity(spark, docs, rows):
         words = [m.group() for m in toxicity.WORDS.finditer(text.lower())] if text else []
         if not words:
             return 0.0
-        last = max(0, len(words) - model.length)
-        starts = sorted({*range(0, last, model.stride), last})
-        at = {a: logit(words[a : a + model.length]) for a in starts}
-        best = max(starts, key=lambda a: (at[a], -a))
-        top = max([at[best]] + [logit(words[a : a + model.length]) for a in range(max(0, best - model.stride + 1), min(last, best + model.stride - 1) + 1)])
+        top = max(logit(words[a : a + model.length]) for a in range(max(1, len(words) - model.length + 1)))
         return 1 / (1 + np.exp(-(model.scale * top + model.shift)))
 
     return {i for i, t in rows if score(t) < 0.5}
