@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    """Operator 3, then min-hashes for what its fingerprints leave: of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
     return near_dup.dedupe(docs, k=5, similarity=0.8)
 
 

@@ -1,16 +1,20 @@
 """Near-duplicate groups by Jaccard similarity of word shingles.
 
-Candidates come from bands of min-hashes over the shingle hashes. They are pruned by a
-bound that loses nothing: a text's sketch counts its different shingles by CELLS cells of
-their hashes, and two texts have at most the sum of the cells' smaller counts in common.
-This holds for texts of any number of shingles, with repeats or without. Every pair that
-the bound leaves is decided by the exact Jaccard similarity of the shingle sets (of 32-bit
-hashes). A 64-bit SimHash can't prune here: at similarity 0.8 its distance has no bound,
-and repeated shingles move it further.
-
-Equal texts are one class from the start. Every class is compared with two centres of
-each of its band keys, the one of smallest id and the one whose own keys are shared most
-(in a family of copies, the text they derive from). Then all classes of a key that
+Equal texts are one class from the start. First come the pairs of classes whose SimHash
+fingerprints are within two bits, by operator 3's pigeonring join; a fingerprint is of a
+text's different shingles, since repeats would move it. At similarity 0.8 the distance of
+two fingerprints has no bound, so pairs further apart are found by bands of min-hashes
+over the shingle hashes, in those band keys whose classes are in different components yet.
+
+Candidates of either kind are pruned by a bound that loses nothing: a text's sketch counts
+its different shingles by CELLS cells of their hashes, and two texts have at most the sum
+of the cells' smaller counts in common. This holds for texts of any number of shingles,
+with repeats or without. Every pair that the bound leaves is decided by the exact Jaccard
+similarity of the shingle sets (of 32-bit hashes).
+
+In a band key, every class is first compared with two centres, the one of smallest id and
+the one whose own keys are shared most (in a family of copies, the text they derive from).
+Then all classes of a key that
 these links leave in different components are compared with each other: in a task for
 each key of up to ``wide`` classes, and in blocks of a wider one. No pair that shares a
 key is left undecided; a wide key of many components costs the square of its size.
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import bloom_filter, connected_components, cut
-from locusframe.llm.simhash import shingle_hashes
+from locusframe.llm.simhash import fingerprint_of, near_pairs, shingle_hashes
 
 BANDS, ROWS = 24, 5
 CELLS = 256
@@ -66,7 +70,7 @@ def _name(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, text_hash, same_a, same_b`` (128-bit name of the word sequence), ``size`` (different shingles), ``sketch`` and ``bands``.
+    """``doc_id, text_hash, same_a, same_b`` (128-bit name of the word sequence), ``size`` (different shingles), ``sketch``, ``bands`` and ``fp`` (their SimHash).
 
     ``text_hash`` tells the different texts of an id apart.
     """
@@ -77,13 +81,15 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for doc, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"], strict=True):
                 hashes = shingle_hashes(text if isinstance(text, str) else None, k)
                 name = _name(hashes)
-                m = min_hashes(np.unique(hashes))
+                different = np.unique(hashes)
+                m = min_hashes(different)
                 bands = [xxhash.xxh64_intdigest(m[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, len(m), ROWS)]
                 s = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
-                rows.append((doc, text_hash, name[0], name[1], len(s), sketch_of(s).tobytes(), bands))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "same_a", "same_b", "size", "sketch", "bands"])
+                fp = int(np.uint64(fingerprint_of(different)).view(np.int64))
+                rows.append((doc, text_hash, name[0], name[1], len(s), sketch_of(s).tobytes(), bands, fp))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "same_a", "same_b", "size", "sketch", "bands", "fp"])
 
-    schema = "doc_id long, text_hash long, same_a long, same_b long, size long, sketch binary, bands array<long>"
+    schema = "doc_id long, text_hash long, same_a long, same_b long, size long, sketch binary, bands array<long>, fp long"
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(compute, schema)
 
 
@@ -93,24 +99,27 @@ def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, wide: int = 32,
     A class of equal texts is a node with a number of its own: the different texts of an id that repeats are in different classes.
     """
     signed = cut(signatures(docs, k))
-    classes = signed.groupBy("same_a", "same_b").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("size", "sketch", "bands"), "doc_id").alias("s"))
+    classes = signed.groupBy("same_a", "same_b").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("size", "sketch", "bands", "fp"), "doc_id").alias("s"))
     classes = cut(classes.select("same_a", "same_b", "first", F.monotonically_increasing_id().alias("node"), "s.*"))
 
+    # first the classes with fingerprints within two bits
+    links = _linked(docs, classes, by_fingerprint(classes), k, similarity)
+
     keys = classes.select("node", "first", F.posexplode("bands").alias("band", "key"))
     sizes = cut(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
     may_repeat = _membership(sizes.select(F.xxhash64("band", "key").alias("h")))
     shared = cut(keys.where(may_repeat(F.xxhash64("band", "key"))).join(sizes, ["band", "key"]))  # most keys are of one class and stay where they are
     weight = cut(shared.groupBy("node").agg(F.sum("n").alias("weight")))
-    # first every class with two centres of each of its keys
-    centres = cut(shared.join(weight, "node").groupBy("band", "key").agg(F.min(F.struct("first", "node"))["node"].alias("c1"), F.max_by("node", F.struct("weight", -F.col("first"), -F.col("node"))).alias("c2")))
-    star = shared.join(centres, ["band", "key"]).select("node", F.explode(F.array("c1", "c2")).alias("c"))
-    star = star.where("node <> c").select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v"))
-    links = _linked(docs, classes, star.distinct(), k, similarity)
-    # then all classes of a key that are not in one component yet
-    part = cut(connected_components(links).select("node", F.col("component").alias("part")))
-    left = cut(shared.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
-    split = cut(left.groupBy("band", "key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("band", "key"))
-    left = cut(left.join(split, ["band", "key"]))
+    # then every class with two centres of each of its keys that are not in one component yet
+    left = _apart(shared, links)
+    first, last = F.min(F.struct("first", "node", "part")), F.max_by(F.struct("node", "part"), F.struct("weight", -F.col("first"), -F.col("node")))
+    centres = left.join(weight, "node").groupBy("band", "key").agg(first.alias("c1"), last.alias("c2"))
+    centres = cut(centres.select("band", "key", F.array(F.struct("c1.node", "c1.part"), "c2").alias("c")))
+    star = left.join(centres, ["band", "key"]).select("node", "part", F.explode("c").alias("c")).where("part <> c.part")
+    star = star.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v"))
+    links = links.unionByName(_linked(docs, classes, star.distinct(), k, similarity))
+    # then all classes of such a key
+    left = _apart(left.drop("part"), links)
     few = left.where(F.col("n") <= wide).groupBy("band", "key").agg(F.sort_array(F.collect_list(F.struct("node", "part"))).alias("m"))
     few = few.select(F.posexplode("m").alias("p", "x"), "m").select("x", F.explode(F.slice("m", F.col("p") + 2, F.greatest(F.size("m") - F.col("p") - 1, F.lit(0)))).alias("y"))
     few = few.where("x.part <> y.part").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
@@ -124,6 +133,23 @@ def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, wide: int = 32,
     return signed.select("doc_id", "text_hash", "same_a", "same_b").join(label, ["same_a", "same_b"]).select("doc_id", "text_hash", "group_id")
 
 
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """Pairs ``u < v`` of ``classes`` (``node, first, fp``) by their fingerprints: those of near ones, each by its class of smallest id, and those of equal ones with that class."""
+    prints = cut(classes.groupBy("fp").agg(F.min(F.struct("first", "node"))["node"].alias("centre"), F.count("*").alias("n")))
+    near = near_pairs(prints.select("fp")).join(prints.select(F.col("fp").alias("u"), F.col("centre").alias("a")), "u")
+    near = near.join(prints.select(F.col("fp").alias("v"), F.col("centre").alias("b")), "v").select("a", "b")
+    same = classes.join(prints.where("n > 1"), "fp").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    return near.unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _apart(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of ``shared`` (``band, key, node`` and others) of the keys that ``links`` leave in different components, with their component ``part``."""
+    part = cut(connected_components(links).select("node", F.col("component").alias("part")))
+    rows = cut(shared.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    split = cut(rows.groupBy("band", "key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("band", "key"))
+    return cut(rows.join(split, ["band", "key"]))
+
+
 def _sketches(rows: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, CELLS)
 

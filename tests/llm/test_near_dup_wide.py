@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from locusframe.llm import near_dup
@@ -84,3 +85,44 @@ def test_texts_of_a_repeated_id_are_apart(spark):
     assert got == Counter([rows[0], rows[1], rows[4], rows[6], rows[8], rows[9]])
     found = {(r["doc_id"], r["group_id"]) for r in near_dup.groups(df).collect()}
     assert found == {(5, 5), (7, 5), (9, 5), (3, 3), (11, 3), (11, 11), (12, 11), (6, 5)}
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Operator 3's fingerprints link by themselves what is within two bits of each other and similar; the rest is left to the band keys."""
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(4000)]
+    rows, made = [], near_dup.signatures
+    for i in range(40):
+        t = list(rng.choice(words, 1500))
+        rows += [(i, " ".join(t)), (100 + i, " ".join([*t[:-1], "end"])), (200 + i, " ".join(t + t[:50]))]
+    t = list(rng.choice(words, 300))
+    rows += [(300, " ".join(t)), (301, " ".join([*t[:30], "a", *t[31:200], "b", *t[201:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def bits(text):
+        w = text.split()
+        hashes = np.array(sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 5]), 42) for i in range(len(w) - 4)}), np.uint64)
+        ones = (hashes[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).sum(0)
+        return sum(1 << b for b in range(64) if 2 * ones[b] > len(hashes))
+
+    prints, texts = {i: bits(t) for i, t in rows}, dict(rows)
+    assert {r["doc_id"]: r["fp"] & (2**64 - 1) for r in made(df, 5).collect()} == prints
+    near = {(i, j) for i in prints for j in prints if i < j and bin(prints[i] ^ prints[j]).count("1") <= 2}
+    assert len(near) >= 60 and (300, 301) not in near
+    classes = made(df, 5).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("first"), "fp")
+    got = {(r["u"], r["v"]) for r in near_dup.by_fingerprint(classes).collect()}
+    assert got <= near and components(got, texts) == components(near, texts)
+
+    assert {r["doc_id"]: r["group_id"] for r in near_dup.groups(df).collect()} == exact(rows)
+    lone = F.transform("bands", lambda b: F.xxhash64(b, F.col("doc_id")))  # no two texts share a band key
+    monkeypatch.setattr(near_dup, "signatures", lambda docs, k: made(docs, k).withColumn("bands", lone))
+    similar = {(i, j) for i, j in near if len(shingles(texts[i]) & shingles(texts[j])) >= 0.8 * len(shingles(texts[i]) | shingles(texts[j]))}
+    assert {r["doc_id"]: r["group_id"] for r in near_dup.groups(df).collect()} == components(similar, texts)
+
+
+def components(pairs, ids):
+    root = {i: i for i in ids}
+    for _ in ids:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
