@@ -39,6 +39,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 GRAMS = (3, 4, 5, 6)
 _CACHE_WORDS = 100_000
 _WINDOWS = 2048
+_WORDS = 4096
 
 
 def tokenize(text: str | None) -> list[str]:
@@ -47,10 +48,13 @@ def tokenize(text: str | None) -> list[str]:
 
 def gram_ids(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids of the character n-grams of ``words`` and, for each word, how many it has (one at least)."""
-    coded = [np.frombuffer(f"\x02{w}\x03".encode("utf-32-le", "surrogatepass"), np.uint32) for w in words]
-    flat = np.concatenate(coded).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), [len(c) for c in coded])
-    ids, owners = [], []
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    flat = np.frombuffer(f"\x02{'\x03\x02'.join(words)}\x03".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), size)
+    count = sum(np.maximum(size - i + 1, 0) for i in GRAMS)
+    # where a word's n-grams go, less where its characters are: shorter ones first, each by place
+    at = np.cumsum(count) - count - (np.cumsum(size) - size)
+    out = np.empty(count.sum(), np.int32)
     h = flat * np.uint64(0x9E3779B97F4A7C15)
     for i in range(1, max(GRAMS)):
         if len(flat) <= i:
@@ -58,12 +62,11 @@ def gram_ids(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
         h = (h[: len(flat) - i] ^ flat[i:]) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         if i + 1 in GRAMS:
-            own = owner[: len(flat) - i] == owner[i:]
-            ids.append((h[own] >> np.uint64(17)) % np.uint64(buckets))
-            owners.append(owner[: len(flat) - i][own])
-    ids, owners = np.concatenate(ids), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return ids[order].astype(np.int32), np.bincount(owners, minlength=len(words))
+            own = np.flatnonzero(owner[: len(flat) - i] == owner[i:])
+            ids = h[own] >> np.uint64(17)
+            out[own + at[owner[own]]] = ids & np.uint64(buckets - 1) if buckets & (buckets - 1) == 0 else ids % np.uint64(buckets)
+            at += np.maximum(size - i, 0)
+    return out, count
 
 
 def window_starts(n: int, length: int, stride: int) -> np.ndarray:
@@ -88,15 +91,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _tanh_of_half(x: np.ndarray) -> np.ndarray:
-    """tanh(x / 2), in place of ``x``; an infinite exponential gives 1."""
-    np.exp(x, out=x)
-    x += 1
-    np.divide(-2, x, out=x)
-    x += 1
-    return x
-
-
 class Net:
     """Parameters and passes. Shapes: words x (dw + dc) inputs, states of ``hidden`` for each direction."""
 
@@ -159,43 +153,48 @@ class Net:
     def every(self, gf: np.ndarray, gb: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
         """Logits of the windows of ``n`` words that start at each word of ``ids`` up to the last that has as many."""
         out = np.empty(max(0, len(ids) - n + 1), np.float32)
-        with np.errstate(over="ignore"):
-            for a in range(0, len(out), _WINDOWS):
-                b = min(_WINDOWS, len(out) - a)
-                part = ids[a : a + b + n - 1]
-                out[a : a + b] = self._slid(np.ascontiguousarray(gf[part].T), np.ascontiguousarray(gb[part].T), b, n)
+        for a in range(0, len(out), _WINDOWS):
+            b = min(_WINDOWS, len(out) - a)
+            part = ids[a : a + b + n - 1]
+            out[a : a + b] = self._slid(gf[part].T, gb[part].T, b, n)
         return out
 
     def _slid(self, gf: np.ndarray, gb: np.ndarray, b: int, n: int) -> np.ndarray:
         """Logits of ``b`` windows from gate inputs with a column a word; states have a row a unit and a column a window."""
         h = self.hidden
-        ahead = np.empty((n, h, b), np.float32)
-        weight, worth = np.empty((n, b), np.float32), np.empty((n, b), np.float32)
-        att, out = 2 * self.p["A"].T, self.p["o"]
-        for k, g in (("f", gf), ("b", gb)):
-            # sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 1 - 2 / (1 + exp(2 x)): signs and doubling go into the weights
-            factor = np.repeat(np.float32([-1, 2]), (2 * h, h))[:, None]
-            g, u = g * factor, np.ascontiguousarray(self.p[f"U{k}"].T * factor)
-            state, hu, gates, cand = np.zeros((h, b), np.float32), np.empty((3 * h, b), np.float32), np.empty((2 * h, b), np.float32), np.empty((h, b), np.float32)
+        states = np.empty((n, 2 * h, b), np.float32)
+        hu, gates, cand = np.empty((3 * h, b), np.float32), np.empty((2 * h, b), np.float32), np.empty((h, b), np.float32)
+        for k, g, lo in (("f", gf, 0), ("b", gb, h)):
+            # sigmoid(x) = (1 + tanh(x / 2)) / 2: the inner half goes into the weights, as does the outer one of the reset gate
+            g = np.multiply(g, np.repeat(np.float32([0.5, 1]), (2 * h, h))[:, None], order="C")
+            u, state = np.ascontiguousarray(self.p[f"U{k}"].T * np.float32(0.5)), None
             for t in range(n) if k == "f" else range(n - 1, -1, -1):
-                x = g[:, t : t + b]
-                np.matmul(u, state, out=hu)
-                np.add(x[: 2 * h], hu[: 2 * h], out=gates)
-                np.exp(gates, out=gates)
-                gates += 1
-                np.reciprocal(gates, out=gates)
-                np.multiply(gates[h:], hu[2 * h :], out=cand)
-                cand += x[2 * h :]
-                _tanh_of_half(cand)
-                new = ahead[t] if k == "f" else np.empty((h, b), np.float32)
-                np.subtract(state, cand, out=new)
-                new *= gates[:h]
-                new += cand
+                x, new = g[:, t : t + b], states[t, lo : lo + h]
+                if state is None:  # a window starts from zero
+                    np.tanh(x[:h], out=gates[:h])
+                    np.tanh(x[2 * h :], out=cand)
+                    np.subtract(1, gates[:h], out=new)
+                    new *= np.float32(0.5)
+                    new *= cand
+                else:
+                    np.matmul(u, state, out=hu)
+                    np.add(x[: 2 * h], hu[: 2 * h], out=gates)
+                    np.tanh(gates, out=gates)
+                    gates += 1
+                    np.multiply(gates[h:], hu[2 * h :], out=cand)
+                    cand += x[2 * h :]
+                    np.tanh(cand, out=cand)
+                    np.subtract(state, cand, out=new)
+                    new *= gates[:h]
+                    new *= np.float32(0.5)
+                    new += cand
                 state = new
-                if k == "b":
-                    e = att[:, :h] @ ahead[t] + att[:, h:] @ state
-                    weight[t] = self.p["v"] @ _tanh_of_half(e)
-                    worth[t] = out[:h] @ ahead[t] + out[h:] @ state
+        both = np.vstack([self.p["A"].T, self.p["o"]])
+        weight, worth, e = np.empty((n, b), np.float32), np.empty((n, b), np.float32), np.empty((len(both), b), np.float32)
+        for t in range(n):
+            np.matmul(both, states[t], out=e)
+            worth[t] = e[-1]
+            np.matmul(self.p["v"], np.tanh(e[:-1], out=e[:-1]), out=weight[t])
         weight -= weight.max(0)
         np.exp(weight, out=weight)
         return (weight * worth).sum(0) / weight.sum(0) + self.p["c"][0]
@@ -265,9 +264,12 @@ class ToxModel:
         self.__post_init__()
 
     def _project(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        grams, count = gram_ids(words, self.buckets)
-        own = np.fromiter((self.vocab.get(w, 0) for w in words), np.int32, len(words))
-        return self.net.project(self.net.inputs(own, grams, count))
+        parts = []
+        for a in range(0, len(words), _WORDS):  # an n-gram takes a row of its own for a moment
+            some = words[a : a + _WORDS]
+            own = np.fromiter((self.vocab.get(w, 0) for w in some), np.int32, len(some))
+            parts.append(self.net.project(self.net.inputs(own, *gram_ids(some, self.buckets))))
+        return tuple(np.vstack(g) for g in zip(*parts, strict=True))
 
     def _ids(self, words: list[str]) -> np.ndarray:
         """Rows of the projection cache for ``words``; new ones are projected together."""
