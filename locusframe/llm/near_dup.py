@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import bloom_filter, connected_components, cut
+from locusframe.llm.common import bloom_filter, connected_components, cut, tidy
 from locusframe.llm.simhash import fingerprint_of, near_pairs, shingle_hashes
 
 BANDS, ROWS = 24, 5
@@ -75,6 +75,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     ``text_hash`` tells the different texts of an id apart.
     """
 
+    @tidy
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -184,6 +185,7 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, simil
     one = classes.select(F.col("node").alias("u"), F.col("size").alias("n"), F.col("sketch").alias("x"))
     two = classes.select(F.col("node").alias("v"), F.col("size").alias("m"), F.col("sketch").alias("y"))
 
+    @tidy
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -210,6 +212,7 @@ def _exactly(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, simi
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     nodes = cut(nodes.join(classes.select("node", "same_a", "same_b", "first"), "node"))
 
+    @tidy
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
