@@ -220,17 +220,30 @@ def _annotations(c: Column) -> Column:
     return F.transform_values(c, lambda k, v: F.coalesce(F.from_json(v, "array<string>"), F.array(v)))
 
 
+def _items(spark: SparkSession, path: str, name: str, item: str) -> DataFrame:
+    """The items ``t`` of ``{name: [...]}``. Where every line has whole items, as the writers put them, lines are read, so the object may
+    be spread over part files and splits; other files hold an object each."""
+    line, first = F.trim(F.col("value")), f'{{"{name}":['
+    text = lines(spark, path).where(F.length(line) > 0)
+    array = F.concat(F.lit("["), F.regexp_replace(line, "^,|,$", ""), F.lit("]"))
+    parsed = F.try_parse_json(array)
+    item_line = line.rlike(r"^,?\{.*\},?$") & parsed.isNotNull() & F.try_variant_get(parsed, f"$[0].{name}", "variant").isNull()
+    body = text.where(~line.isin(first, "]}"))
+    if not text.where(line == first).isEmpty() and body.where(~item_line).isEmpty():
+        return body.select(F.explode(F.from_json(array, f"array<struct<{item}>>")).alias("t"))
+    return spark.read.schema(f"`{name}` array<struct<{item}>>").json(path, multiLine=True).select(F.explode(name).alias("t"))
+
+
 def read_taxa_json(spark: SparkSession, path: str) -> DataFrame:
     """``name, anno`` of a ``TaxaList``."""
-    t = spark.read.schema("TaxaList array<struct<name:string,anno:map<string,string>>>").json(path, multiLine=True).select(F.explode("TaxaList").alias("t"))
+    t = _items(spark, path, "TaxaList", "name:string,anno:map<string,string>")
     return t.select("t.name", _annotations(F.col("t.anno")).alias("anno"))
 
 
 def read_positions_json(spark: SparkSession, path: str) -> DataFrame:
     """``chr, pos, sub_pos, snp, maf, coverage, strand, anno`` of a ``PositionList``."""
     item = "SNPID:string,chr:struct<name:string,length:bigint>,position:bigint,subPos:int,globalMAF:double,globalSiteCoverage:double,strand:string,anno:map<string,string>"
-    p = spark.read.schema(f"PositionList array<struct<{item}>>").json(path, multiLine=True)
-    p = p.select(F.explode("PositionList").alias("p")).select("p.*")
+    p = _items(spark, path, "PositionList", item).select("t.*")
     return p.select(normalise_chromosome(F.col("chr.name")).alias("chr"), F.col("position").alias("pos"), F.coalesce("subPos", F.lit(0)).alias("sub_pos"), F.coalesce("SNPID", F.concat(F.lit("S"), F.col("chr.name"), F.lit("_"), F.col("position"))).alias("snp"), F.col("globalMAF").alias("maf"), F.col("globalSiteCoverage").alias("coverage"), "strand", _annotations(F.col("anno")).alias("anno"))
 
 

@@ -162,3 +162,39 @@ def test_missing_numbers_by_format(spark, tmp_path):
     assert [(r[0], r[1]) for r in R.read_phenotype(spark, str(tmp_path / "p")).orderBy("Taxa").collect()] == [("A", -99.0), ("B", None)]
     (tmp_path / "t").write_text("<Trait>\ty\nA\t-99\nB\t-1\n")
     assert [(r[0], r[1]) for r in R.read_traits(spark, str(tmp_path / "t")).orderBy("taxon").collect()] == [("A", None), ("B", -1.0)]
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Writers leave a part file for each shuffle partition, as they do with larger tables."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def parts(path):
+    return [p for p in path.iterdir() if p.name.startswith("part-")]
+
+
+def test_json_lists_of_several_parts(spark, tmp_path, many_parts):
+    taxa = spark.range(200).select(F.concat(F.lit('{T",'), "id").alias("name"), F.create_map(F.lit("k"), F.array(F.concat(F.lit("]},"), "id"))).alias("anno"))
+    taxa = taxa.unionByName(taxa.where("name LIKE '%7'"))  # repeated items share a line
+    W.write_taxa_json(taxa, str(tmp_path / "j"))
+    assert len(parts(tmp_path / "j")) > 1
+    back = R.read_taxa_json(spark, str(tmp_path / "j"))
+    assert rows(back, "name", "anno") == rows(taxa, "name", "anno") and back.count() == 220
+    sites = spark.range(200).select((F.col("id") % 3).cast("string").alias("chr"), F.col("id").alias("pos"))
+    W.write_positions_json(sites, str(tmp_path / "p"))
+    assert len(parts(tmp_path / "p")) > 1 and rows(R.read_positions_json(spark, str(tmp_path / "p")), "chr", "pos") == rows(sites, "chr", "pos")
+
+
+def test_json_lists_in_other_forms(spark, tmp_path):
+    """Objects in one line or over many, one in each file of a folder."""
+    items = [{"name": "a", "anno": {"k": ["v", "w"]}}, {"name": "b", "anno": {"k": "x"}}]
+    want = [("a", {"k": ["v", "w"]}), ("b", {"k": ["x"]})]
+    forms = [json.dumps({"TaxaList": items}), json.dumps({"TaxaList": items}, indent=1), json.dumps({"made": 1, "TaxaList": items}), '{"TaxaList":[\n{"name":"a","anno":{"k":["v",\n"w"]}},\n{"name":"b","anno":{"k":"x"}}\n]}', '{"TaxaList":[\n{"name":"a","anno":{"k":["v","w"]}},\n{"name":"b","anno":{"k":"x"}}\n]}']
+    for i, form in enumerate(forms):
+        (tmp_path / f"{i}.json").write_text(form)
+        assert rows(R.read_taxa_json(spark, str(tmp_path / f"{i}.json")), "name", "anno") == want
+    assert len(rows(R.read_taxa_json(spark, str(tmp_path)), "name")) == 2 * len(forms)
