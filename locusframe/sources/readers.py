@@ -7,6 +7,7 @@ Spark's codec; they don't split.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -28,6 +29,18 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
 
 
+def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first ``n`` lines with text, by the order of the files' names: a scan of several files begins with the largest one."""
+    found: list[str] = []
+    for file in sorted(spark.read.text(path).inputFiles()):
+        this = F.col("_metadata.file_path").endswith(re.sub("^[a-zA-Z0-9+.-]+:/+", "", file))  # schemes are written with one slash or three
+        text = spark.read.text(path).where(this & (F.length(F.trim("value")) > 0))
+        found += [r["value"] for r in text.select(F.regexp_replace("value", "\r$", "").alias("value")).head(n - len(found))]
+        if len(found) == n:
+            break
+    return found
+
+
 def crawl(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Paths and sizes of the files below a folder whose names match."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
@@ -150,8 +163,8 @@ def _typed(rows: DataFrame, names: list[str], roles: list[str], missing: tuple[s
 def read_phenotype(spark: SparkSession, path: str) -> DataFrame:
     """A ``<Phenotype>`` table: a row of roles, a row of names, then observations."""
     text = lines(spark, path).where(F.length(F.trim("value")) > 0)
-    head = [r["value"].split() for r in text.head(3)]
-    if not head or head[0] != ["<Phenotype>"]:
+    head = [line.split() for line in first_lines(spark, path, 3)]
+    if len(head) < 3 or head[0] != ["<Phenotype>"]:
         raise ValueError("not a <Phenotype> file")
     roles, names = [_role(k) for k in head[1]], head[2]
     cells = F.split(F.trim("value"), r"\s+")

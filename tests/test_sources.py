@@ -189,6 +189,15 @@ def test_json_lists_of_several_parts(spark, tmp_path, many_parts):
     assert len(parts(tmp_path / "p")) > 1 and rows(R.read_positions_json(spark, str(tmp_path / "p")), "chr", "pos") == rows(sites, "chr", "pos")
 
 
+def test_phenotype_whose_first_part_is_not_the_largest(spark, tmp_path, many_parts):
+    """A scan begins with the largest part; with few rows the header lines are in several parts."""
+    for n, folder in ((400, "many rows"), (2, "few")):
+        pheno = spark.range(n).select(F.format_string("T%04d", "id").alias("taxon"), F.repeat(F.lit("x"), (F.col("id") + 1).cast("int")).alias("factor"), (F.col("id") / 4).alias("y"))
+        W.write_phenotype(pheno, str(tmp_path / folder))
+        back = R.read_phenotype(spark, str(tmp_path / folder))
+        assert len(parts(tmp_path / folder)) > 1 and rows(back, *pheno.columns) == rows(pheno, *pheno.columns)
+
+
 def test_json_lists_in_other_forms(spark, tmp_path):
     """Objects in one line or over many, one in each file of a folder."""
     items = [{"name": "a", "anno": {"k": ["v", "w"]}}, {"name": "b", "anno": {"k": "x"}}]
