@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,35 @@ def test_simulation_stops_early_and_agrees(spark):
     far = exact.sequential_test(spark.createDataFrame([(i, i) for i in range(2)] * 30, "r int, c int"), "r", "c", most=400).first()
     assert far["p"] == 0 and far["draws"] == 400
     assert exact.sequential_test(rows.where("false"), "r", "c").first()["p"] is None
+
+
+def test_last_columns_against_all_ways():
+    for left in ([4], [3, 5], [2, 4, 6], [1, 3, 3, 5], [0, 0, 2, 7]):
+        x = np.array(left)
+        for total in range(sum(left) + 1):
+            plain = [w for w in itertools.product(*(range(n + 1) for n in left)) if sum(w) == total]
+            low, high, _ = exact._first_cell(x, total)
+            for most in (1, 5, 1000):
+                found = list(exact.blocks(x, total, low, high, most))
+                assert all(len(b) <= most for b in found) and sorted(tuple(int(n) for n in w) for b in found for w in b) == plain
+            for a, b in ((low, high), (low + 1, high), (low, low)):
+                cost = [sum(math.lgamma(k + 1) + math.lgamma(n - k + 1) for k, n in zip(w, left, strict=True)) for w in plain if a <= w[0] <= b]
+                for limits in ([1.23], [-2000.0, 0.5, 1.11, 2.22, 4.44, 8.88, 2000.0]):
+                    count, sums = exact.last_columns(x, total, a, b, np.array(limits))
+                    assert count == len(cost) and sums == pytest.approx([sum(math.exp(t - c) for c in cost if c >= t) for t in limits])
+
+
+def test_exact_test_writes_no_row_for_a_way_of_the_last_columns(spark, monkeypatch):
+    """What is written are nodes before the last two columns."""
+    keep, written = exact.keep_table, []
+
+    def counted(df):
+        kept = keep(df)
+        written.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(exact, "keep_table", counted)
+    table = [[6, 5, 4], [5, 7, 4], [4, 5, 6]]
+    df = spark.createDataFrame([(i, j, n) for i, r in enumerate(table) for j, n in enumerate(r)], "r int, c int, n long")
+    got, want = exact.exact_test(df, "r", "c", counted="n").first(), plain_exact(table)
+    assert (got["tables"], got["point"], got["p"]) == (want[0], pytest.approx(want[1]), pytest.approx(want[2])) and got["tables"] > 5000 > 20 * sum(written)
