@@ -184,3 +184,12 @@ def test_exact_test_writes_no_row_for_a_way_of_the_last_columns(spark, monkeypat
     df = spark.createDataFrame([(i, j, n) for i, r in enumerate(table) for j, n in enumerate(r)], "r int, c int, n long")
     got, want = exact.exact_test(df, "r", "c", counted="n").first(), plain_exact(table)
     assert (got["tables"], got["point"], got["p"]) == (want[0], pytest.approx(want[1]), pytest.approx(want[2])) and got["tables"] > 5000 > 20 * sum(written)
+
+
+def test_ways_of_one_node_are_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(exact, "PIECE", 3)
+    tables = [[[30, 11], [9, 24]], [[2, 0, 1], [1, 3, 0], [0, 2, 2]], [[7, 3]], [[3], [4]], [[1, 2], [0, 3], [4, 0], [1, 1]], [[1, 2, 0, 1, 1], [0, 1, 2, 1, 0], [2, 0, 1, 1, 1]]]
+    df = spark.createDataFrame([(g, i, j, n) for g, t in enumerate(tables) for i, r in enumerate(t) for j, n in enumerate(r)], "g int, r int, c int, n long")
+    got = {r["g"]: r for r in exact.exact_test(df, "r", "c", ["g"], counted="n").collect()}
+    for g, t in enumerate(tables):
+        assert (got[g]["tables"], got[g]["point"], got[g]["p"]) == tuple(pytest.approx(x) for x in plain_exact(t))
