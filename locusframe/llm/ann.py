@@ -11,10 +11,14 @@ nearest one's. The ratio is fitted too: the smallest at which queries of the sam
 (each counted in its nearest list only) goes on through the next nearest of all lists
 until they do, so it gets k rows wherever there are k candidates.
 
+The sample's own k + 1 nearest of a query are candidates too, and none that is farther
+than all of these can be in its result, so only what reaches them leaves a scan.
+
 Equal vectors are stored once, with their k + 1 smallest ids: more can't be in a result.
-Long lists are cut into chunks by a hash, so no task holds more than a chunk; the
-queries that probe it stream past. Final scores are double-precision inner products of
-the original vectors, ties go to smaller ids.
+Lists are put together into shards of bounded size, long ones cut over several by a hash,
+so no task holds more than a shard; a query goes to a shard once, with its lists there.
+Shards are scanned in single precision with a margin for its rounding; final scores are
+double-precision inner products of the original vectors, ties go to smaller ids.
 
 Null and zero vectors, those with null or non-finite components and those of another
 length than the most common one take no part. Fewer candidates than k give fewer rows.
@@ -33,6 +37,10 @@ from pyspark.sql import functions as F
 from locusframe.llm.common import cut
 
 
+#: Numbers in the vectors of a shard, unless ``chunk`` vectors have more.
+SHARD = 1 << 22
+
+
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``id`` and ``v`` (doubles) of the vectors that take part."""
     v = F.transform(F.col(column), lambda x: x.cast("double"))
@@ -55,6 +63,8 @@ class Index:
     boundary: float
     replicas: int
     ratio: float
+    ids: np.ndarray | None = None  # of the sample, and its vectors
+    known: np.ndarray | None = None
 
     def lifted(self, v: np.ndarray, query: bool = False) -> np.ndarray:
         """Vectors with their further component; queries are scaled to the common length and get 0."""
@@ -64,10 +74,29 @@ class Index:
 
     def lists_of(self, v: np.ndarray) -> list[np.ndarray]:
         """Lists of each stored vector: the nearest, and others that it is nearly as close to."""
-        d = _distances(self.lifted(v), self.centroids)
-        near = np.argsort(d, axis=1, kind="stable")[:, : self.replicas]
-        kept = np.take_along_axis(d, near, 1) <= d.min(1, keepdims=True) * (1 + self.boundary)
-        return [n[k] for n, k in zip(near, kept, strict=True)]
+        r, out = min(self.replicas, len(self.centroids)), []
+        for a in range(0, len(v), 2048):
+            d = _distances(self.lifted(v[a : a + 2048]), self.centroids)
+            near = np.sort(np.argpartition(d, r - 1, axis=1)[:, :r], axis=1)
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+            kept = np.take_along_axis(d, near, 1) <= d.min(1, keepdims=True) * (1 + self.boundary)
+            out += [n[k] for n, k in zip(near, kept, strict=True)]
+        return out
+
+    def nearest_known(self, v: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For each query ids and scores of the k + 1 nearest of the sample, and the score that its k + 1 nearest of all vectors reach at least."""
+        s, n = v @ self.known.T, min(k + 1, len(self.known))
+        low = np.partition(s, -n, axis=1)[:, -n]
+        r, c = np.nonzero(s >= (low - 1e-9 * (1 + np.abs(low)))[:, None])
+        exact = (v[r] * self.known[c]).sum(1)
+        order = np.lexsort((self.ids[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        first = place < n
+        r, c, exact = r[first], c[first], exact[first]
+        cuts = np.arange(n, len(r), n)
+        least = exact[n - 1 :: n] if n == k + 1 else np.full(len(v), -np.inf)
+        return np.split(self.ids[c], cuts), np.split(exact, cuts), least
 
     def probes(self, v: np.ndarray, held: np.ndarray | None = None, least: int = 0) -> list[np.ndarray]:
         """Lists to probe for each query: a walk over the centroid graph, then pruning by distance ratio;
@@ -135,10 +164,13 @@ def fit(rows: DataFrame, k: int, sample: int = 20_000, list_size: int = 256, mos
     if not r["n"]:
         return None
     share = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_003)) / 1_000_003.0
-    taken = rows.where(share < sample / r["n"]).select("id", F.transform("v", lambda x: x.cast("float")).alias("v")).collect() or rows.limit(1).collect()
-    x = np.array([t["v"] for t in sorted(taken, key=lambda t: t["id"])], float)
+    taken = rows.where(share < sample / r["n"]).select("id", "v").collect() or rows.limit(1).select("id", "v").collect()
+    taken = list({t["id"]: t["v"] for t in sorted(taken, key=lambda t: (t["id"], t["v"]), reverse=True)}.items())[::-1]
+    x = np.array([v for _, v in taken], float)
     lists = int(min(max(1, r["n"] // list_size), most_lists, max(1, len(x) // 4)))
-    return build_index(x, lists, float(np.sqrt(r["m"])) or 1.0, boundary, replicas, recall, k, seed)
+    index = build_index(x.astype(np.float32).astype(float), lists, float(np.sqrt(r["m"])) or 1.0, boundary, replicas, recall, k, seed)
+    index.ids, index.known = np.array([i for i, _ in taken], np.int64), x
+    return index
 
 
 def _once(rows: DataFrame, k: int) -> DataFrame:
@@ -174,28 +206,60 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk: int = 409
                 home = np.concatenate(([True], at[1:] != at[:-1]))  # a vector's nearest list comes first
                 yield pd.DataFrame({"list": np.concatenate(lists).astype(np.int32), "home": home, "ids": batch["ids"].to_numpy()[at], "v": batch["v"].to_numpy()[at]})
 
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                part = batch.iloc[a : a + 256]
+                ids, scores, least = shared.value.nearest_known(np.stack(part["v"]), k)
+                yield part.assign(ids=ids, scores=scores, least=least)
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, base, many = places.value
         for batch in batches:
             for a in range(0, len(batch), 512):
                 part = batch.iloc[a : a + 512]
-                lists = shared.value.probes(np.stack(part["v"]), sizes.value, k + 1)
-                at = np.repeat(np.arange(len(part)), [len(x) for x in lists])
-                yield pd.DataFrame({"list": np.concatenate(lists).astype(np.int32), "a": part["a"].to_numpy()[at], "b": part["b"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
+                at, shards, lists = [], [], []
+                for i, probed in enumerate(shared.value.probes(np.stack(part["v"]), held, k + 1)):
+                    probed = probed[many[probed] > 0]
+                    if not len(probed):
+                        continue
+                    n = many[probed]
+                    shard = np.repeat(base[probed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    order = np.argsort(shard, kind="stable")
+                    here, first = np.unique(shard[order], return_index=True)
+                    at += [i] * len(here)
+                    shards.append(here)
+                    lists += np.split(np.repeat(probed, n)[order].astype(np.int32), first[1:])
+                if at:
+                    yield part.iloc[at][["a", "b", "v", "least"]].assign(shard=np.concatenate(shards).astype(np.int32), lists=lists)
 
     postings = cut(_once(vectors, k).mapInPandas(store, "list int, home boolean, ids array<long>, v array<double>"))
-    chunks = postings.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.sum(F.when(F.col("home"), F.size("ids")).otherwise(0)).alias("held")).collect()  # a row for each list, most_lists at most
-    held = np.zeros(len(index.centroids), np.int64)
-    held[[r["list"] for r in chunks]] = [r["held"] for r in chunks]
-    sizes = spark.sparkContext.broadcast(held)
-    chunks = spark.createDataFrame([(r["list"], r["chunks"]) for r in chunks], "list int, chunks int")
+    sizes = postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.when(F.col("home"), F.size("ids")).otherwise(0)).alias("held")).collect()  # a row for each list, most_lists at most
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    room = max(chunk, min(SHARD // index.known.shape[1], sum(r["n"] for r in sizes) // tasks))
+    held, base, many = (np.zeros(len(index.centroids), np.int64) for _ in range(3))
+    shards = filled = 0
+    for r in sorted(sizes, key=lambda r: r["list"]):
+        i, n = r["list"], -(-r["n"] // room)
+        if filled and (n > 1 or filled + r["n"] > room):
+            shards, filled = shards + 1, 0
+        held[i], base[i], many[i] = r["held"], shards, n
+        shards, filled = (shards + n, 0) if n > 1 else (shards, filled + r["n"])
+    places = spark.sparkContext.broadcast((held, base, many))
+    where = spark.createDataFrame([(i, int(base[i]), int(many[i])) for i in np.flatnonzero(many).tolist()], "list int, base int, many int")
     # equal queries are asked once, under a 128-bit name of their vector
     asked = cut(queries.select("id", "v", F.xxhash64(F.lit(1), F.col("v")).alias("a"), F.xxhash64(F.lit(2), F.col("v")).alias("b")))
-    probes = asked.groupBy("a", "b").agg(F.first("v").alias("v")).mapInPandas(probe, "list int, a long, b long, v array<double>")
-
-    p = postings.join(chunks, "list").select("list", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "ids", "v")
-    q = probes.join(chunks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("ids"), "v")
-    work = p.unionByName(q).repartition("list", "chunk").sortWithinPartitions("list", "chunk", "kind")
+    once = asked.groupBy("a", "b").agg(F.first("v").alias("v")).repartition(tasks, "a")
+    near = cut(once.mapInPandas(known, "a long, b long, v array<double>, ids array<long>, scores array<double>, least double"))
+    probes = near.select("a", "b", "v", "least").repartition(tasks, "a").mapInPandas(probe, "a long, b long, v array<double>, least double, shard int, lists array<int>")
+
+    none = F.lit(None)
+    shard = (F.col("base") + F.pmod(F.xxhash64("v"), F.col("many"))).cast("int").alias("shard")
+    p = postings.join(F.broadcast(where), "list").select(shard, F.lit(0).alias("kind"), "list", "ids", "v", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), none.cast("double").alias("least"), none.cast("array<int>").alias("lists"))
+    q = probes.select("shard", F.lit(1).alias("kind"), F.lit(-1).alias("list"), none.cast("array<long>").alias("ids"), "v", "a", "b", "least", "lists")
+    work = p.unionByName(q).repartition(max(tasks, shards + 1), "shard").sortWithinPartitions("shard", "kind", "list")
     best = work.mapInPandas(lambda b: _scan(b, k), "a long, b long, id long, score double")
+    best = best.unionByName(near.select("a", "b", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("a", "b", F.col("x.ids").alias("id"), F.col("x.scores").alias("score")))
     top = best.groupBy("a", "b").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))))), 1, k + 1).alias("found"))
     rows = asked.select("id", "a", "b").join(top, ["a", "b"])
     mine = F.slice(F.filter("found", lambda x: x["i"] != F.col("id")), 1, k)
@@ -203,8 +267,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk: int = 409
 
 
 def _scan(batches: Iterator[pd.DataFrame], k: int, flush: int = 2_000_000) -> Iterator[pd.DataFrame]:
-    """Chunks of postings followed by the queries that probe them: the k + 1 best of each query in this task."""
-    held, store, ids = None, [], []
+    """Shards of postings followed by the queries that probe them: the k + 1 best of each query in this task, as far as they reach its ``least``."""
+    held, store = None, []
     matrix = None
     buffer: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
@@ -222,45 +286,63 @@ def _scan(batches: Iterator[pd.DataFrame], k: int, flush: int = 2_000_000) -> It
         return tuple(x[place <= k] for x in (a, b, i, s))
 
     for batch in batches:
-        key = list(zip(batch["list"], batch["chunk"], strict=True))
-        edges = [0] + [j for j in range(1, len(key)) if key[j] != key[j - 1]] + [len(key)]
+        key = batch["shard"].to_numpy()
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
         for lo, hi in zip(edges, edges[1:], strict=False):
             if lo == hi:
                 continue
             if key[lo] != held:
-                held, store, ids, matrix = key[lo], [], [], None
+                held, store, matrix = key[lo], [], None
             part = batch.iloc[lo:hi]
             is_query = part["kind"].to_numpy() == 1
-            for v, i in zip(part["v"][~is_query], part["ids"][~is_query], strict=True):
-                store.append(v)
-                ids.append(i)
+            if not is_query.all():
+                new = part[~is_query]
+                store.append((new["list"].to_numpy(), new["ids"].tolist(), np.stack(new["v"])))
             if not is_query.any() or not store:
                 continue
-            if matrix is None or len(matrix) != len(store):
-                matrix = np.stack(store)
+            if matrix is None:  # all postings of a shard come before its queries
+                matrix = np.concatenate([m for _, _, m in store])
+                ids = [i for _, x, _ in store for i in x]
                 count = np.array([len(i) for i in ids])
                 first = np.concatenate(([0], np.cumsum(count)))
                 flat = np.concatenate(ids).astype(np.int64)
+                lists, start = np.unique(np.concatenate([x for x, _, _ in store]), return_index=True)
+                end = np.append(start[1:], len(matrix))
+                scale = np.sqrt((matrix * matrix).sum(1).max())
+                small = (matrix / scale).astype(np.float32)
+                margin = 1.2e-7 * (matrix.shape[1] + 8)  # of the rounding of a single-precision product of vectors of at most unit length
+                store = [(x[:0], [], m[:0]) for x, _, m in store[:1]]
             asked = part[is_query]
-            names = asked[["a", "b"]].to_numpy(np.int64)
-            vectors = np.stack(asked["v"])
-            for a in range(0, len(vectors), 1024):
-                q = vectors[a : a + 1024]
-                s = q @ matrix.T
-                n = min(k + 1, s.shape[1])
-                low = np.partition(s, -n, axis=1)[:, -n]
-                r, c = np.nonzero(s >= (low - 1e-9 * (1 + np.abs(low)))[:, None])
-                exact = (q[r] * matrix[c]).sum(1)
-                many = np.repeat(np.arange(len(r)), count[c])
-                place = np.arange(len(many)) - np.repeat(np.cumsum(count[c]) - count[c], count[c])
-                who = names[a : a + 1024][r[many]]
-                buffer.append((who[:, 0], who[:, 1], flat[first[c[many]] + place], exact[many]))
-                size += len(many)
-                if size > flush:
-                    buffer = [best(buffer)]
-                    size = 0
-                    if len(buffer[0][0]) > flush // 2:
-                        yield pd.DataFrame(dict(zip(("a", "b", "id", "score"), buffer[0], strict=True)))
-                        buffer = []
+            for a in range(0, len(asked), 512):
+                some = asked.iloc[a : a + 512]
+                q, names = np.stack(some["v"]), some[["a", "b"]].to_numpy(np.int64)
+                length = np.sqrt((q * q).sum(1))
+                unit = (q / length[:, None]).astype(np.float32)
+                low = some["least"].to_numpy(float) / (length * scale) - margin
+                who = np.repeat(np.arange(len(q)), [len(x) for x in some["lists"]])
+                probed = np.searchsorted(lists, np.concatenate(some["lists"].to_list()))
+                order = np.argsort(probed, kind="stable")
+                which, begin = np.unique(probed[order], return_index=True)
+                for j, rows in zip(which, np.split(who[order], begin[1:]), strict=True):
+                    s = unit[rows] @ small[start[j] : end[j]].T
+                    reach = low[rows]
+                    if not np.isfinite(reach).all():  # the sample has too few to tell
+                        n = min(k + 1, s.shape[1])
+                        reach = np.maximum(reach, np.partition(s, -n, axis=1)[:, -n] - 2 * margin)
+                    at = np.flatnonzero(s >= reach[:, None].astype(np.float32))
+                    if not len(at):
+                        continue
+                    r, c = rows[at // s.shape[1]], at % s.shape[1] + start[j]
+                    exact = (q[r] * matrix[c]).sum(1)
+                    many = np.repeat(np.arange(len(r)), count[c])
+                    place = np.arange(len(many)) - np.repeat(np.cumsum(count[c]) - count[c], count[c])
+                    buffer.append((names[r[many], 0], names[r[many], 1], flat[first[c[many]] + place], exact[many]))
+                    size += len(many)
+                    if size > flush:
+                        buffer = [best(buffer)]
+                        size = 0
+                        if len(buffer[0][0]) > flush // 2:
+                            yield pd.DataFrame(dict(zip(("a", "b", "id", "score"), buffer[0], strict=True)))
+                            buffer = []
     if buffer:
         yield pd.DataFrame(dict(zip(("a", "b", "id", "score"), best(buffer), strict=True)))
