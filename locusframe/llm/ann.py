@@ -260,7 +260,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk: int = 409
     work = p.unionByName(q).repartition(max(tasks, shards + 1), "shard").sortWithinPartitions("shard", "kind", "list")
     best = work.mapInPandas(lambda b: _scan(b, k), "a long, b long, id long, score double")
     best = best.unionByName(near.select("a", "b", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("a", "b", F.col("x.ids").alias("id"), F.col("x.scores").alias("score")))
-    top = best.groupBy("a", "b").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))))), 1, k + 1).alias("found"))
+    top = best.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))).alias("all"))
+    # equal ones are neighbours now; array_distinct compares structs all with all
+    top = top.select("a", "b", F.slice(F.filter("all", lambda x, i: (i == 0) | (x != F.get(F.col("all"), i - 1))), 1, k + 1).alias("found"))
     rows = asked.select("id", "a", "b").join(top, ["a", "b"])
     mine = F.slice(F.filter("found", lambda x: x["i"] != F.col("id")), 1, k)
     return rows.select(F.col("id").alias("query_id"), F.posexplode(mine).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
